@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that separate words in every contract of this package.
 SPACES = "\\x20\\x09-\\x0D"
@@ -38,6 +41,38 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Below this many rows a table of statistics is broadcast; beyond it is shuffled.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if a count shows that it is small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null taken as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def append_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list[str | None]], list[pa.Array]]], fields: str) -> DataFrame:
+    """df with columns that a function computes from the texts of a batch.
+
+    make runs once in each task and gives the function; fields is the DDL of the new
+    columns.  No shuffle; columns of df with the same names are replaced.
+    """
+    new = T.StructType.fromDDL(fields)
+    df = df.drop(*[f.name for f in new])
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = make()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *of(batch.column(at).to_pylist())], names=[*batch.schema.names, *new.names])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *new.fields]))

@@ -10,6 +10,36 @@ from pyspark.sql import functions as F
 from siftline.llm.common import read_table
 
 
+def op1_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.decontamination import find_contamination
+
+    return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.toxicity import score_documents
+
+    return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op4_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.quality import reject_outliers
+
+    return reject_outliers(read_table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.urls import filter_urls
+
+    return filter_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def op7_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.minhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=80)
+
+
 def op8_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftline.llm.sharding import shard_documents
 
@@ -35,6 +65,32 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _digests(df: DataFrame, kinds: tuple[str, ...], spans: str, *more) -> DataFrame:
+    """Counts of the base kinds and digests of sorted spans."""
+    from siftline.llm.spans import listing
+
+    def of(kind: str):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter(spans, lambda s: s["rank"] < len(kinds))
+    return df.select("doc_id", *[of(k).alias(f"n_{k}") for k in kinds], F.sha2(listing(base), 256).alias("base_sha256"), listing(F.col(spans)).alias("spans"), *more)
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.pii import BASE, find_pii
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _digests(find_pii(docs), BASE, "pii")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.secrets import BASE, find_secrets
+
+    found = find_secrets(read_table(spark, sf_dir, "documents"))
+    live = F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live")
+    return _digests(found, BASE, "spans", live)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
