@@ -4,8 +4,9 @@ The URLs that rules allow or block train one character model each.  Both are
 variable-order Markov models: every order from ``ORDER`` down to 0 is smoothed by the
 next lower one with the weight that the number of distinct followers of a context
 gives (Witten and Bell).  The score of a URL is the mean per character of log
-p(blocked) - log p(allowed); the threshold is the one with the best balanced accuracy
-on the training URLs.  All is DataFrame work: counts of windows of ORDER + 1
+p(blocked) - log p(allowed); a third of the training URLs, by hash, is set aside for
+the threshold: the least at which no more than one in a hundred of the allowed ones
+would be blocked.  All is DataFrame work: counts of windows of ORDER + 1
 characters over all URLs, one join per order, one pass that sums.
 
 Null URLs and URLs without ``://`` have an empty host and path; they are scored as
@@ -27,6 +28,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-_"
 START, OTHER, END = "^", "*", "$"
 SYMBOLS = len(ALPHABET) + 3
 BUCKETS = 50  # of the calibration, to a unit of the score
+FALSE_BLOCKS = 0.01
+ASIDE = 3  # one in so many training URLs calibrates and doesn't train
 
 #: Fixed values: (verdict, host, path prefix).
 RULES = (
@@ -84,15 +87,16 @@ def ratios(windows: DataFrame) -> DataFrame:
 
 
 def calibrate(scores: DataFrame) -> float | None:
-    """scores: score, verdict.  The score beyond which to block; None if one kind
-    of training URL is missing.  One small table of buckets, whatever the input."""
+    """scores: score, verdict.  The least score beyond which no more than FALSE_BLOCKS
+    of the allowed training URLs lie; None if one kind of training URL is missing.
+    One small table of buckets, whatever the input."""
     bucket = F.floor(F.col("score") * BUCKETS).alias("bucket")
     counts = scores.groupBy(bucket).agg(F.count(F.when(F.col("verdict") == "block", 1)).alias("b"), F.count(F.when(F.col("verdict") == "allow", 1)).alias("a"))
-    all_ = counts.withColumns({"all_b": F.sum("b").over(Window.partitionBy()), "all_a": F.sum("a").over(Window.partitionBy())})
-    up_to = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    right = all_.filter("all_a > 0 and all_b > 0").withColumn("right", F.sum("a").over(up_to) / F.col("all_a") + 1 - F.sum("b").over(up_to) / F.col("all_b"))
-    best = right.agg(F.max_by("bucket", F.struct("right", -F.col("bucket"))).alias("bucket")).first()["bucket"]
-    return None if best is None else (best + 1) / BUCKETS
+    everything = Window.partitionBy()
+    here_on = Window.orderBy("bucket").rowsBetween(0, Window.unboundedFollowing)
+    both = counts.withColumns({"all_b": F.sum("b").over(everything), "all_a": F.sum("a").over(everything), "wrong": F.sum("a").over(here_on)}).filter("all_a > 0 and all_b > 0")
+    edge = both.filter(F.col("wrong") > FALSE_BLOCKS * F.col("all_a")).agg(F.max("bucket").alias("bucket")).first()["bucket"]
+    return None if edge is None else (edge + 1) / BUCKETS
 
 
 def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -100,12 +104,17 @@ def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url") -> Dat
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    rows = cut(rows.select("*", rule.alias("rule"), verdict.alias("by_rule")), "urls")
-    flat = rows.select("row", "by_rule", F.explode(_windows(F.concat("host", "path"))).alias("window"))
-    windows = flat.groupBy("window").agg(F.count(F.when(F.col("by_rule") == "allow", 1)).alias("allowed"), F.count(F.when(F.col("by_rule") == "block", 1)).alias("blocked"))
+    aside = F.pmod(F.xxhash64("host", "path"), F.lit(ASIDE)) == 0
+    rows = cut(rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), aside.alias("aside")), "urls")
+    flat = rows.select("row", "by_rule", "aside", F.explode(_windows(F.concat("host", "path"))).alias("window"))
+
+    def seen(kind: str) -> Column:
+        return F.count(F.when((F.col("by_rule") == kind) & ~F.col("aside"), 1))
+
+    windows = flat.groupBy("window").agg(seen("allow").alias("allowed"), seen("block").alias("blocked"))
     table = cut(ratios(cut(windows, "windows")), "ratios")
     scores = flat.join(small(table), "window").groupBy("row").agg(F.round(F.avg("ratio"), 9).alias("score"))
     judged = cut(rows.join(scores, "row", "left"), "scores")
-    limit = calibrate(judged.filter(F.col("by_rule").isNotNull()).select("score", F.col("by_rule").alias("verdict")))
+    limit = calibrate(judged.filter(F.col("by_rule").isNotNull() & F.col("aside")).select("score", F.col("by_rule").alias("verdict")))
     by_score = F.lit("allow") if limit is None else F.when((F.col("score") >= limit) & (F.col("host") != ""), "block").otherwise("allow")
     return judged.select(F.col("key").alias(key), "host", "path", "rule", "score", F.coalesce("by_rule", by_score).alias("verdict"))
