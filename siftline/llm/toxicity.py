@@ -4,12 +4,13 @@ Folding: compatibility forms, lower case, look-alike letters and digits that sta
 letters; everything that is no letter becomes one space, so an entry with a leading
 space matches at the start of a word only.
 
-The lexicon is learnt from labelled rows: starts of words of ``PREFIXES`` letters,
-whose likelihood ratio between toxic and other documents passes ``MIN_G2``; the weight
-is the log odds.  Of starts that mean the same documents the longest is kept, and none
-that a kept shorter one implies.  A phrase of ``EXCEPTIONS`` hides the entries in it.
-The weights found in a text are summed and divided by its length; a logistic curve
-fitted on the same labelled rows makes that a score from 0 to 1.
+The lexicon is learnt from labelled rows: starts of words of ``PREFIXES`` letters. For
+each, the documents that have it once, twice or four times are compared between toxic
+and other ones by likelihood ratio; it is an entry if the best passes ``MIN_G2``, and
+its weight is the log ratio of its rates among words.  Of starts that continue each
+other only the strongest is kept.  A phrase of ``EXCEPTIONS`` hides the entries in it.
+The weights found in a text are summed and divided by its number of words; a logistic
+curve fitted on the same labelled rows makes that a score from 0 to 1.
 
 At most ``TRAIN_ROWS`` labelled rows (those of least hash) train it and the lexicon has at
 most ``LEXICON`` entries: these bound what is collected and sent to the tasks.  All rows
@@ -35,11 +36,14 @@ from pyspark.sql import functions as F
 from siftline.llm.common import append_columns, cut
 
 PREFIXES = range(3, 11)
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 10_000
+LEVELS = (1, 2, 4)
+COUNT_TO = 50  # occurrences of a start that count in one document
 CANDIDATES = 20_000
 LEXICON = 2_000
-MIN_G2 = 24.0
-MIN_LOG_ODDS = 2.0
+MIN_G2 = 16.0
+MIN_WEIGHT = 0.7
+SHORT = 8  # words added to the length, so that one word in a very short text is not all
 THRESHOLD = 0.3
 #: Letters and signs that look like Latin letters.
 LOOK_ALIKES = {
@@ -66,8 +70,14 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def starts_of(words: set[str]) -> set[str]:
-    return {w[:k] for w in words for k in PREFIXES if len(w) >= k}
+def starts_of(words: list[str]) -> Counter:
+    """How often each start of a word occurs."""
+    found: Counter = Counter()
+    for w, n in Counter(words).items():
+        for k in PREFIXES:
+            if len(w) >= k:
+                found[w[:k]] += n
+    return found
 
 
 @dataclass
@@ -89,14 +99,14 @@ class Lexicon:
         return found
 
     def density(self, automaton: ahocorasick.Automaton, text: str | None) -> float:
-        """Weights of all entries found, per root of the number of words."""
+        """Weights of all entries found, per hundred words."""
         if not len(automaton) or not text:
             return 0.0
         folded = fold(text)
         found = [(end - n + 1, end, w) for end, (n, w) in automaton.iter(folded)]
         hidden = [(a, b) for a, b, w in found if w < 0]
         total = sum(w for a, b, w in found if w >= 0 and not any(x <= a and b <= y for x, y in hidden))
-        return total / math.sqrt(folded.count(" ") + 8)
+        return 100 * total / (folded.count(" ") + SHORT)
 
     def score(self, density: float) -> float:
         if not density:
@@ -104,21 +114,15 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.bias + self.slope * math.log1p(density)))))
 
 
-def choose(counts: list[tuple[str, int, int]], toxic: int, other: int) -> dict[str, float]:
-    """The lexicon from (start, toxic documents, other documents) with that start."""
-
-    def log_odds(a: int, b: int) -> float:
-        return math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (other + 1))
-
-    rated = [(a, b, s) for s, a, b in counts if log_odds(a, b) >= MIN_LOG_ODDS]
-    # most documents first; the longest of those that mean the same documents
-    rated.sort(key=lambda r: (-r[0] * log_odds(r[0], r[1]), -len(r[2]), r[2]))
+def choose(rated: list[tuple[str, float]]) -> dict[str, float]:
+    """The lexicon from (start, weight), strongest first."""
     kept: dict[str, float] = {}
-    for a, b, s in rated:
-        if len(kept) < LEXICON and not any(s[:k] in kept for k in range(1, len(s))):
-            kept[s] = log_odds(a, b)
-    # a longer start taken first makes its own beginnings redundant
-    return {s: w for s, w in kept.items() if not any(o != s and o.startswith(s) and kept[o] >= w for o in kept)}
+    beginnings: set[str] = set()  # of all that is kept
+    for s, w in rated:
+        if len(kept) < LEXICON and s not in beginnings and not any(s[:k] in kept for k in range(1, len(s))):
+            kept[s] = w
+            beginnings.update(s[:k] for k in range(1, len(s) + 1))
+    return kept
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -136,33 +140,50 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     if not toxic or not other:
         return Lexicon({})
 
+    wide = 2 * (len(LEVELS) + 1)  # documents by level and occurrences, of other and of toxic
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[Counter, Counter] = (Counter(), Counter())
+        found: dict[str, list[int]] = {}
 
         def flush() -> pa.RecordBatch:
-            both = list(found[0] | found[1])
-            out = pa.RecordBatch.from_arrays([pa.array(both, type=pa.string()), *(pa.array([found[k][s] for s in both], type=pa.int64()) for k in (1, 0))], names=["start", "a", "b"])
-            found[0].clear(), found[1].clear()
+            out = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([v[k] for v in found.values()], pa.int64()) for k in range(wide))], names=["start", *(f"c{k}" for k in range(wide))])
+            found.clear()
             return out
 
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found[label > 0].update(starts_of(set(fold(text).split())))
-                if len(found[0]) + len(found[1]) > 500_000:
+                words = fold(text).split()
+                side = (len(LEVELS) + 1) * (label > 0)
+                found.setdefault("", [0] * wide)[side + len(LEVELS)] += len(words)
+                for start, n in starts_of(words).items():
+                    row = found.setdefault(start, [0] * wide)
+                    for k, level in enumerate(LEVELS):
+                        row[side + k] += n >= level
+                    row[side + len(LEVELS)] += min(n, COUNT_TO)
+                if len(found) > 500_000:
                     yield flush()
         yield flush()
 
-    counts = rows.select("text", "toxic").mapInArrow(count, "start string, a long, b long").groupBy("start").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    a, b, n = F.col("a").cast("double"), F.col("b").cast("double"), float(toxic + other)
-    c, d = toxic - a, other - b
+    schema = ", ".join(["start string", *(f"c{k} long" for k in range(wide))])
+    counts = cut(rows.select("text", "toxic").mapInArrow(count, schema).groupBy("start").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(wide)]), "starts")
+    words = counts.filter("start = ''").first()
+    half, n = len(LEVELS) + 1, float(toxic + other)
+
+    def g2(k: int) -> Column:
+        b, a = F.col(f"c{k}").cast("double"), F.col(f"c{half + k}").cast("double")
+        c, d = toxic - a, other - b
+
+        def part(x: Column, row: Column, col: float) -> Column:
+            return F.when(x > 0, x * F.log(x * n / (row * col))).otherwise(0.0)
 
-    def part(x: Column, row: Column, col: float) -> Column:
-        return F.when(x > 0, x * F.log(x * n / (row * col))).otherwise(0.0)
+        return F.when(a * other > b * toxic, 2 * (part(a, a + b, toxic) + part(b, a + b, other) + part(c, c + d, toxic) + part(d, c + d, other))).otherwise(0.0)
 
-    g2 = 2 * (part(a, a + b, toxic) + part(b, a + b, other) + part(c, c + d, toxic) + part(d, c + d, other))
-    strong = counts.withColumn("g2", g2).filter((F.col("g2") >= MIN_G2) & (a * other > b * toxic))
-    best = strong.orderBy(F.desc("g2"), "start").limit(CANDIDATES).collect()  # bounded by CANDIDATES
-    lexicon = Lexicon(choose([(r["start"], r["a"], r["b"]) for r in best], toxic, other))
+    weight = F.log((F.col(f"c{wide - 1}") + 0.5) / float(words[f"c{wide - 1}"] + 1)) - F.log((F.col(f"c{half - 1}") + 0.5) / float(words[f"c{half - 1}"] + 1))
+    rated = counts.filter("start <> ''").select("start", F.greatest(*[g2(k) for k in range(len(LEVELS))]).alias("g2"), weight.alias("weight"))
+    strong = rated.filter((F.col("g2") >= MIN_G2) & (F.col("weight") >= MIN_WEIGHT))
+    # bounded by CANDIDATES; of equal ones the longest first
+    best = strong.orderBy(F.desc(F.round("g2", 6)), F.desc(F.length("start")), "start").limit(CANDIDATES).collect()
+    lexicon = Lexicon(choose([(r["start"], r["weight"]) for r in best]))
     return fit(lexicon, rows)
 
 
