@@ -14,7 +14,8 @@
 6. What stars can't see: in each large bucket with more than one component, the
    classes outside its most frequent component are a query set; blocks of them meet
    blocks of all its classes, are pruned and verified inside the task, and only links
-   leave it.  Components are then completed with these links.
+   leave it, one for each class and component.  A pair is looked at in the first
+   bucket that both share.  Components are then completed with these links.
 
 So no pairs of a large group are written out, no group is gathered in one task, and no
 link between two texts that share a band is lost.  A pair at the threshold itself
@@ -31,7 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import cut, small
@@ -42,10 +43,10 @@ HASHES = BANDS * ROWS
 BATCH = 20
 MISS = 1e-6
 PAIRS_TO = 8
-BLOCK = 32
-#: A class with more shingles is a block of its own.
-BLOCK_SHINGLES = 20_000
+#: Shingles of the classes in one block, about: 2 MB of hashes.
+BLOCK_SHINGLES = 250_000
 _SLICE = 200_000
+_PAIRS = 50_000  # compared at a time
 
 
 def multipliers(n: int = HASHES) -> np.ndarray:
@@ -142,7 +143,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
 
 
 def bands(classes: DataFrame) -> DataFrame:
-    """bucket and node, BANDS rows for each class."""
+    """bucket, band and node, BANDS rows for each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,9 +154,10 @@ def bands(classes: DataFrame) -> DataFrame:
             for r in range(ROWS):
                 h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
             nodes = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), nodes], names=["bucket", "node"])
+            band = pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(batch)))
+            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), band, nodes], names=["bucket", "band", "node"])
 
-    return classes.select("node", "signature").mapInArrow(run, "bucket long, node binary")
+    return classes.select("node", "signature").mapInArrow(run, "bucket long, band int, node binary")
 
 
 def _prune(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -225,34 +227,67 @@ def _candidates(buckets: DataFrame) -> DataFrame:
     return stars.union(pairs).distinct()
 
 
+def _links_between(asked: list[dict], there: list[dict], band: int, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links from the classes asked to those there of other components, one for each
+    class and component, among the pairs whose first common band is this one."""
+    sig = [np.frombuffer(b"".join(x["signature"] for x in side), dtype=np.uint32).reshape(-1, HASHES) for side in (asked, there)]
+    names = {c: k for k, c in enumerate({x["component"] for x in (*asked, *there)})}
+    part = [np.array([names[x["component"]] for x in side]) for side in (asked, there)]
+    sets = [[np.frombuffer(x["hashes"], dtype=np.uint64) for x in side] for side in (asked, there)]
+    least = np.array(least_matches(percent))
+    out = []
+    step = max(1, _PAIRS // len(there))
+    for low in range(0, len(asked), step):
+        i, j = np.nonzero(part[0][low : low + step, None] != part[1][None, :])
+        i += low
+        equal = sig[0][i] == sig[1][j]
+        mine = equal.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band
+        i, j, equal = i[mine], j[mine], equal[mine]
+        good = (equal.reshape(-1, len(least), BATCH).sum(axis=2).cumsum(axis=1) >= least).all(axis=1)
+        i, j = i[good], j[good]
+        for k in np.unique(i).tolist():
+            others = j[i == k]
+            size = np.array([len(sets[1][o]) for o in others])
+            flat = np.concatenate([sets[1][o] for o in others])
+            own = sets[0][k]
+            found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            common = np.add.reduceat(found, np.cumsum(size) - size, dtype=np.int64)
+            linked_to = others[100 * common >= percent * (len(own) + size - common)]
+            _, first = np.unique(part[1][linked_to], return_index=True)
+            out += [(asked[k]["node"], there[o]["node"]) for o in linked_to[first].tolist()]
+    return out
+
+
 def _residue(large: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components inside large buckets."""
-    member = large.select("bucket", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    by_part = member.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    most = by_part.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"))
-    most = cut(most.filter("parts > 1"), "mixed")
-    rows = member.join(most, "bucket").join(classes.select("node", "signature", "n_shingles"), "node").join(sets, "node")
-    own = F.when(F.col("n_shingles") > BLOCK_SHINGLES, F.xxhash64("node")).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-    rows = cut(rows.select("bucket", own.alias("block"), (F.col("component") != F.col("most")).alias("asks"), "node", "component", "signature", "hashes"), "members")
-    item = F.struct("node", "component", "signature", "hashes")
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("bucket", "block").agg(F.collect_list(item).alias(name)).drop("block")
+    member = large.select("bucket", "band", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    member = member.join(classes.select("node", "n_shingles"), "node")
+    total = F.sum("n_shingles").alias("total")
+    by_part = member.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), total)
+    top = F.max(F.struct("n", "total", "component"))
+    most = by_part.groupBy("bucket").agg(top.alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("total").alias("total")).filter("parts > 1")
+    most = cut(most.select("bucket", F.col("top.component").alias("most"), F.ceil(F.col("total") / BLOCK_SHINGLES).alias("blocks"), F.ceil((F.col("total") - F.col("top.total")) / BLOCK_SHINGLES).alias("ask_blocks")), "mixed")
+    placed = cut(member.drop("n_shingles").join(most, "bucket"), "members")
+    hashed = F.xxhash64("node")
+    # every block that asks meets every block: each row goes to the meetings of its own block
+    last = {c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1) for c in ("blocks", "ask_blocks")}
+    there = placed.select("bucket", "band", F.explode(last["ask_blocks"]).alias("x"), F.pmod(hashed, F.col("blocks")).alias("y"), F.lit(False).alias("asks"), "node", "component")
+    asks = placed.filter("component <> most").select("bucket", "band", F.pmod(hashed, F.col("ask_blocks")).alias("x"), F.explode(last["blocks"]).alias("y"), F.lit(True).alias("asks"), "node", "component")
+    needed = placed.select("node").distinct()
+    full = sets.join(needed, "node", "left_semi").join(classes.select("node", "signature"), "node")
+    rows = there.union(asks).join(full, "node")
+    met = rows.groupBy("bucket", "band", "x", "y").agg(F.collect_list(F.struct("asks", "node", "component", "signature", "hashes")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asked, there in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sig = [np.frombuffer(b"".join(x["signature"] for x in side), dtype=np.uint32).reshape(-1, HASHES) for side in (asked, there)]
-                apart = np.array([[x["component"] != y["component"] for y in there] for x in asked])
-                i, j = np.nonzero(apart)
-                left = survivors(sig[0][i], sig[1][j], percent)
-                hashes = [[np.frombuffer(x["hashes"], dtype=np.uint64) for x in side] for side in (asked, there)]
-                found = [(asked[p]["node"], there[q]["node"]) for p, q in zip(i[left], j[left], strict=True) if linked(hashes[0][p], hashes[1][q], percent)]
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-    met = blocks(rows.filter("asks"), "asked").join(blocks(rows, "there"), "bucket")
-    # blocks of a few MB at most: few of them to an Arrow batch
-    return met.select("asked", "there").repartition(max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))).mapInArrow(run, "a binary, b binary").distinct()
+            for k, band in enumerate(batch.column(0).to_pylist()):
+                side = {True: [], False: []}
+                for x in batch.column(1)[k].as_py():
+                    side[x["asks"]].append(x)
+                found = _links_between(side[True], side[False], band, percent) if all(side.values()) else []
+                yield pa.RecordBatch.from_arrays([pa.array([f[n] for f in found], type=pa.binary()) for n in (0, 1)], names=["a", "b"])
+
+    return met.select("band", "rows").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataFrame:
