@@ -28,13 +28,19 @@ from siftline.llm.common import text_of
 
 MARK = "▁"
 LONG = 128
-CACHE_UNITS = 200_000
+CACHE_UNITS = 600_000
 CHUNK_CHARS = 2_000_000
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _SPAN = 0x110000
 _NONE = np.iinfo(np.int64).max
 
 
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of flat that begin at starts, end to end."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class PieceModel:
     """Vocabulary, pair ranks and unit cache of one model file."""
 
@@ -65,7 +71,16 @@ class PieceModel:
         self.piece_bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         self.piece_len = np.array([len(p) for p in pieces], dtype=np.int64)
         self.piece_at = np.concatenate([[0], np.cumsum(self.piece_len)[:-1]])
-        self.cache: dict[str, np.ndarray] = {}
+        self.char_symbol = np.arange(_SPAN, dtype=np.int64) + n
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.char_symbol[ord(p)] = i
+        self._forget()
+
+    def _forget(self) -> None:
+        """Units that are known, by number: where their ids are and how many."""
+        self.known: dict[str, int] = {}
+        self.unit_ids, self.unit_at, self.unit_len = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _symbol(self, s: str) -> int:
         """Pieces have their ids; a character that is none has size + code point."""
@@ -78,14 +93,14 @@ class PieceModel:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], _NONE), at
 
-    def _rounds(self, units: list[str]) -> list[np.ndarray]:
-        """Final symbols of each unit."""
-        done: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * len(units)
-        lengths = np.array([len(u) for u in units], dtype=np.int64)
-        symbols = np.fromiter((self._symbol(c) for c in "".join(units)), dtype=np.int64, count=int(lengths.sum()))
+    def _rounds(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Final symbols of all units, end to end, and how many each has."""
+        lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        symbols = self.char_symbol[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         unit = np.arange(len(units))
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # units, lengths, symbols
         while len(unit):
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+            starts = np.cumsum(lengths) - lengths
             rank = np.full(len(symbols), _NONE)
             rank[:-1], at = self._pair(symbols[:-1], symbols[1:])
             rank[starts + lengths - 1] = _NONE  # the last symbol of a unit has no partner
@@ -94,15 +109,19 @@ class PieceModel:
             hits = np.flatnonzero((rank == least[owner]) & (rank != _NONE))
             first = hits[np.concatenate([[True], owner[hits[1:]] != owner[hits[:-1]]])] if len(hits) else hits
             over = least == _NONE
-            for k in np.flatnonzero(over):
-                done[unit[k]] = symbols[starts[k] : starts[k] + lengths[k]].copy()
+            ended = over[owner]
+            done.append((unit[over], lengths[over], symbols[ended]))
             symbols[first] = self.merged[at[first]]
-            keep = ~over[owner]
+            keep = ~ended
             keep[first + 1] = False
             symbols = symbols[keep]
             lengths = (lengths - 1)[~over]
             unit = unit[~over]
-        return done
+        if not done:
+            return symbols, lengths
+        number, size, flat = (np.concatenate([d[k] for d in done]) for k in range(3))
+        order = np.argsort(number)
+        return gather(flat, (np.cumsum(size) - size)[order], size[order]), size[order]
 
     def _heap(self, unit: str) -> np.ndarray:
         """The same merges for one long unit, by a heap over a linked list."""
@@ -137,52 +156,63 @@ class PieceModel:
                 push(before[i])
         return np.array([s for s in symbols if s >= 0], dtype=np.int64)
 
-    def _to_ids(self, symbols: np.ndarray) -> np.ndarray:
-        if (symbols < self.size).all():
-            return symbols.astype(np.int32)
-        out: list[int] = []
-        for s in symbols.tolist():
-            out += [s] if s < self.size else self.byte_ids[list(chr(s - self.size).encode())].tolist()
-        return np.array(out, dtype=np.int32)
-
-    def encode_units(self, units: list[str]) -> list[np.ndarray]:
-        new = list(dict.fromkeys(u for u in units if u not in self.cache))
-        if len(self.cache) + len(new) > CACHE_UNITS:
-            self.cache = {}
-            new = list(dict.fromkeys(units))
-        short = [u for u in new if len(u) <= LONG]
-        for u, symbols in zip(short, self._rounds(short), strict=True):
-            self.cache[u] = self._to_ids(symbols)
-        for u in new:
-            if len(u) > LONG:
-                self.cache[u] = self._to_ids(self._heap(u))
-        return [self.cache[u] for u in units]
+    def _to_ids(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids for symbols; a character that is no piece gives the ids of its bytes."""
+        bare = np.flatnonzero(symbols >= self.size)
+        if not len(bare):
+            return symbols.astype(np.int32), lengths
+        each = [self.byte_ids[list(chr(s - self.size).encode("utf-8", "surrogatepass"))] for s in symbols[bare].tolist()]
+        wide = np.ones(len(symbols), dtype=np.int64)
+        wide[bare] = [len(e) for e in each]
+        out = np.repeat(symbols, wide)
+        out[np.repeat(symbols >= self.size, wide)] = np.concatenate(each)
+        return out.astype(np.int32), np.add.reduceat(wide, np.cumsum(lengths) - lengths)
+
+    def _learn(self, units: list[str]) -> None:
+        """Encode units that are not known."""
+        short = [u for u in units if len(u) <= LONG]
+        parts = [self._to_ids(*self._rounds(short))] if short else []
+        rest = [u for u in units if len(u) > LONG]
+        for u in rest:
+            symbols = self._heap(u)
+            parts.append(self._to_ids(symbols, np.array([len(symbols)])))
+        base = len(self.known)
+        self.known.update(zip([*short, *rest], range(base, base + len(units)), strict=True))
+        ids, lengths = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        self.unit_at = np.concatenate([self.unit_at, len(self.unit_ids) + np.cumsum(lengths) - lengths])
+        self.unit_len = np.concatenate([self.unit_len, lengths])
+        self.unit_ids = np.concatenate([self.unit_ids, ids])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and where each text's ids end."""
-        units: dict[str, int] = {}
-        uses: list[int] = []
+        units: list[str] = []
         ends: list[int] = []
         for text in texts:
             if text:
-                uses.extend([units.setdefault(u, len(units)) for u in _UNITS.findall(MARK + text.replace(" ", MARK))])
-            uses.append(-1)
-            ends.append(len(uses))
-        parts = [*self.encode_units(list(units)), np.array([self.end_id], dtype=np.int32)]  # the last one is unit -1
-        length = np.array([len(p) for p in parts], dtype=np.int64)
-        start = np.cumsum(length) - length
-        use = np.array(uses, dtype=np.int64)
-        took = length[use]
-        total = np.cumsum(took)
-        flat = np.concatenate(parts)[np.repeat(start[use] - (total - took), took) + np.arange(int(took.sum()))]
-        return flat, total[np.array(ends, dtype=np.int64) - 1] if ends else np.empty(0, dtype=np.int64)
+                units += _UNITS.findall(MARK + text.replace(" ", MARK))
+            ends.append(len(units))
+        new = set(units).difference(self.known)
+        if new and len(self.known) + len(new) > CACHE_UNITS:
+            self._forget()
+            new = set(units)
+        if new:
+            self._learn(sorted(new))
+        use = np.fromiter(map(self.known.__getitem__, units), dtype=np.int64, count=len(units))
+        took = self.unit_len[use]
+        at = np.concatenate([[0], np.cumsum(took)])[np.array(ends, dtype=np.int64)]
+        # the end id after each text
+        out = np.full(int(took.sum()) + len(texts), self.end_id, dtype=np.int32)
+        stops = at + np.arange(1, len(texts) + 1)
+        inside = np.ones(len(out), dtype=bool)
+        inside[stops - 1] = False
+        out[inside] = gather(self.unit_ids, self.unit_at[use], took)
+        return out, stops
 
     def decode(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
         """Texts of lists of ids, laid end to end."""
         took = self.piece_len[flat]
-        total = np.cumsum(took)
-        out = self.piece_bytes[np.repeat(self.piece_at[flat] - (total - took), took) + np.arange(int(took.sum()))].tobytes()
-        at = np.concatenate([[0], total])[np.concatenate([[0], ends])]
+        out = gather(self.piece_bytes, self.piece_at[flat], took).tobytes()
+        at = np.concatenate([[0], np.cumsum(took)])[np.concatenate([[0], ends])]
         texts = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if a < b and out[a] == 0x20:

@@ -36,8 +36,18 @@ def test_rounds_and_heap_agree():
     model = piece_bpe.PieceModel(piece_model_file())
     rng = random.Random(1)
     units = ["".join(rng.choices("abeinrst", k=100)) for _ in range(50)]
-    for u, s in zip(units, model._rounds(units), strict=True):
-        assert model._heap(u).tolist() == s.tolist()
+    flat, lengths = model._rounds(units)
+    assert np.concatenate([model._heap(u) for u in units]).tolist() == flat.tolist()
+    assert [len(model._heap(u)) for u in units] == lengths.tolist()
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    texts = cases()[:300]
+    want = piece_bpe.PieceModel(piece_model_file()).encode(texts)
+    monkeypatch.setattr(piece_bpe, "CACHE_UNITS", 50)
+    model = piece_bpe.PieceModel(piece_model_file())
+    got = [model.encode([t])[0].tolist() for t in texts]
+    assert [i for g in got for i in g] == want[0].tolist()
 
 
 def test_rows(spark, library):
