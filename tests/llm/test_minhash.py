@@ -1,32 +1,15 @@
 import random
-import re
 
 import numpy as np
 
 from siftline.llm import minhash
+from tests_llm_helpers import brute_components, word_sets
 
 
 def brute(rows, width=4, percent=80):
-    sets = []
-    for _, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-        sets.append(frozenset(tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))) if w else frozenset())
-    parent = list(range(len(rows)))
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
-                parent[root(i)] = root(j)
-    low = {}
-    for i, (d, _) in enumerate(rows):
-        if d is not None:
-            low[root(i)] = min(low.get(root(i), d), d)
-    return sorted((d if d is not None else -1, len(s), low.get(root(i), -1)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+    components = brute_components(rows, width, percent)
+    sizes = map(len, word_sets(rows, width))
+    return sorted((d if d is not None else -1, n, c if c is not None else -1) for (d, _), n, c in zip(rows, sizes, components, strict=True))
 
 
 def corpus(seed, groups=8, size=14):
