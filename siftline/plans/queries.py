@@ -245,7 +245,7 @@ def unsupported_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BARE = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', '<x>', 'g'), '(?is)<style\b.*?</style\s*>', '<x>', 'g'), '(?s)<!--.*?-->', '<x>', 'g')"
-_DECODED = rf"replace(replace(replace(replace(replace({_BARE}, '&quot;', '""'), '&copy;', '©'), '&middot;', '·'), '&lt;', '‹LT›'), '&gt;', '›GT‹')".replace('""', '"')
+_DECODED = f"replace(replace(replace(replace(replace({_BARE}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&lt;', '‹LT›'), '&gt;', '›GT‹')"
 
 
 @query(

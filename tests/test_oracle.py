@@ -1,6 +1,7 @@
 """Every query with SQL gives what DuckDB gives."""
 
 import math
+import os
 from pathlib import Path
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-SF = Path("/root/testdata/sf0.001")
+SF = Path(os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001"))
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
