@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.config import Config
 from siftline.functions import text as X
 from siftline.functions import vector as V
 from siftline.operators import access, catalog, search, store
-from siftline.operators.embed import hashed_counts
+from siftline.operators.embed import HashEmbedder, hashed_counts
 from siftline.plans import views
 from siftline.sources import parsers
+from siftline.sources.files import extract
 from siftline.sources.files import html_text as html_column
+from siftline.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -325,6 +328,49 @@ def visible_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "api_key string, namespace string")
 
 
+# --- files and ingest ---------------------------------------------------------------
+#: Files of the text formats and their text.
+FORMATS = {
+    "a.txt": (b"plain text", "plain text"),
+    "b.MD": (b"# title", "# title"),
+    "c.html": (b"<p>one <b>two</b>", "one\ntwo"),
+    "d.csv": (b"a,b\n1,2\n", "a\tb\n1\t2\n"),
+    "e.json": (b'{"k": [1, 2.5]}', '{\n  "k": [\n    1,\n    2.5\n  ]\n}'),
+    "f.yaml": (b"k: yes", '{\n  "k": "yes"\n}'),
+    "g.toml": (b"k = 1", '{\n  "k": 1\n}'),
+    "h.xml": (b"<a>x<b>y</b></a>", "x\ny\n"),
+    "i.rtf": (rb"{\rtf1 one\par two}", "one\ntwo"),
+    "j.eml": (b"Subject: s\n\nbody", "Subject: s\n\nbody"),
+    "k.pdf": (b"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj 2 0 obj<</Kids[3 0 R]>>endobj 3 0 obj<</Contents 4 0 R>>endobj 4 0 obj<<>>stream\nBT (page) Tj ET\nendstream endobj", "page"),
+    "l.docx": (b"no archive", None),
+}
+
+
+def _literal(text: str | None) -> str:
+    return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
+
+
+@query("SELECT filename, md5(text) AS md5, text IS NULL AS failed FROM (VALUES " + ", ".join(f"({_literal(n)}, {_literal(t)})" for n, (_, t) in FORMATS.items()) + ") v(filename, text)")
+def parse_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(n, bytearray(c)) for n, (c, _) in FORMATS.items()]
+    found = extract(spark.createDataFrame(rows, "filename string, content binary"))
+    return found.select("filename", F.md5(F.col("raw").cast("binary")).alias("md5"), F.col("error").isNotNull().alias("failed"))
+
+
+@query(f"SELECT sha256(text) AS file_hash, 'completed' AS status, max(CASE WHEN n = 0 THEN 0 ELSE greatest(0, ceil((n - 512) / 448.0))::INT + 1 END)::INT AS chunk_count FROM (SELECT text, len({_WORDS}) AS n FROM documents) GROUP BY text")
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as a stream of files into a new store; its documents."""
+    place = views.scratch(spark)
+    settings = Config()
+    settings.embedder.dimensions = 16
+    made = store.Store(spark, f"{place}/store", 16)
+    source = f"{sf_dir}/documents.parquet"
+    # a pattern, as a stream from one plain file is refused
+    rows = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{sf_dir}/document[s].parquet")
+    ingest.start(views.document_files(rows), made, settings, HashEmbedder(16), "all", f"{place}/checkpoint", available_now=True).awaitTermination()
+    return made.documents().select("file_hash", "status", "chunk_count")
+
+
 # --- small functions ----------------------------------------------------------------
 @query(
     "SELECT page_id, CASE WHEN length(url) >= 10 THEN left(url, 10) || '***' ELSE '***' END AS redacted, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '_' AS prefix, "

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +59,17 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[floa
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as changes of documents: the user is the document."""
     return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("status"), F.col("ts").alias("updated_at"), F.col("event_id").alias("seq"), (F.col("event_type") == "refund").alias("deleted"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see; a local one only where the session names
+    none, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="siftline-")
+    return f"{shared.rstrip('/')}/siftline-{uuid.uuid4().hex}"
+
+
+def document_files(rows: DataFrame) -> DataFrame:
+    """documents as text files; the later the id, the later the file."""
+    content = F.coalesce("text", F.lit("")).cast("binary")
+    name = F.concat(F.lit("/docs/doc_"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".txt"))
+    return rows.select(name.alias("path"), F.timestamp_seconds("doc_id").alias("modificationTime"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
