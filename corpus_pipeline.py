@@ -24,9 +24,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles here; one document of each group stays."""
-    groups = near_duplicates(docs.select("doc_id", "text"), width=5, percent=80)
-    gone = groups.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id")
+    """Five-word shingles here; one document of each group stays.  An id that several
+    rows bear goes only if none of them stays; rows without an id stay."""
+    groups = near_duplicates(docs.select("doc_id", "text"), width=5, percent=80).filter(F.col("doc_id").isNotNull())
+    gone = groups.groupBy("doc_id").agg(F.max("kept").alias("_any")).filter(~F.col("_any")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
