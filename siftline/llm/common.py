@@ -45,9 +45,14 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether a count shows that df has no more than BROADCAST_ROWS rows."""
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if a count shows that it is small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df with a broadcast hint if it is small."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

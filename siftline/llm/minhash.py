@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut, small
+from siftline.llm.common import cut, is_small, small
 from siftline.llm.shingles import WordHashes, mix, shingles
 
 BANDS, ROWS = 28, 5
@@ -208,10 +208,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     sym = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct(), "edges")
     labels = cut(sym.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
+    hint = F.broadcast if is_small(labels) else lambda df: df  # the tables of all rounds have its size
     while True:
-        spread = sym.join(labels.toDF("y", "l"), "y").groupBy("x").agg(F.min("l").alias("l"))
-        near = labels.join(spread.toDF("node", "l"), "node").select("node", F.col("component").alias("old"), F.least("component", "l").alias("component"))
-        up = labels.toDF("component", "above")
+        spread = sym.join(hint(labels.toDF("y", "l")), "y").groupBy("x").agg(F.min("l").alias("l"))
+        near = spread.join(hint(labels.toDF("x", "old")), "x").select(F.col("x").alias("node"), "old", F.least("old", "l").alias("component"))
+        up = hint(labels.toDF("component", "above"))
         new = cut(near.join(up, "component").select("node", "old", F.least("component", "above").alias("component")), "labels")
         if new.filter(F.col("old") != F.col("component")).isEmpty():
             return new.select("node", "component")
@@ -260,14 +261,14 @@ def _links_between(asked: list[dict], there: list[dict], band: int, percent: int
 
 def _residue(large: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components inside large buckets."""
-    member = large.select("bucket", "band", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    member = member.join(classes.select("node", "n_shingles"), "node")
+    member = large.select("bucket", "band", "node").join(small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    member = member.join(small(classes.select("node", "n_shingles")), "node")
     total = F.sum("n_shingles").alias("total")
     by_part = member.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), total)
     top = F.max(F.struct("n", "total", "component"))
     most = by_part.groupBy("bucket").agg(top.alias("top"), F.count(F.lit(1)).alias("parts"), F.sum("total").alias("total")).filter("parts > 1")
     most = cut(most.select("bucket", F.col("top.component").alias("most"), F.ceil(F.col("total") / BLOCK_SHINGLES).alias("blocks"), F.ceil((F.col("total") - F.col("top.total")) / BLOCK_SHINGLES).alias("ask_blocks")), "mixed")
-    placed = cut(member.drop("n_shingles").join(most, "bucket"), "members")
+    placed = cut(member.drop("n_shingles").join(small(most), "bucket"), "members")
     hashed = F.xxhash64("node")
     # every block that asks meets every block: each row goes to the meetings of its own block
     last = {c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1) for c in ("blocks", "ask_blocks")}
@@ -311,9 +312,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, percent: int = 80) -> DataF
     more = cut(_residue(large, labels, classes, sets, percent), "links")
     if not more.isEmpty():
         labels = components(links.union(more))
-    grouped = classes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = grouped.join(least, "component").select("node", "component_id")
-    out = rows.select("doc_id", "node", "n_shingles").join(named, "node", "left")
+    grouped = classes.select("node", "rep").join(small(labels), "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least = cut(grouped.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
+    named = cut(grouped.join(small(least), "component").select("node", "component_id"), "named")
+    out = rows.select("doc_id", "node", "n_shingles").join(small(named), "node", "left")
     final = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", final.alias("component_id"), F.coalesce(F.col("doc_id") == final, F.lit(False)).alias("kept"))
