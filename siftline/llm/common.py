@@ -65,6 +65,12 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def strings(column: pa.Array, step: int = 512) -> Iterator[str | None]:
+    """The texts of a column; only step of them are Python strings at a time."""
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
 def append_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list[str | None]], list[pa.Array]]], fields: str) -> DataFrame:
     """df with columns that a function computes from the texts of a batch.
 
@@ -77,7 +83,9 @@ def append_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list[s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *of(batch.column(at).to_pylist())], names=[*batch.schema.names, *new.names])
+        for whole in batches:
+            for begin in range(0, len(whole), 512):
+                batch = whole.slice(begin, 512)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *of(batch.column(at).to_pylist())], names=[*batch.schema.names, *new.names])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *new.fields]))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut, is_small, small
+from siftline.llm.common import cut, is_small, small, strings
 from siftline.llm.shingles import WordHashes, mix, shingles
 
 BANDS, ROWS = 28, 5
@@ -129,7 +129,7 @@ def describe(docs: DataFrame, width: int) -> DataFrame:
                     names=["key", "doc_id", "node", "n_shingles", "signature"],
                 )
 
-            for i, text in enumerate(batch.column(2).to_pylist()):
+            for i, text in enumerate(strings(batch.column(2))):
                 rows.append(i)
                 sets.append(np.unique(shingles(cache.of(text), width)))
                 size += len(sets[-1])
@@ -189,7 +189,7 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            for i, (node, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            for i, (node, text) in enumerate(zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True)):
                 s = np.unique(shingles(cache.of(text), width))
                 d = np.array([np.add.reduce(mix(s ^ np.uint64(c))) + np.uint64(len(s)) for c in (0x1234567, 0xABCDEF987)], dtype=np.uint64)
                 if len(s) and d.tobytes() == node:

@@ -28,8 +28,8 @@ from siftline.llm.common import text_of
 
 MARK = "▁"
 LONG = 128
-CACHE_UNITS = 600_000
-CHUNK_CHARS = 2_000_000
+CACHE_UNITS = 200_000
+CHUNK_CHARS = 1_000_000
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _SPAN = 0x110000
 _NONE = np.iinfo(np.int64).max
@@ -75,9 +75,9 @@ class PieceModel:
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.char_symbol[ord(p)] = i
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Units that are known, by number: where their ids are and how many."""
         self.known: dict[str, int] = {}
         self.unit_ids, self.unit_at, self.unit_len = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -193,7 +193,7 @@ class PieceModel:
             ends.append(len(units))
         new = set(units).difference(self.known)
         if new and len(self.known) + len(new) > CACHE_UNITS:
-            self._forget()
+            self.forget()
             new = set(units)
         if new:
             self._learn(sorted(new))
@@ -243,13 +243,16 @@ def encode_decode(docs: DataFrame, model_file: str, key: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of(model_file)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in chunks(texts):
-                flat, ends = model.encode(texts[a:b])
-                offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                ids = pa.ListArray.from_arrays(offsets, pa.array(flat, type=pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, pa.array(model.decode(flat, ends), type=pa.string())], names=["key", "token_ids", "decoded"])
+        for whole in batches:
+            for begin in range(0, len(whole), 1024):
+                batch = whole.slice(begin, 1024)
+                texts = batch.column(1).to_pylist()
+                for a, b in chunks(texts):
+                    flat, ends = model.encode(texts[a:b])
+                    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+                    ids = pa.ListArray.from_arrays(offsets, pa.array(flat, type=pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids, pa.array(model.decode(flat, ends), type=pa.string())], names=["key", "token_ids", "decoded"])
+        model.forget()  # the worker lives on, for other work
 
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import append_columns, cut
+from siftline.llm.common import append_columns, cut, strings
 
 PREFIXES = range(3, 11)
 TRAIN_ROWS = 10_000
@@ -151,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
             return out
 
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text, label in zip(strings(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 words = fold(text).split()
                 side = (len(LEVELS) + 1) * (label > 0)
                 found.setdefault("", [0] * wide)[side + len(LEVELS)] += len(words)
@@ -160,7 +160,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
                     for k, level in enumerate(LEVELS):
                         row[side + k] += n >= level
                     row[side + len(LEVELS)] += min(n, COUNT_TO)
-                if len(found) > 500_000:
+                if len(found) > 150_000:
                     yield flush()
         yield flush()
 
