@@ -105,11 +105,15 @@ def vector_dim_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.withColumn("ok", (F.col("least") == 64) & (F.col("most") == 64))
 
 
+# Of the cells, how many are read: vectors without clusters have their neighbours in most of them.
+IVF_CELLS, IVF_PROBES = 8, 7
+
+
 @query()
 def search_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views.vectors(spark, sf_dir)
-    centres = search.train_cells(v, 8)
-    found = search.search_cells(search.assign_cells(v, centres), views.documents(spark, sf_dir), views.query_vector(spark, sf_dir), centres, probes=3, limit=10)
+    centres = search.train_cells(v, IVF_CELLS)
+    found = search.search_cells(search.assign_cells(v, centres), views.documents(spark, sf_dir), views.query_vector(spark, sf_dir), centres, probes=IVF_PROBES, limit=10)
     return found.select("chunk_id", "document_id", "filename", F.round("score", 6).alias("score"))
 
 
