@@ -21,14 +21,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: The characters of SPACE.
+_SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def normalise(text: Column) -> Column:
     """Without control characters but line feeds (tabs and carriage returns go, too),
-    runs of spaces as one, no white space at either end."""
-    return trim(F.regexp_replace(F.regexp_replace(text, f"[{_CONTROL}]", ""), f"[{_SOFT_SPACE}]+", " "))
+    runs of spaces as one, no white space at either end.  Computed once, however often the
+    result is named; a single plain space is not touched."""
+    bare = F.regexp_replace(text, f"[{_CONTROL}]+", "")
+    return let(bare, lambda t: trim(F.regexp_replace(t, f"[{_SOFT_SPACE}]{{2,}}|[{_SOFT_SPACE[1:]}]", " ")))
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"[^{SPACE}]++"))
 
 
 def words(text: Column) -> Column:
@@ -57,8 +67,7 @@ def chunks(text: Column, size: int = 512, overlap: int = 64) -> Column:
 
 def chunk_count(text: Column, size: int = 512, overlap: int = 64) -> Column:
     step = check_window(size, overlap)
-    n = F.size(words(F.coalesce(text, F.lit(""))))
-    return F.when(n == 0, 0).otherwise(F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step)).cast("int")) + 1)
+    return let(word_count(F.coalesce(text, F.lit(""))), lambda n: F.when(n == 0, 0).otherwise(F.greatest(F.lit(0), F.ceil((n - size) / F.lit(step)).cast("int")) + 1))
 
 
 def base_name(path: Column) -> Column:
@@ -82,8 +91,11 @@ def lenient_int(text: Column) -> Column:
     return F.coalesce(text.try_cast("int"), F.lit(0))
 
 
+UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+
+
 def is_uuid(text: Column) -> Column:
-    return F.coalesce(text.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), F.lit(False))
+    return F.coalesce(text.rlike(UUID), F.lit(False))
 
 
 def score_bucket(score: Column) -> Column:

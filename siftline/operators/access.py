@@ -22,7 +22,7 @@ def check_requests(requests: DataFrame, acl: DataFrame, declared: list[str]) ->
     if acl.isEmpty():
         return requests.withColumn("code", F.lit(OK))
     keys = acl.groupBy("api_key").agg(F.flatten(F.collect_list("namespaces")).alias("_has"))
-    joined = requests.join(F.broadcast(keys), "api_key", "left")
+    joined = requests.join(keys, "api_key", "left")  # keys are broadcast if they are few
     known = F.col("namespace").isin(declared) if declared else F.lit(True)
     code = (
         F.when(F.col("_has").isNull(), BAD_KEY)
@@ -59,18 +59,21 @@ def tool_policy(requests: DataFrame, rules: list[tuple[str, list[str], list[str]
     no rules: allowed."""
     if not rules:
         return requests.withColumn("allowed", F.lit(True))
-    verdict = F.lit(False)
-    for condition, tools, namespaces in reversed(rules):
-        lists = [F.array(*[F.lit(x) for x in v]).cast("array<string>") for v in (tools, namespaces)]
-        passes = matches_tool(lists[0], F.col("tool")) & matches_namespace(lists[1], F.col("namespace"))
-        verdict = F.when(F.coalesce(F.expr(condition), F.lit(False)), passes).otherwise(verdict)
-    return requests.withColumn("allowed", verdict)
+    conf = requests.sparkSession.conf
+    ansi = conf.get("spark.sql.ansi.enabled")
+    # expressions keep the mode they are resolved in: here, what fails is null and not an error
+    conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        verdict = F.lit(False)
+        for condition, tools, namespaces in reversed(rules):
+            lists = [F.array(*[F.lit(x) for x in v]).cast("array<string>") for v in (tools, namespaces)]
+            passes = matches_tool(lists[0], F.col("tool")) & matches_namespace(lists[1], F.col("namespace"))
+            verdict = F.when(F.coalesce(F.expr(condition), F.lit(False)), passes).otherwise(verdict)
+        return requests.withColumn("allowed", verdict)
+    finally:
+        conf.set("spark.sql.ansi.enabled", ansi)
 
 
 def resolve(argument: Column, forwarded: Column, default: Column) -> Column:
     """The first that is not empty."""
     return F.coalesce(F.nullif(argument, F.lit("")), F.nullif(forwarded, F.lit("")), default, F.lit(""))
-
-
-def resolve_key(forwarded: Column, exact: Column, wildcard: Column) -> Column:
-    return resolve(forwarded, exact, wildcard)

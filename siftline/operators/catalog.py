@@ -9,6 +9,8 @@ from siftline.schema import UNFINISHED
 
 SORTABLE = ("created_at", "filename")
 PAGE_SIZE = 10
+#: Pages of up to this many rows are chosen by their keys first.
+KEYS_FIRST = 1_000
 
 
 def _filtered(documents: DataFrame, namespace: str, status: str = "") -> DataFrame:
@@ -23,7 +25,12 @@ def list_documents(documents: DataFrame, namespace: str, status: str = "", sort_
         raise ValueError("offset must not be negative")
     key = F.col(sort_by if sort_by in SORTABLE else "created_at")
     order = key.asc() if sort_order.upper() == "ASC" else key.desc()
-    return _filtered(documents, namespace, status).orderBy(order, "id").offset(offset).limit(limit if limit > 0 else PAGE_SIZE)
+    rows, n = _filtered(documents, namespace, status), limit if limit > 0 else PAGE_SIZE
+    if n > KEYS_FIRST:
+        return rows.orderBy(order, "id").offset(offset).limit(n)
+    # the page is chosen by keys alone, so that other columns are computed for its rows only
+    ids = [r["id"] for r in rows.select("id", key).orderBy(order, "id").offset(offset).limit(n).collect()]
+    return rows.filter(F.col("id").isin(ids)).orderBy(order, "id")
 
 
 def count_documents(documents: DataFrame, namespace: str, status: str = "") -> DataFrame:

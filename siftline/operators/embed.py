@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import urllib.request
 from collections.abc import Iterator
 from dataclasses import dataclass
+from http.client import HTTPException
+from itertools import chain
 from typing import Protocol
 
 import numpy as np
@@ -40,6 +43,17 @@ def hashed_counts(text: Column, dimensions: int) -> Column:
     return X.let(F.transform(X.words(text), lambda w: md5_bucket(w, dimensions)), of)
 
 
+class _Buckets(dict):
+    """Bucket of each word, kept for words that come again."""
+
+    def __init__(self, dimensions: int) -> None:
+        self.dimensions = dimensions
+
+    def __missing__(self, word: str) -> int:
+        self[word] = k = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dimensions
+        return k
+
+
 @dataclass
 class HashEmbedder:
     """Feature hashing, of length 1.  A stand-in where no model can be reached: the
@@ -48,16 +62,11 @@ class HashEmbedder:
     dimensions: int = 64
 
     def _vectors(self, texts: list[str | None]) -> np.ndarray:
-        import hashlib
-
-        out = np.zeros((len(texts), self.dimensions))
-        cache: dict[str, int] = {}
-        for i, t in enumerate(texts):
-            for w in (t or "").split():
-                k = cache.get(w)
-                if k is None:
-                    k = cache[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % self.dimensions
-                out[i, k] += 1
+        words = [(t or "").split() for t in texts]
+        bucket = _Buckets(self.dimensions)
+        flat = np.fromiter(map(bucket.__getitem__, chain.from_iterable(words)), dtype=np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(w) for w in words])
+        out = np.bincount(row * self.dimensions + flat, minlength=len(texts) * self.dimensions).reshape(len(texts), self.dimensions).astype(float)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=np.zeros_like(out), where=length > 0).astype(np.float32)
 
@@ -71,7 +80,8 @@ class HashEmbedder:
 @dataclass
 class HttpEmbedder:
     """A service with the widespread ``POST /v1/embeddings`` interface.  Each request
-    holds a batch of texts; failures are tried again with doubling pauses."""
+    holds a batch of texts; failures, and answers that are cut short, malformed or of the
+    wrong number or size, are tried again with doubling pauses."""
 
     base_url: str
     model: str
@@ -80,6 +90,7 @@ class HttpEmbedder:
     timeout_seconds: float = 60.0
     max_retries: int = 3
     batch: int = 32
+    pause: float = 1.0  # times the usual pauses
 
     def _request(self, texts: list[str]) -> list[list[float]]:
         body = json.dumps({"model": self.model, "input": texts}).encode()
@@ -93,10 +104,10 @@ class HttpEmbedder:
                 if len(vectors) != len(texts) or any(len(v) != self.dimensions for v in vectors):
                     raise ValueError("embedding: wrong number or size of vectors")
                 return vectors
-            except OSError:
+            except (OSError, HTTPException, ValueError, KeyError, TypeError) as e:
                 if attempt == self.max_retries:
-                    raise
-                time.sleep(X.backoff_seconds(attempt))
+                    raise OSError(f"embedding failed {attempt} times: {e}") from e
+                time.sleep(self.pause * X.backoff_seconds(attempt))
         raise AssertionError
 
     def one(self, text: str) -> list[float]:
@@ -116,9 +127,11 @@ def _append(df: DataFrame, text: str, out: str, make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = make()
-        for batch in batches:
-            v = vectors(batch.column(at).to_pylist())
-            offsets = pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(v.reshape(-1), pa.float32()))], names=[*batch.schema.names, out])
+        for whole in batches:
+            for begin in range(0, len(whole), 512):
+                batch = whole.slice(begin, 512)
+                v = vectors(batch.column(at).to_pylist())
+                offsets = pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(v.reshape(-1), pa.float32()))], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.vector import cosine_to, cosine_udf
 
+if TYPE_CHECKING:
+    from siftline.operators.store import Store
+
 DEFAULT_LIMIT = 5
+#: Up to this many best chunks are looked up in the documents at a time.
+LOOK_UP = 10_000
 
 
 def check_dimensions(chunks: DataFrame, dimensions: int) -> None:
@@ -34,11 +41,34 @@ def search(chunks: DataFrame, documents: DataFrame, query: list[float], namespac
     Every chunk needs its document, which deletion sees to."""
     k = limit if limit > 0 else DEFAULT_LIMIT
     best = score_chunks(chunks, query, namespace, vectorised).orderBy(F.desc_nulls_last("score"), "id").limit(k)
-    named = F.broadcast(best).join(documents.select(F.col("id").alias("document_id"), "filename"), "document_id")
+    named = (F.broadcast(best) if k <= LOOK_UP else best).join(documents.select(F.col("id").alias("document_id"), "filename"), "document_id")
     out = named.select(F.col("id").alias("chunk_id"), "document_id", "namespace", "filename", "chunk_index", "content", "score", "metadata")
     return out.orderBy(F.desc_nulls_last("score"), "chunk_id")
 
 
+def search_store(store: Store, query: list[float], namespace: str = "", limit: int = 0) -> DataFrame:
+    """search over a store: one pass over the vectors of the namespace, whose best chunks
+    (some more than asked for, as deleted documents and older attempts are still there)
+    are then held against the events of their documents alone.  Only if too few of these
+    count, the pass is made again for more.  A limit beyond LOOK_UP joins all chunks."""
+    k = limit if limit > 0 else DEFAULT_LIMIT
+    of = namespace or None
+    kind = "chunk_id string, document_id string, namespace string, filename string, chunk_index int, content string, score double, metadata map<string,string>"
+    columns = [F.col("id").alias("chunk_id"), "document_id", "namespace", "filename", "chunk_index", "content", "score", "metadata"]
+    order = [F.desc_nulls_last("score"), "chunk_id"]
+    scored = score_chunks(store.written_chunks(of), query).drop("embedding", "created_at")
+    n = 2 * k
+    while n <= LOOK_UP:
+        best = scored.orderBy(F.desc_nulls_last("score"), "id").limit(n).collect()
+        held = store.spark.createDataFrame(best, scored.schema)
+        asked = held.select(F.col("document_id").alias("id")).distinct()
+        found = store.counted(held, store.events(of).join(F.broadcast(asked), "id", "left_semi")).select(*columns).orderBy(*order).limit(k).collect()
+        if len(found) == k or len(best) < n:
+            return store.spark.createDataFrame(found, kind).orderBy(*order)
+        n *= 4
+    return store.counted(scored, store.events(of)).select(*columns).orderBy(*order).limit(k)
+
+
 def train_cells(chunks: DataFrame, cells: int, seed: int = 1, sample_rows: int = 100_000) -> list[list[float]]:
     """Centres of k-means cells from at most sample_rows vectors."""
     from pyspark.ml.clustering import KMeans

@@ -1,9 +1,11 @@
 """Mutable documents and chunks on append-only Parquet.
 
 Every change of a document is a row in ``events``; the latest row of an id is its
-state, and a deleted one hides the document and its chunks.  Chunks carry the number
-of the attempt that wrote them; the attempt of the latest event counts.  A batch that
-is written again replaces its own files only.
+state, and a deleted one hides the document and its chunks.  Changes of all writers are
+ordered by ``seq``, microseconds since 1970; a batch that is written again keeps its own.
+Chunks carry the number of the attempt that wrote them; that of the latest event counts.
+A batch that is written again replaces its own files only.  Columns that an older store
+lacks are null.
 """
 
 from __future__ import annotations
@@ -61,37 +63,51 @@ class Store:
         place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
 
-    def _read(self, name: str, kind) -> DataFrame:
+    def _read(self, name: str, kind, namespace: str | None = None) -> DataFrame:
+        """A table with its batch; of one namespace, only its folders are read."""
         from pyspark.sql import types as T
 
-        return self.spark.read.schema(T.StructType([*kind.fields, T.StructField("batch", T.StringType())])).parquet(f"{self.path}/{name}").drop("batch")
+        rows = self.spark.read.schema(T.StructType([*kind.fields, T.StructField("batch", T.StringType())])).parquet(f"{self.path}/{name}")
+        return rows if namespace is None else rows.filter(F.col("namespace") == namespace)
 
     def _append(self, df: DataFrame, name: str, batch: str) -> None:
         out = df.withColumn("batch", F.lit(batch))
         writer = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("namespace", "batch").parquet(f"{self.path}/{name}")
 
-    def events(self) -> DataFrame:
-        return self._read("events", S.EVENTS)
+    def events(self, namespace: str | None = None, without: str | None = None) -> DataFrame:
+        """All events, or those of a namespace; without those of one batch."""
+        rows = self._read("events", S.EVENTS, namespace)
+        return (rows if without is None else rows.filter(F.col("batch") != without)).drop("batch")
 
-    def documents(self) -> DataFrame:
-        return live(self.events()).select(*S.DOCUMENTS.names)
+    def documents(self, namespace: str | None = None) -> DataFrame:
+        return live(self.events(namespace)).select(*S.DOCUMENTS.names)
 
-    def chunks(self) -> DataFrame:
-        """Chunks of the latest attempt of each live document."""
-        now = live(self.events()).select(F.col("id").alias("document_id"))
-        rows = self._read("chunks", S.CHUNKS).join(now, "document_id", "left_semi")
-        last = rows.groupBy("document_id").agg(F.max("attempt").alias("attempt"))
-        return rows.join(last, ["document_id", "attempt"]).select(*S.CHUNKS.names)
+    def written_chunks(self, namespace: str | None = None) -> DataFrame:
+        """All chunks that were ever written, also those that don't count any more."""
+        return self._read("chunks", S.CHUNKS, namespace).drop("batch")
+
+    def counted(self, chunks: DataFrame, events: DataFrame) -> DataFrame:
+        """chunks of the attempt that the latest event of a live document names, with its
+        filename.  Chunks without an event don't count."""
+        now = live(events).select(F.col("id").alias("_id"), F.col("attempt").alias("_attempt"), F.col("filename").alias("filename"))
+        mine = (F.col("document_id") == F.col("_id")) & (F.col("_attempt").isNull() | (F.col("attempt") == F.col("_attempt")))
+        return chunks.join(now, mine).drop("_id", "_attempt")
+
+    def chunks(self, namespace: str | None = None) -> DataFrame:
+        return self.counted(self.written_chunks(namespace), self.events(namespace)).select(*S.CHUNKS.names)
 
     @staticmethod
     def now() -> int:
         return time.time_ns() // 1000
 
     def append_events(self, rows: DataFrame, batch: str, seq: int) -> None:
-        """rows have the columns of documents; optionally deleted."""
+        """rows have the columns of documents; optionally deleted, and the attempt of the
+        chunks that count, else seq."""
         if "deleted" not in rows.columns:
             rows = rows.withColumn("deleted", F.lit(False))
+        if "attempt" not in rows.columns:
+            rows = rows.withColumn("attempt", F.lit(seq))
         out = rows.withColumn("seq", F.lit(seq).cast("long"))
         self._append(out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.EVENTS]), "events", batch)
 
@@ -101,7 +117,7 @@ class Store:
     def change(self, where: Column, **values: Column) -> int:
         """Append a new state for the documents that match; how many there were.
         No match is no error."""
-        rows = self.documents().filter(where).withColumns({"updated_at": F.current_timestamp(), **values})
+        rows = live(self.events()).drop("seq").filter(where).withColumns({"updated_at": F.current_timestamp(), **values})
         seq = self.now()
         self.append_events(rows, f"c{seq}", seq)
         return self.events().filter(F.col("seq") == seq).count()
@@ -113,6 +129,19 @@ class Store:
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
+    def seq_of(self, batch: str) -> int:
+        """The place of a batch in the order of changes: now, and the same if the batch
+        is written again."""
+        path = f"{self.path}/work/{batch}-seq"
+        if not self._exists(f"work/{batch}-seq/_SUCCESS"):
+            self.spark.createDataFrame([(self.now(),)], "seq long").write.mode("overwrite").parquet(path)
+        return self.spark.read.schema("seq long").parquet(path).first()["seq"]
+
+    def forget(self, name: str) -> None:
+        """Remove a table of the work folder."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/work/{name}")
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
     def create_document(self, id: str, namespace: str, filename: str, format: str, file_hash: str | None, file_path: str | None, instance_id: str | None) -> None:
         row = self.spark.createDataFrame([(id, namespace, filename, format, S.PENDING, None, 0, file_hash, file_path, instance_id)], "id string, namespace string, filename string, format string, status string, error string, chunk_count int, file_hash string, file_path string, instance_id string")
         seq = self.now()
@@ -135,6 +164,6 @@ class Store:
         """The current state alone, written to a new folder."""
         new = Store(self.spark, path, self.dimensions)
         seq = self.now()
-        new.append_events(self.documents(), f"c{seq}", seq)
         new.append_chunks(self.chunks(), f"c{seq}")
+        new.append_events(live(self.events()).drop("seq"), f"c{seq}", seq)
         return new

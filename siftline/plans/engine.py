@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline.config import Config
 from siftline.functions import text as X
 from siftline.operators import access, catalog
 from siftline.operators.embed import Embedder, HashEmbedder, HttpEmbedder
-from siftline.operators.search import search
+from siftline.operators.search import search_store
 from siftline.operators.store import Store
 from siftline.sources.files import read_files
 from siftline.streaming import ingest
@@ -21,6 +23,7 @@ class Engine:
         remote = HttpEmbedder(e.base_url, e.model, e.api_key, e.dimensions, e.timeout_seconds, self.config.worker.max_retries)
         self.embedder = embedder or (remote if e.base_url else HashEmbedder(e.dimensions))
         self.spark, self.store = spark, Store(spark, path, self.embedder.dimensions)
+        self.streams: list = []
 
     def ingest(self, paths: str | list[str], namespace: str = "") -> DataFrame:
         """Take in files; returns what was set aside and why."""
@@ -29,32 +32,49 @@ class Engine:
 
     upload_document = ingest
 
-    def watch(self, path: str, namespace: str, checkpoint: str, available_now: bool = False):
-        return ingest.start_stream(self.store, self.config, self.embedder, path, namespace, checkpoint, available_now)
+    def watch(self, path: str, namespace: str, checkpoint: str, available_now: bool = False, done: str = "off", archive: str = ""):
+        """A stream of new files; done says what becomes of files taken in (see read_files)."""
+        query = ingest.start_stream(self.store, self.config, self.embedder, path, namespace, checkpoint, available_now, done, archive)
+        self.streams.append(query)
+        return query
+
+    def close(self, timeout_seconds: float = 30.0) -> None:
+        """Stop all streams, each after the micro-batch it is at, or when time is up."""
+        ingest.drain(self.streams, timeout_seconds)
+        self.streams.clear()
 
     def recover(self) -> DataFrame:
         return ingest.recover(self.store, self.config, self.embedder)
 
     def list_documents(self, namespace: str = "", **how) -> tuple[DataFrame, int]:
-        """A page and the number of all that match."""
-        docs = self.store.documents()
+        """A page and the number of all that match; an offset past the end gives the last page."""
+        docs = self.store.documents(namespace)
         total = catalog.count_documents(docs, namespace, how.get("status", "")).first()["total"]
+        size = how["limit"] if how.get("limit", 0) > 0 else catalog.PAGE_SIZE
+        if total and how.get("offset", 0) >= total:
+            how["offset"] = (page_count(total, size) - 1) * size
         return catalog.list_documents(docs, namespace, **how).drop("file_path", "instance_id"), total
 
     def get_document(self, id: str, namespace: str = "") -> DataFrame:
-        found = catalog.get_document(self.store.documents(), namespace, id)
+        found = catalog.get_document(self.store.documents(namespace), namespace, self._checked(id))
         if found.isEmpty():
             raise LookupError(f"document {id} not found")
         return found.drop("file_path", "instance_id")
 
     def delete_document(self, id: str, namespace: str = "") -> None:
-        self.store.delete_document(namespace, id)
+        self.store.delete_document(namespace, self._checked(id))
+
+    @staticmethod
+    def _checked(id: str) -> str:
+        if not re.fullmatch(X.UUID, id or ""):
+            raise ValueError(f"not a document id: {id!r}")
+        return id
 
     def search(self, query: str, namespace: str = "", limit: int = 0) -> DataFrame:
         if not query.strip():
             raise ValueError("query must not be empty")
         k = limit if limit > 0 else self.config.search.default_limit
-        return search(self.store.chunks(), self.store.documents(), self.embedder.one(query), namespace, k)
+        return search_store(self.store, self.embedder.one(query), namespace, k)
 
     def info(self, key: str | None = None) -> list[str]:
         acl = [(k.key, k.namespaces) for k in self.config.auth.api_keys]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +17,7 @@ from siftline.operators import access, catalog, search, store
 from siftline.operators.embed import HashEmbedder, hashed_counts
 from siftline.plans import views
 from siftline.sources import parsers
-from siftline.sources.files import extract
+from siftline.sources.files import extract, stable_id
 from siftline.sources.files import html_text as html_column
 from siftline.streaming import ingest
 
@@ -206,7 +209,7 @@ def normalise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, len({_WORDS}) AS n_words FROM documents")
 def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views.table(spark, sf_dir, "documents").select("doc_id", F.size(X.words(F.col("text"))).cast("long").alias("n_words"))
+    return views.table(spark, sf_dir, "documents").select("doc_id", X.word_count(F.col("text")).cast("long").alias("n_words"))
 
 
 def _chunk_sql(size: int, overlap: int) -> str:
@@ -290,7 +293,7 @@ def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Fixed values of the access queries.
 ACL = [("key-a", ["en", "de"]), ("key-b", ["*"]), ("key-c", ["fr"])]
 DECLARED = ["en", "de", "fr"]
-RULES = [("role = 'admin'", ["*"], []), ("role = 'reader'", ["search*", "get_document"], ["en", "fr"]), ("role is null", [], ["de"])]
+RULES = [("cast(role as int) = 1", [], []), ("role = 'admin'", ["*"], []), ("role = 'reader'", ["search*", "get_document"], ["en", "fr"]), ("role is null", [], ["de"])]
 _ROLE = "CASE doc_id % 5 WHEN 0 THEN 'admin' WHEN 1 THEN 'reader' WHEN 2 THEN 'guest' WHEN 3 THEN 'reader' END"
 _TOOL = "CASE doc_id % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'search_all' ELSE 'delete_document' END"
 _KEY = "CASE doc_id % 5 WHEN 0 THEN 'key-a' WHEN 1 THEN 'key-b' WHEN 2 THEN 'key-c' WHEN 3 THEN 'nobody' END"
@@ -313,7 +316,7 @@ def ns_acl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_REQUESTS} SELECT request_id, CASE WHEN role = 'admin' THEN true WHEN role = 'reader' THEN (starts_with(tool, 'search') OR tool = 'get_document') AND (namespace = '' OR namespace IN ('en', 'fr')) "
+    f"WITH {_REQUESTS} SELECT request_id, CASE WHEN try_cast(role AS INT) = 1 THEN true WHEN role = 'admin' THEN true WHEN role = 'reader' THEN (starts_with(tool, 'search') OR tool = 'get_document') AND (namespace = '' OR namespace IN ('en', 'fr')) "
     "WHEN role IS NULL THEN namespace = '' OR namespace = 'de' ELSE false END AS allowed FROM r"
 )
 def tool_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,7 +336,29 @@ def visible_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- files and ingest ---------------------------------------------------------------
-#: Files of the text formats and their text.
+def archive(**members: str) -> bytes:
+    """A zip archive; two underscores in a name stand for a slash, one for a dot."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in members.items():
+            z.writestr(zipfile.ZipInfo(name.replace("__", "/").replace("_", ".")), body)
+    return out.getvalue()
+
+
+def pdf_of(*pages: bytes, packed: bool = False) -> bytes:
+    """A PDF file with these content streams."""
+    kids = b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages)))
+    out = [b"%PDF-1.5", b"1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj", b"2 0 obj <</Type /Pages /Kids [" + kids + b"]>> endobj"]
+    for i, body in enumerate(pages):
+        data, how = (zlib.compress(body), b" /Filter /FlateDecode") if packed else (body, b"")
+        out.append(b"%d 0 obj <</Type /Page /Parent 2 0 R /Contents %d 0 R>> endobj" % (10 + 2 * i, 11 + 2 * i))
+        out.append(b"%d 0 obj <</Length %d%s>>\nstream\n" % (11 + 2 * i, len(data), how) + data + b"\nendstream endobj")
+    return b"\n".join(out)
+
+
+_W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+_T = 'xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0" xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0"'
+#: Files of the formats and their text.
 FORMATS = {
     "a.txt": (b"plain text", "plain text"),
     "b.MD": (b"# title", "# title"),
@@ -347,6 +372,23 @@ FORMATS = {
     "j.eml": (b"Subject: s\n\nbody", "Subject: s\n\nbody"),
     "k.pdf": (b"%PDF-1.4\n1 0 obj<</Type/Catalog/Pages 2 0 R>>endobj 2 0 obj<</Kids[3 0 R]>>endobj 3 0 obj<</Contents 4 0 R>>endobj 4 0 obj<<>>stream\nBT (page) Tj ET\nendstream endobj", "page"),
     "l.docx": (b"no archive", None),
+    "a2.txt": (b"wrong byte \xff here", "wrong byte \ufffd here"),
+    "c2.htm": (b"<style>p{}</style><p>tea &amp; milk<script>var x='<p>';</script><!-- no --><p>end", "tea & milk\nend"),
+    "d2.csv": (b"a,b\n1\n", None),
+    "e2.json": (b'{"half": "\\ud83d"}', '{\n  "half": "?"\n}'),
+    "e3.json": (b"{", None),
+    "f2.yml": (b"", "null"),
+    "g2.toml": (b"k = = 1", None),
+    "h2.xml": (b"<a><![CDATA[raw]]>&lt;x</a>", None),
+    "i2.rtf": (rb"{\rtf1{\fonttbl{\f0 Arial;}}{\*\generator g;}see {\field{\*\fldinst HYPERLINK http://x}{\fldrslt this}}\par end}", None),
+    "i3.rtf": (rb"{\rtf1{\latentstyles l;}{\datastore 00}{\colorschememapping 11}text \{1\}}", "text {1}"),
+    "j2.eml": (b"From: a@b\nSubject: long\n  line\nX: y\n\nfirst\nsecond", "Subject: long line\nFrom: a@b\n\nfirst\nsecond"),
+    "k2.pdf": (pdf_of(b"BT (first) Tj ET", b"BT (second) Tj (quoted) ' ET", packed=True), "first\n\nsecond\nquoted"),
+    "k3.pdf": (pdf_of(b"BT <FEFFE0010078> Tj [(of) -80 <FEFFFB03> -20 (ce)] TJ ET"), "fixof fice"),
+    "k4.pdf": (b"not a pdf", None),
+    "l2.docx": (archive(word__document_xml=f"<w:document {_W}><w:body><w:p><w:r><w:t>Dear</w:t></w:r></w:p><w:p><w:r><w:t>reader</w:t></w:r></w:p></w:body></w:document>"), "Dear\nreader"),
+    "m.odt": (archive(content_xml=f"<office:document-content {_T}><office:body><office:text><text:p>open</text:p><text:p>text</text:p></office:text></office:body></office:document-content>"), "open\ntext"),
+    "m2.odt": (archive(other_xml="<x/>"), None),
 }
 
 
@@ -375,14 +417,91 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.documents().select("file_hash", "status", "chunk_count")
 
 
+def _new_store(spark: SparkSession) -> tuple[str, store.Store, Config]:
+    place, settings = views.scratch(spark), Config()
+    settings.embedder.dimensions = 16
+    return place, store.Store(spark, f"{place}/store", 16), settings
+
+
+_TAKEN_IN = f"SELECT sha256(text) AS file_hash, max(CASE WHEN n = 0 THEN 0 ELSE greatest(0, ceil((n - 512) / 448.0))::INT + 1 END)::BIGINT AS n_chunks FROM (SELECT text, len({_WORDS}) AS n FROM documents) GROUP BY text"
+
+
+def _taken_in(made: store.Store) -> DataFrame:
+    """Live documents with the number of their chunks that count."""
+    n = made.chunks().groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("n_chunks"))
+    return made.documents().join(n, "id", "left").select("file_hash", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+
+
+@query(_TAKEN_IN)
+def ingest_two_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents by two streams with checkpoints of their own into one namespace, the second
+    of which meets what the first has taken in."""
+    place, made, settings = _new_store(spark)
+    kind = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    for name, part in (("one", F.col("lang").isin("en", "fr")), ("two", F.lit(True))):
+        rows = spark.readStream.schema(kind).parquet(f"{sf_dir}/document[s].parquet").filter(part)
+        ingest.start(views.document_files(rows), made, settings, HashEmbedder(16), "all", f"{place}/{name}", available_now=True).awaitTermination()
+    return _taken_in(made)
+
+
+@query(_TAKEN_IN)
+def delete_then_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in one batch; those of two chunks or more are deleted and come again by a
+    stream."""
+    place, made, settings = _new_store(spark)
+    attempt = made.now()
+    ingest.ingest_files(views.document_files(views.table(spark, sf_dir, "documents")), made, settings, HashEmbedder(16), "all", f"b{attempt}", attempt)
+    made.change(F.col("chunk_count") > 1, deleted=F.lit(True))
+    rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/documents.parquet").schema).parquet(f"{sf_dir}/document[s].parquet")
+    ingest.start(views.document_files(rows), made, settings, HashEmbedder(16), "all", f"{place}/again", available_now=True).awaitTermination()
+    return _taken_in(made)
+
+
+@query(f"WITH {DOCS} SELECT id, CASE WHEN status IN ('pending', 'processing') AND file_path IS NOT NULL AND instance_id = 'node-1' THEN 'failed' ELSE status END AS status FROM docs")
+def recover_unfinished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents after recovery of an instance whose files are gone."""
+    _, made, settings = _new_store(spark)
+    settings.instance_id = "node-1"
+    seq = made.now()
+    made.append_events(views.documents(spark, sf_dir), "old", seq)
+    ingest.recover(made, settings, HashEmbedder(16))
+    return made.documents().select("id", "status")
+
+
+_STORED = "SELECT vec_id::VARCHAR AS id, label::VARCHAR || '-' || (vec_id % 200)::VARCHAR AS document_id, label::VARCHAR AS namespace, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) AS s FROM embeddings"
+
+
+@query(f"SELECT id AS chunk_id, document_id, 'doc-' || document_id AS filename, round(s, 6) AS score FROM ({_STORED}) WHERE namespace = '3' AND document_id NOT LIKE '%7' ORDER BY s DESC, id LIMIT 10")
+def search_store_ns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as a store; some documents are deleted and some of an earlier attempt."""
+    place = views.scratch(spark)
+    made = store.Store(spark, f"{place}/store", 64)
+    rows = views.vectors(spark, sf_dir).withColumn("document_id", F.concat("namespace", F.lit("-"), "document_id")).withColumn("created_at", F.current_timestamp())
+    docs = rows.select(F.col("document_id").alias("id"), "namespace").distinct().withColumns(
+        {"filename": F.concat(F.lit("doc-"), "id"), "format": F.lit("txt"), "status": F.lit("completed"), "error": F.lit(None), "chunk_count": F.lit(1), "file_hash": F.col("id"), "file_path": F.lit(None), "instance_id": F.lit("i"), "created_at": F.current_timestamp(), "updated_at": F.current_timestamp()}
+    )
+    seq = made.now()
+    for attempt in (seq - 1, seq):  # the first one was cut off before its events
+        made.append_chunks(rows.withColumn("attempt", F.lit(attempt)), f"b{attempt}")
+    made.append_events(docs, f"b{seq}", seq)
+    made.change(F.endswith("id", F.lit("7")), deleted=F.lit(True))
+    found = search.search_store(made, views.query_vector(spark, sf_dir), "3", 10)
+    return found.select("chunk_id", "document_id", "filename", F.round("score", 6).alias("score"))
+
+
 # --- small functions ----------------------------------------------------------------
 @query(
     "SELECT page_id, CASE WHEN length(url) >= 10 THEN left(url, 10) || '***' ELSE '***' END AS redacted, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || '_' AS prefix, "
-    "coalesce(try_cast(regexp_extract(url, '([^/]*)$', 1) AS INT), 0)::INT AS number, url FROM pages"
+    "coalesce(try_cast(regexp_extract(url, '([^/]*)$', 1) AS INT), 0)::INT AS number, url, printf('%.1f%%', page_id / 10.0) AS percent, page_id % 2 = 0 AS is_id FROM pages"
 )
 def small_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("url")
-    return views.table(spark, sf_dir, "pages").select("page_id", X.redact_header(u).alias("redacted"), X.tool_prefix(u).alias("prefix"), X.lenient_int(X.base_name(u)).alias("number"), X.base64url(F.translate(F.base64(u.cast("binary")), "+/=", "-_")).cast("string").alias("url"))
+    return views.table(spark, sf_dir, "pages").select("page_id", X.redact_header(u).alias("redacted"), X.tool_prefix(u).alias("prefix"), X.lenient_int(X.base_name(u)).alias("number"), X.base64url(F.translate(F.base64(u.cast("binary")), "+/=", "-_")).cast("string").alias("url"), X.percent(F.col("page_id") / 1000).alias("percent"), X.is_uuid(_some_id(F.col("page_id"))).alias("is_id"))
+
+
+def _some_id(n):
+    """An id for even numbers, something else for odd ones."""
+    return F.when(n % 2 == 0, stable_id(n.cast("string"))).otherwise(F.concat(stable_id(n.cast("string")), F.lit("x")))
 
 
 # --- embedding ----------------------------------------------------------------------

@@ -62,9 +62,13 @@ def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors see; a local one only where the session names
-    none, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="siftline-")
+    """A new folder that all executors see, below spark.checkpoint.dir.  A session that
+    names none is refused unless it runs on one machine, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="siftline-")
     return f"{shared.rstrip('/')}/siftline-{uuid.uuid4().hex}"
 
 

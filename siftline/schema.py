@@ -17,7 +17,8 @@ def _struct(text: str) -> T.StructType:
 
 
 DOCUMENTS = _struct("id:string! namespace:string! filename:string! format:string! status:string! error:string chunk_count:int! file_hash:string file_path:string instance_id:string created_at:timestamp! updated_at:timestamp!")
-#: One row for each change of a document; the latest of an id is its state.
-EVENTS = T.StructType([*DOCUMENTS.fields, *_struct("seq:long deleted:boolean").fields])
+#: One row for each change of a document; the latest of an id is its state.  attempt is that
+#: of the chunks that count.
+EVENTS = T.StructType([*DOCUMENTS.fields, *_struct("seq:long deleted:boolean attempt:long").fields])
 CHUNKS = _struct("id:string! document_id:string! namespace:string! chunk_index:int! content:string! embedding:vector metadata:map created_at:timestamp attempt:long")
 SEARCH_COLUMNS = ("chunk_id", "document_id", "namespace", "filename", "chunk_index", "content", "score", "metadata")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,10 +16,13 @@ NATIVE = (".txt", ".md", ".markdown")
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def read_files(spark: SparkSession, path: str | list[str], streaming: bool = False, files_per_trigger: int = 30) -> DataFrame:
-    """path, modificationTime, length, content of the files below a path."""
+def read_files(spark: SparkSession, path: str | list[str], streaming: bool = False, files_per_trigger: int = 30, done: str = "off", archive: str = "") -> DataFrame:
+    """path, modificationTime, length, content of the files below a path.  A stream leaves
+    files that a later micro-batch has gone beyond where they are (done = off), deletes
+    them (delete) or moves them to the folder archive (archive)."""
     if streaming:
-        return spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_per_trigger).load(path)
+        rows = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_per_trigger).option("cleanSource", done)
+        return (rows.option("sourceArchiveDir", archive) if archive else rows).load(path)
     return spark.read.format("binaryFile").load(path)
 
 
@@ -42,10 +44,6 @@ def stable_id(*parts: Column) -> Column:
     return F.regexp_replace(F.left(F.sha2(F.concat_ws("\x1f", *parts), 256), F.lit(32)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
-def new_id() -> str:
-    return str(uuid.uuid4())
-
-
 def problem_of(files: DataFrame, max_size_mb: int) -> Column:
     """Why a file is not taken in, or null."""
     ext = X.extension(F.col("filename"))
@@ -71,7 +69,8 @@ def extract(files: DataFrame) -> DataFrame:
             errors: list[str | None] = []
             for content, e in zip(batch.column("content"), batch.column("_ext").to_pylist(), strict=True):
                 try:
-                    texts.append(parsers.parse(e, content.as_py() or b""))
+                    text = parsers.parse(e, content.as_py() or b"")
+                    texts.append(text.encode("utf-8", "replace").decode())  # lone surrogates are no text
                     errors.append(None)
                 except Exception as x:  # noqa: BLE001  a broken file is a row with an error, not a broken job
                     texts.append(None)

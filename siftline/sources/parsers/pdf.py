@@ -21,8 +21,8 @@ _TOKEN = re.compile(
 )
 #: Ligatures and private code points that stand for letters.
 LIGATURES = {
-    "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st",
-    "\ue001": "ff", "\ue002": "fi", "\ue003": "fl", "\ue004": "ffi", "\ue005": "ffl",
+    "\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "ſt", "\ufb06": "st",
+    "\ue001": "fi", "\ue002": "fl", "\ue003": "ff", "\ue004": "ffi", "\ue005": "ffl",
 }
 #: Fixed value: a shift in a TJ array below this is a space between words.
 WORD_SHIFT = -50
@@ -217,7 +217,7 @@ def parse_cmap(data: bytes) -> dict[int, str]:
     out: dict[int, str] = {}
 
     def target(hexed: bytes) -> str:
-        return decode_bytes(b"\xfe\xff" + hex_string(hexed[1:-1].rjust(4, b"0")))
+        return hex_string(hexed[1:-1].rjust(4, b"0")).decode("utf-16-be", "replace")
 
     for m in re.finditer(rb"beginbfchar\b(.*?)endbfchar", data, re.DOTALL):
         tokens = re.findall(rb"<[^>]*>", m[1])
@@ -246,9 +246,9 @@ def decode_string(raw: bytes, cmap: dict[int, str] | None) -> str:
         if len(raw) % 2 == 0:
             pairs = [int.from_bytes(raw[i : i + 2]) for i in range(0, len(raw), 2)]
             if pairs and all(p in cmap for p in pairs):
-                return "".join(LIGATURES.get(c, c) for p in pairs for c in cmap[p])
+                return "".join(cmap[p] for p in pairs)
         if any(c in cmap for c in raw):
-            return "".join(LIGATURES.get(c, c) for b in raw for c in cmap.get(b, ""))
+            return "".join(cmap.get(b, "") for b in raw)
     return decode_bytes(raw)
 
 
@@ -307,7 +307,7 @@ def content_text(data: bytes, fonts: dict[str, dict[int, str]] | None = None) ->
             elif v == b"TJ" and isinstance(top, list):
                 show(array_text(top, cmap))
             elif v in (b"'", b'"') and isinstance(top, bytes):
-                line()
+                line(True)
                 show(decode_string(top, cmap))
             elif v in (b"Td", b"TD"):
                 line()

@@ -7,7 +7,7 @@ import re
 
 #: Groups of rich text that hold no text of the document.
 RTF_SKIPPED = frozenset(
-    "fonttbl colortbl stylesheet info pict object header footer headerl headerr headerf footerl footerr footerf footnote generator themedata listtable".split()
+    "fonttbl colortbl stylesheet info pict header footer headerl headerr footerl footerr footnote object themedata colorschememapping datastore latentstyles fldinst".split()
 )
 
 

@@ -1,7 +1,11 @@
 """Files in, chunks out: batch, stream, recovery, deletion, search."""
 
+import hashlib
+import http.server
+import json
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -11,7 +15,7 @@ from siftline import config as C
 from siftline.functions import text as X
 from siftline.functions import vector as V
 from siftline.operators import access, catalog, search
-from siftline.operators.embed import HashEmbedder
+from siftline.operators.embed import HashEmbedder, HttpEmbedder, hashed_counts
 from siftline.plans.engine import Engine, page_count
 from siftline.sources.files import read_files
 
@@ -65,6 +69,10 @@ def test_batch(spark, tmp_path, files):
         e.delete_document(doc, "ns")
     with pytest.raises(LookupError):
         e.get_document(doc, "ns")
+    for call in (e.get_document, e.delete_document):
+        with pytest.raises(ValueError, match="not a document id"):
+            call("17'", "ns")
+    assert e.list_documents("ns", limit=3, offset=90)[0].count() == 1  # the last page
     assert e.health() == {"status": "ok", "code": 200, "services": {"database": "ok", "embedder": "ok"}}
     again = e.store.compact(f"{tmp_path}/compacted")
     assert again.documents().count() == 4 and again.chunks().count() == e.store.chunks().count()
@@ -85,10 +93,111 @@ def test_stream_takes_each_file_once(spark, tmp_path, files):
     from siftline.streaming import ingest
 
     first = read_files(spark, [str(p) for p in sorted(files.iterdir()) if p.name != "h.md"])
-    ingest.ingest_files(first, e.store, e.config, e.embedder, "s", "s0", 1)
+    name = "s" + hashlib.sha256(f"{tmp_path}/cp".encode()).hexdigest()[:16] + "-0"
+    ingest.ingest_files(first, e.store, e.config, e.embedder, "s", name, e.store.seq_of(name))
     assert e.list_documents("s")[1] == 6 and e.store.chunks().count() == chunks + 1
 
 
+def test_two_streams_into_one_namespace(spark, tmp_path):
+    e = engine(spark, tmp_path)
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.txt").write_text(f"text of {name}")
+        assert e.watch(f"{tmp_path}/{name}", "n", f"{tmp_path}/cp-{name}", available_now=True).awaitTermination(120)
+    names = lambda: sorted(r.filename for r in e.list_documents("n", limit=9)[0].collect())
+    assert names() == ["one.txt", "two.txt"] and e.search("two", "n", 1).first()["filename"] == "two.txt"
+    # deleted, and there again with the same bytes under another name
+    doc = e.list_documents("n", limit=9)[0].filter("filename = 'one.txt'").first()["id"]
+    e.delete_document(doc, "n")
+    assert names() == ["two.txt"] and e.search("one", "n").count() == 1
+    (tmp_path / "one" / "again.txt").write_text("text of one")
+    assert e.watch(f"{tmp_path}/one", "n", f"{tmp_path}/cp-one", available_now=True).awaitTermination(120)
+    assert names() == ["again.txt", "two.txt"] and e.search("one", "n", 1).first()["filename"] == "again.txt"
+
+
+def test_files_that_are_taken_in_can_go(spark, tmp_path):
+    e = engine(spark, tmp_path)
+    (tmp_path / "in").mkdir()
+    query = e.watch(f"{tmp_path}/in", "n", f"{tmp_path}/cp", done="delete")
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.txt").write_text(f"number {k}")
+        query.processAllAvailable()
+    assert len(list((tmp_path / "in").iterdir())) < 3 and e.list_documents("n")[1] == 3
+    e.close()
+    assert not query.isActive and e.streams == []
+
+
+def test_chunks_without_their_event_do_not_count(spark, tmp_path, files):
+    """A crash between the chunks and the event of a later attempt."""
+    from siftline.sources.files import identify
+    from siftline.streaming import ingest
+
+    e = engine(spark, tmp_path)
+    e.ingest(str(files / "a.txt"), "n")
+    before = sorted((r.id, r.attempt) for r in e.store.chunks().collect())
+    again = identify(read_files(spark, str(files / "a.txt")), "n").withColumn("created_at", F.current_timestamp())
+    later = e.store.now()
+    e.store.append_chunks(ingest.chunk_rows(ingest.prepare(again, e.config), e.embedder, later), f"b{later}")
+    assert sorted((r.id, r.attempt) for r in e.store.chunks("n").collect()) == before and len(before) == 4
+    assert e.search("alpha1", "n", 9).count() == 4
+    e.store.set_status(e.list_documents("n")[0].first()["id"], "processing")
+    assert e.store.chunks().count() == 4  # a later state keeps the attempt
+
+
+def test_search_reads_one_namespace_once(spark, tmp_path, files):
+    e = engine(spark, tmp_path)
+    e.ingest(str(files), "n")
+    e.ingest(str(files), "m")
+    plan = e.store.written_chunks("n")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "(namespace#" in plan.split("PartitionFilters")[1].split("]")[0]
+    want = [(r.document_id, r.chunk_index) for r in search.search(e.store.chunks("n"), e.store.documents("n"), e.embedder.one("alpha3 beta"), "n", 6).collect()]
+    assert [(r.document_id, r.chunk_index) for r in e.search("alpha3 beta", "n", 6).collect()] == want
+    assert e.search("alpha3", "n", search.LOOK_UP).count() == e.store.chunks("n").count()  # by the join
+
+
+def test_http_embedder(spark):
+    """A service that fails, cuts short and answers wrongly before it answers well."""
+    answers, asked = [], []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, self.headers.get("Authorization"), body["model"], len(body["input"])))
+            vectors = [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(body["input"])]
+            kind = answers.pop(0) if answers else "good"
+            data = {"good": json.dumps({"data": vectors[::-1]}), "cut": '{"data": [', "few": json.dumps({"data": vectors[1:]}), "wide": json.dumps({"data": [v | {"embedding": [1.0] * 3} for v in vectors]}), "other": '{"error": 1}', "down": ""}[kind].encode()
+            self.send_response(503 if kind == "down" else 200)
+            self.send_header("Content-Length", str(len(data) + 5 * (kind == "cut")))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    embedder = HttpEmbedder(f"http://127.0.0.1:{server.server_port}/", "m", "k", 2, 2.0, max_retries=3, batch=2, pause=0.0)
+    for bad in ("cut", "few", "wide", "other", "down"):
+        answers[:] = [bad, bad]
+        assert embedder.one("abc") == [3.0, 1.0] and not answers
+    answers[:] = ["down"] * 3
+    with pytest.raises(OSError, match="3 times"):
+        embedder.one("abc")
+    assert asked[0] == ("/v1/embeddings", "Bearer k", "m", 1)
+    asked.clear()
+    rows = spark.createDataFrame([("a",), ("bb",), (None,), ("cccc",), ("",)], "content string").coalesce(1)
+    assert sorted(r.embedding for r in embedder.add(rows).collect()) == [[0.0, 1.0], [0.0, 1.0], [1.0, 1.0], [2.0, 1.0], [4.0, 1.0]]
+    assert sorted(a[3] for a in asked) == [1, 2, 2]
+    server.shutdown()
+
+
+def test_hashed_words_by_column_and_by_numpy(spark):
+    rows = spark.createDataFrame([("one two two",), ("",), (None,), ("é é é",)], "content string")
+    for r in HashEmbedder(8).add(rows).withColumn("n", hashed_counts(F.coalesce("content", F.lit("")), 8)).collect():
+        length = math.sqrt(sum(x * x for x in r.n)) or 1.0
+        assert np.allclose(r.embedding, [x / length for x in r.n])
+
+
 def test_recovery(spark, tmp_path, files):
     e = engine(spark, tmp_path)
     make = lambda i, path: e.store.create_document(i, "r", path.rsplit("/", 1)[1], "txt", None, path, "here")
@@ -168,7 +277,8 @@ def test_access(spark):
     assert access.visible_namespaces("a", [("a", ["x"]), ("a", ["y"])], ["x", "y"]) == ["x"]
     assert access.visible_namespaces("b", [("b", ["*"])], ["x", "y"]) == ["x", "y"] and access.visible_namespaces("q", [("b", ["*"])], ["x"]) == []
     req = spark.createDataFrame([(1, "search_x", "n"), (2, "delete", "n"), (3, "search_x", "m"), (4, "delete", "")], "request_id int, tool string, namespace string")
-    rules = [("tool is null", ["*"], []), ("true", ["search_*"], ["n"])]
+    # a rule that can't be evaluated for a request is passed over
+    rules = [("cast(tool as int) > 0", [], []), ("1 / (request_id - 2) > 0 and element_at(array(1), 5) = 1", [], []), ("tool is null", ["*"], []), ("true", ["search_*"], ["n"])]
     assert [r.allowed for r in access.tool_policy(req, rules).orderBy("request_id").collect()] == [True, False, False, False]
     assert access.tool_policy(req, []).filter("allowed").count() == 4 and access.tool_policy(req, [("false", [], [])]).filter("allowed").count() == 0
 

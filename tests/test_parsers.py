@@ -22,72 +22,101 @@ def make_pdf(streams, compress=False, resources=b"", extra=b""):
     return out + extra + b"trailer << /Root 1 0 R >>\n%%EOF"
 
 
-@pytest.mark.parametrize(
-    ("stream", "want"),
-    [
-        (b"BT /F1 12 Tf 50 750 Td (Hello World) Tj ET", "Hello World\n"),
-        (b"BT <48656c6c6f> Tj ET", "Hello\n"),
-        (b"BT <48 65 6c6c 6f> Tj ET", "Hello\n"),
-        (b"BT [(Alpha)(Beta)] TJ ET", "AlphaBeta\n"),
-        (b"BT [(Hello) -250 (World)] TJ ET", "Hello World\n"),
-        (b"BT [(Hel) -50 (lo)] TJ ET", "Hello\n"),
-        (b"BT [(Hel) -51 (lo)] TJ ET", "Hel lo\n"),
-        (b"BT [(He) 30 (llo)] TJ ET", "Hello\n"),
-        (b"BT (a) Tj T* (b) Tj ET", "a\nb\n"),
-        (b"BT (a) Tj (b) ' ET", "a\nb\n"),
-        (b'BT (a) Tj 1 2 (b) " ET', "a\nb\n"),
-        (b"BT (a) Tj 0 -14 TD (b) Tj ET BT (c) Tj ET", "a\nb\nc\n"),
-        (b"% (no) Tj\nBT (a) Tj ET", "a\n"),
-        (b"BT ((x (y) z)) Tj ET", "(x (y) z)\n"),
-        (b"(Outside) Tj BT (Inside) Tj ET", "Inside\n"),
-        (b"BT 1 0 0 1 50 750 Tm (a) Tj 1 0 0 1 50 736 Tm (b) Tj ET", "a\nb\n"),
-        (b"BT 1 0 0 1 50 750 Tm (a) Tj 1 0 0 1 90 750 Tm (b) Tj ET", "ab\n"),
-        (b"BI /W 1 ID \x00(x) Tj BT EI BT (a) Tj ET", "a\n"),
-        (b"BT (a) Tj ) ] (b) Tj ET", "ab\n"),
-        (b"", ""),
-    ],
-)
-def test_content_streams(stream, want):
-    assert pdf.content_text(stream) == want
-
-
-def test_pdf_strings():
-    assert pdf.literal_string(rb"a\n\r\t\\\(\)\110\145\154") == b"a\n\r\t\\()Hel"
-    assert pdf.literal_string(b"a\\\nb") == b"ab"
-    assert [pdf.hex_string(x) for x in (b"48656C", b"48 65", b"486", b"", b"xy")] == [b"Hel", b"He", b"H`", b"", b""]
-    assert pdf.decode_bytes(b"\xfe\xff\x00H\x00i") == "Hi" and pdf.decode_bytes(b"\x01\x02A\x03B") == "AB"
-    assert [pdf.hex_token(x) for x in (b"<41>", b"<0041>", b"<00410042>", b"<>", b"notahex")] == [0x41, 0x41, 0x410042, -1, -1]
-    assert [pdf.number(x) for x in (b"0", b"-250", b"+50", b"3.14", b"", b"abc")] == [0, -250, 50, 3.14, 0, 0]
-    assert pdf.decode_bytes(b"\xfe\xff" + "ﬁﬃ\ue001".encode("utf-16-be")) == "fiffiff"
+def shown(*operators):
+    """What a text object with these operators shows."""
+    return pdf.content_text(b"BT " + b" ".join(operators) + b" ET")
+
+
+def utf16(text):
+    return ("\ufeff" + text).encode("utf-16-be")
+
+
+def test_strings_are_shown():
+    for text in ("quartz", "two words", "a-b/c", ""):
+        want = f"{text}\n" if text else ""
+        raw = text.encode()
+        assert shown(b"(%s) Tj" % raw) == shown(b"<%s> Tj" % raw.hex().encode()) == shown(b"[(%s)] TJ" % raw) == want
+        spaced = b" ".join(b"%02X" % c for c in raw)
+        assert shown(b"/F7 9.5 Tf 12 700 Td", b"<%s> Tj" % spaced) == want
+    assert shown(b"(nested (one (two)) end) Tj") == "nested (one (two)) end\n"
+
+
+def test_shifts_in_arrays_are_spaces_below_the_limit():
+    for shift in range(-60, 20, 3):
+        gap = " " if shift < pdf.WORD_SHIFT else ""
+        assert shown(b"[(left) %d (right)] TJ" % shift) == f"left{gap}right\n"
+    assert shown(b"[(x) %d (y)] TJ" % pdf.WORD_SHIFT) == "xy\n" and shown(b"(z) TJ") == ""
+
+
+def test_lines_follow_positions():
+    move = {b"T*": True, b"0 -9 Td": True, b"0 -9 TD": True, b"1 0 0 1 5 300 Tm": True, b"1 0 0 1 60 400.5 Tm": False}
+    for operator, breaks in move.items():
+        assert shown(b"1 0 0 1 5 400 Tm (p) Tj", operator, b"(q) Tj") == ("p\nq\n" if breaks else "pq\n"), operator
+    # quotes start a line, also where one has just begun
+    for quote in (b"(q) '", b'3 4 (q) "'):
+        assert shown(b"(p) Tj", quote) == "p\nq\n"
+        assert shown(b"(p) Tj T*", quote) == "p\n\nq\n" and shown(quote) == "\nq\n"
+    assert pdf.content_text(b"BT (p) Tj ET BT (q) Tj ET") == "p\nq\n"
+
+
+def test_what_is_no_text_is_passed_over():
+    for junk in (b"(out) Tj", b"% (remark) Tj\n", b"BI /H 2 /W 2 ID \xff(y) Tj BT\x00 EI", b"<< /K (v) >> DP", b") ] }"):
+        assert pdf.content_text(junk + b" BT (in) Tj ET " + junk) == "in\n", junk
+    assert pdf.content_text(b"") == "" and shown(b"(p) Tj ) ]", b"(q) Tj") == "pq\n"
+
+
+def test_string_syntax():
+    for c in range(256):
+        assert pdf.literal_string(b"\\%03o" % c) == bytes([c])
+    for name, c in zip("nrtbf", "\n\r\t\b\f", strict=True):
+        assert pdf.literal_string(b"<\\" + name.encode() + b">") == f"<{c}>".encode()
+    assert pdf.literal_string(b"split\\\r\n here") == b"split here" and pdf.literal_string(rb"\q\(") == b"q("
+    assert pdf.hex_string(b"7") == b"p" and pdf.hex_string(b"7\n0 7") == b"pp" and pdf.hex_string(b"no") == b""
+    assert pdf.hex_token(b"<7F>") == pdf.hex_token(b"<00 7f>") == 0x7F and pdf.hex_token(b"<7F000001>") == 0x7F000001
+    assert [pdf.hex_token(t) for t in (b"<>", b"<7F00000001>", b"7F", b"(7F)")] == [-1] * 4
+    assert [pdf.number(v) for v in (b"-7.25", b"+8", b".5", b"--1", None)] == [-7.25, 8, 0.5, 0, 0]
+
+
+def test_characters():
+    assert pdf.decode_bytes(utf16("π = 3")) == "π = 3" and pdf.decode_bytes(b"\x07bell\x7f\xe9") == "bell\x7fé"
+    # the values that must be these
+    want = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "ſt", "\ufb06": "st", "\ue001": "fi", "\ue002": "fl", "\ue003": "ff", "\ue004": "ffi", "\ue005": "ffl"}
+    assert want == pdf.LIGATURES
+    for ligature, letters in want.items():
+        assert pdf.decode_bytes(utf16(f"<{ligature}>")) == f"<{letters}>"
+        # through a font's map they stay as the map says
+        assert pdf.decode_string(b"\x00\x09", {9: ligature}) == ligature
 
 
 def test_cmap():
-    m = pdf.parse_cmap(b"beginbfchar\n<0041> <0048>\n<0042> <0065>\nendbfchar\n2 beginbfrange\n<0050> <0052> <0061>\nendbfrange")
-    assert m == {0x41: "H", 0x42: "e", 0x50: "a", 0x51: "b", 0x52: "c"}
-    assert pdf.decode_string(b"\x00\x41\x00\x42", m) == "He" and pdf.decode_string(b"AB", m) == "He" and pdf.decode_string(b"zz", m) == "zz"
+    m = pdf.parse_cmap(b"2 beginbfchar <0107> <03C0>\n<0108> <00660069> endbfchar 1 beginbfrange <0200> <0219> <0061> endbfrange")
+    assert m[0x107] == "π" and m[0x108] == "fi" and "".join(m[0x200 + k] for k in range(26)) == "abcdefghijklmnopqrstuvwxyz" and len(m) == 28
+    assert pdf.decode_string(b"\x02\x07\x02\x08", m) == "hi" and pdf.decode_string(b"plain", m) == "plain"
+    assert pdf.decode_string(bytes([1, 2, 1]), {1: "y", 2: "o"}) == "yoy"
 
 
 def test_whole_pdfs():
-    one, two = b"BT (One) Tj ET", b"BT (Two) Tj ET"
-    assert pdf.pdf(make_pdf([one])) == "One"
-    assert pdf.pdf(make_pdf([one, two])) == "One\n\nTwo"
-    assert pdf.pdf(make_pdf([one, two], compress=True)) == "One\n\nTwo"
-    fonts = b"/Resources << /Font << /F1 << /ToUnicode 90 0 R >> >> >>"
-    cmap = b"90 0 obj\n<< >>\nstream\n1 beginbfchar\n<01> <0058>\nendbfchar\nendstream\nendobj\n"
-    assert pdf.pdf(make_pdf([b"BT /F1 9 Tf <01> Tj ET"], resources=fonts, extra=cmap)) == "X"
-    forms = b"/Resources << /XObject << /B 91 0 R /A 92 0 R >> >>"
-    body = b"91 0 obj\n<< /Subtype /Form >>\nstream\nBT (late) Tj ET\nendstream\nendobj\n92 0 obj\n<< /Subtype /Form >>\nstream\nBT (first) Tj ET\nendstream\nendobj\n"
-    assert pdf.pdf(make_pdf([b"/A Do"], resources=forms, extra=body)) == "first\nlate"
-    objects = b"(x) << /Type /Page /Contents 11 0 R >>"
+    pages = [b"BT (page %d) Tj ET" % i for i in range(1, 4)]
+    for n in (1, 2, 3):
+        for compress in (False, True):
+            assert pdf.pdf(make_pdf(pages[:n], compress)) == "\n\n".join(f"page {i}" for i in range(1, n + 1))
+    fonts = b"/Resources << /Font << /G << /ToUnicode 90 0 R >> >> >>"
+    cmap = b"90 0 obj\n<< >>\nstream\n1 beginbfchar\n<2A> <2603>\nendbfchar\nendstream\nendobj\n"
+    assert pdf.pdf(make_pdf([b"BT /G 9 Tf <2A> Tj ET"], resources=fonts, extra=cmap)) == "☃"
+    forms = b"/Resources << /XObject << /Zed 91 0 R /Any 92 0 R >> >>"
+    body = b"".join(b"%d 0 obj\n<< /Subtype /Form >>\nstream\nBT (%s) Tj ET\nendstream\nendobj\n" % x for x in ((91, b"later"), (92, b"sooner")))
+    assert pdf.pdf(make_pdf([b"/Any Do"], resources=forms, extra=body)) == "sooner\nlater"
     packed = b"%PDF-1.5\n1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj 5 0 obj <</Type/ObjStm/N 2/First 9>> stream\n2 0 3 26 <</Kids[3 0 R]>>          <</Contents 11 0 R>> endstream endobj 11 0 obj <<>> stream\nBT (packed) Tj ET\nendstream endobj"
-    assert objects and pdf.pdf(packed) == "packed"
-    assert pdf.pdf(b" \r\n" + make_pdf([one]).replace(b"%PDF-1.4\n", b"%PDF-1.4 \n")) == "One"
-    assert pdf.clean_header(b"%PDF-1.5\r%\xe2\xe3\xcf\xd3\r\n") == b"%PDF-1.5\r%\xe2\xe3\xcf\xd3\r\n"
-    for bad in (b"this is not a PDF", b"", b"\x00\x01\x02garbage"):
+    assert pdf.pdf(packed) == "packed"
+    for before, after in ((b"\n\t ", b"%PDF-1.4 \t\n"), (b"", b"%PDF-1.4\r\n%\xb5\xb6\r\n")):
+        assert pdf.pdf(before + make_pdf(pages[:1]).replace(b"%PDF-1.4\n", after)) == "page 1"
+    kept = b"%PDF-1.6\r%\x80\x81\r\n1 0 obj"
+    assert pdf.clean_header(kept) == kept and pdf.clean_header(b"  " + kept) == kept
+    for bad in (b"", b"%PD", b"plain words", bytes(range(40))):
         with pytest.raises(ValueError, match="invalid PDF"):
             pdf.pdf(bad)
     with pytest.raises(ValueError, match="encrypted"):
-        pdf.pdf(make_pdf([one]) + b" << /Encrypt 7 0 R >>")
+        pdf.pdf(make_pdf(pages[:1]) + b" << /Encrypt 7 0 R >>")
 
 
 def zipped(member, xml):
@@ -115,6 +144,12 @@ def test_office():
 def test_rtf():
     assert plain.rtf(rb"{\rtf1\ansi{\fonttbl{\f0 Arial;}}{\info{\author Me}}Hello \b bold\b0  text\par next\line x\tab y}") == "Hello bold text\nnext\nx\ty"
     assert plain.rtf(rb"{\rtf1 \{100\} caf\'e9 \~ \*}") == "{100} caf'e9 ~ *"
+    # the values that must be these
+    names = "fonttbl colortbl stylesheet info pict header footer headerl headerr footerl footerr footnote object themedata colorschememapping datastore latentstyles fldinst"
+    assert plain.RTF_SKIPPED == set(names.split())
+    for name in names.split():
+        assert plain.rtf(b"{\\rtf1 seen{\\%s unseen{deeper}still} after}" % name.encode()) == "seen after"
+    assert plain.rtf(rb"{\rtf1 go {\field{\*\fldinst HYPERLINK http://x}{\fldrslt there}}}") == "go *there"
 
 
 def test_mail():
