@@ -20,10 +20,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see.  Only where the session names none
-    (tests on one machine) a temporary folder is taken."""
+    """The folder that all executors see, as spark.checkpoint.dir names it.  Only a session
+    on one machine (tests) may name none, and gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="siftline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -60,6 +62,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null taken as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -75,10 +85,9 @@ def append_columns(df: DataFrame, text: str, make: Callable[[], Callable[[list[s
     """df with columns that a function computes from the texts of a batch.
 
     make runs once in each task and gives the function; fields is the DDL of the new
-    columns.  No shuffle; columns of df with the same names are replaced.
+    columns, whose names df must not have (see fresh).  No shuffle.
     """
     new = T.StructType.fromDDL(fields)
-    df = df.drop(*[f.name for f in new])
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,18 +11,23 @@ windows of as many shingles as an item has:
    agree in some block up to RADIUS // BLOCKS bits, so looking up every block value
    with its neighbours of that distance misses none within the radius;
 3. candidates within the radius are verified by their exact weighted Jaccard
-   similarity, which must reach ``SIMILARITY``.
+   similarity (shingles that recur count as often), which must reach ``SIMILARITY``.
 
-Documents stay in their partition: no shuffle.  Items come to the tasks in blocks of
-``ITEMS`` items, one pass over the documents for each block, so what is sent is bounded.
+A document with fewer shingles than an item is one window.  Documents stay in their
+partition: no shuffle.  Items come to the tasks in blocks of ``ITEMS`` items and
+``ITEM_BYTES`` at most, one pass over the documents for each block, which is written
+before the next one is read, so what is sent and held is bounded.
 
 Words are lower-cased and free of ASCII punctuation.  Null and empty texts and items
-match nothing.  Items under five words are one shingle.  Repeated items each give rows.
+match nothing, an empty table gives an empty one.  Items under five words are one shingle.
+Very long texts take time in proportion.  Repeated items and repeated documents each give
+rows; of equal windows the first counts.  Columns of any name stay as they are.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import append_columns
+from siftline.llm.common import append_columns, cut, fresh
 from siftline.llm.shingles import WordHashes, mix, shingles
 
 WIDTH = 5
@@ -38,7 +43,10 @@ SIMILARITY = 0.8
 BITS, RADIUS, BLOCKS = 64, 20, 7
 #: Items sent to the tasks at a time.
 ITEMS = 20_000
+#: Bytes of item texts in such a block, unless one item has more.
+ITEM_BYTES = 32_000_000
 _FILTER_BITS = 22
+_PAIRS = 2_000_000  # candidates looked at together
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -84,18 +92,27 @@ class HammingIndex:
             items = np.repeat(np.arange(len(prints)), len(ball))[order]
             self.near.append((np.searchsorted(spread[order], np.arange(int(mask) + 2, dtype=np.uint64)), items))
 
-    def within(self, queries: np.ndarray) -> list[tuple[int, int, int]]:
-        """(query, item, distance) of all pairs within the radius."""
-        found = []
-        for q, p in enumerate(queries):
+    def within(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, item and distance of all pairs within the radius."""
+        out = []
+        n = len(self.prints)
+        step = max(1, _PAIRS // max(1, n))
+        for low in range(0, len(queries), step):
+            mine = queries[low : low + step]
             parts = []
             for (shift, mask), (begin, items) in zip(self.blocks, self.near, strict=True):
-                v = int((p >> shift) & mask)
-                parts.append(items[begin[v] : begin[v + 1]])
-            candidates = np.unique(np.concatenate(parts))
-            distance = _popcount(self.prints[candidates] ^ p)
-            found += [(q, int(i), int(d)) for i, d in zip(candidates, distance, strict=True) if d <= RADIUS]
-        return found
+                v = ((mine >> shift) & mask).astype(np.int64)
+                count = begin[v + 1] - begin[v]
+                ends = np.cumsum(count)
+                at = np.repeat(begin[v] - (ends - count), count) + np.arange(int(ends[-1]))
+                parts.append(np.repeat(np.arange(len(mine)), count) * n + items[at])
+            pairs = np.unique(np.concatenate(parts))
+            q, i = pairs // n, pairs % n
+            distance = _popcount(self.prints[i] ^ mine[q])
+            near = distance <= RADIUS
+            out.append((q[near] + low, i[near], distance[near]))
+        q, i, d = (np.concatenate([o[k] for o in out]) if out else np.empty(0, dtype=np.int64) for k in range(3))
+        return q, i, d
 
 
 class ItemBlock:
@@ -109,6 +126,7 @@ class ItemBlock:
             if n:
                 hashes, weights = shingled(cache, text, WIDTH)
                 self.widths.setdefault(min(n, WIDTH), {}).setdefault(len(hashes), []).append((item, hashes, weights))
+        self.least = {(width, size): min(int(w.sum()) for _, _, w in group) for width, sizes in self.widths.items() for size, group in sizes.items()}
         self.tables = {}
         for width, sizes in self.widths.items():
             # shingle -> the window sizes of the items that have it
@@ -129,19 +147,21 @@ class ItemBlock:
                 continue
             low, high = np.searchsorted(keys, hashes[maybe], "left"), np.searchsorted(keys, hashes[maybe], "right")
             place, size = np.repeat(maybe, high - low), np.concatenate([sizes_of[a:b] for a, b in zip(low, high, strict=True)])
-            for s in np.unique(size).tolist():
-                if s > len(hashes):
+            for whole in np.unique(size).tolist():
+                at = place[size == whole]
+                # of a text shorter than the item the whole is the window
+                s = min(whole, len(hashes))
+                if s < whole and weights.sum() < SIMILARITY * self.least[width, whole]:
                     continue
-                at = place[size == s]
-                starts = np.unique((at[:, None] - np.arange(s)[None, :]).reshape(-1))
-                starts = starts[(starts >= 0) & (starts + s <= len(hashes))]
+                starts = np.unique(np.maximum(at[:, None] - np.arange(s)[None, :], 0).reshape(-1))
+                starts = starts[starts + s <= len(hashes)]
                 # only the stretches of the text that these windows cover
                 for run in np.split(starts, np.flatnonzero(np.diff(starts) > s) + 1):
                     if len(run):
                         lo, hi = int(run[0]), int(run[-1]) + s
                         prints = fingerprints(hashes[lo:hi], weights[lo:hi], run - lo, s)
-                        for q, i, d in index[s].within(prints):
-                            item, ih, iw = self.widths[width][s][i]
+                        for q, i, d in zip(*[v.tolist() for v in index[whole].within(prints)], strict=True):
+                            item, ih, iw = self.widths[width][whole][i]
                             a = int(run[q])
                             sim = similarity(hashes[a : a + s], weights[a : a + s], ih, iw)
                             if sim >= SIMILARITY and (-sim, d, a) < best.get(item, (0.0, 0, 0, 0))[:3]:
@@ -150,10 +170,11 @@ class ItemBlock:
 
 
 def similarity(ah: np.ndarray, aw: np.ndarray, bh: np.ndarray, bw: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sets of shingles."""
-    a, b = dict(zip(ah.tolist(), aw.tolist(), strict=True)), dict(zip(bh.tolist(), bw.tolist(), strict=True))
-    common = sum(w for h, w in a.items() if h in b)
-    return common / (sum(a.values()) + sum(b.values()) - common)
+    """Weighted Jaccard similarity of two bags of shingles."""
+    a, b = Counter(ah.tolist()), Counter(bh.tolist())
+    weight = dict(zip(ah.tolist(), aw.tolist(), strict=True))
+    common = sum(n * weight[h] for h, n in (a & b).items())
+    return common / (int(aw.sum()) + int(bw.sum()) - common)
 
 
 HIT = "array<struct<item:bigint,first:int,end:int,distance:int,similarity:double>>"
@@ -162,14 +183,15 @@ HIT = "array<struct<item:bigint,first:int,end:int,distance:int,similarity:double
 def item_blocks(benchmark: DataFrame) -> Iterator[ItemBlock]:
     """The items, ITEMS at a time."""
     items = benchmark.select(F.col("item_id").cast("long"), "text")
-    blocks = max(1, math.ceil(items.count() / ITEMS))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, math.ceil(size["n"] / ITEMS), math.ceil(size["bytes"] / ITEM_BYTES))
     for k in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         yield ItemBlock([tuple(r) for r in mine.toLocalIterator()])
 
 
-def with_hits(docs: DataFrame, block: ItemBlock, text: str = "text") -> DataFrame:
-    """docs with a column ``_hits``; rows keep their partition and all columns."""
+def with_hits(docs: DataFrame, block: ItemBlock, name: str, text: str = "text") -> DataFrame:
+    """docs with a column of hits; rows keep their partition and all columns."""
 
     def make():
         cache = WordHashes()
@@ -180,21 +202,25 @@ def with_hits(docs: DataFrame, block: ItemBlock, text: str = "text") -> DataFram
 
         return of
 
-    return append_columns(docs, text, make, f"_hits {HIT}")
+    return append_columns(docs, text, make, f"{name} {HIT}")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item found in it, with the best window (words)."""
     out = None
     for block in item_blocks(benchmark):
-        found = with_hits(docs.select("doc_id", "text"), block).select("doc_id", F.explode("_hits").alias("h"))
+        found = with_hits(docs.select("doc_id", "text"), block, "hits").select("doc_id", F.explode("hits").alias("h"))
         rows = found.select("doc_id", F.col("h.item").alias("item_id"), F.col("h.first").alias("first_word"), F.col("h.end").alias("end_word"), "h.distance", F.round("h.similarity", 9).alias("similarity"))
+        if out is not None:  # what a block has found is written before the next one is read
+            out = cut(out, "hits")
         out = rows if out is None else out.union(rows)
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that hold an item."""
+    name, kept = fresh(docs, "hits"), None
     for block in item_blocks(benchmark):
-        docs = with_hits(docs, block).filter(F.size("_hits") == 0).drop("_hits")
-    return docs
+        docs = docs if kept is None else cut(kept, "clean")
+        kept = with_hits(docs, block, name).filter(F.size(name) == 0).drop(name)
+    return kept

@@ -2,18 +2,19 @@
 
 A text is cut into units before each run of word marks, as no piece has a mark after
 another character.  The distinct new units of a batch become one flat numpy array of
-symbols.  In each round every unit merges its leftmost pair of least rank, all units
-at once; units without a pair leave the arrays.  Units beyond ``LONG`` symbols
-take a heap instead of rounds, with the same order of merges, so that one very long
-unit does not cost the square of its length.
+symbols.  In each round every unit merges its pairs of least rank from the left on, all
+units at once; units without a pair leave the arrays.  Units are cut beforehand where two
+characters meet that no piece has side by side, so a very long one takes few rounds.
 
-Null texts count as empty; an empty text has the end id only.  The model file is a
-parameter that names a file on every worker; it is read once per worker process.
+Null texts count as empty; an empty text has the end id only.  Very long texts are worked
+on whole, in a batch of their own.  Repeated rows each have their ids, an empty table gives
+an empty one, and only the key and the text are read, so no other name can clash.  The
+model file is a parameter that names a file on every worker; it is read once per worker
+process.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 from siftline.llm.common import text_of
 
 MARK = "▁"
-LONG = 128
 CACHE_UNITS = 200_000
 CHUNK_CHARS = 1_000_000
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -65,6 +65,7 @@ class PieceModel:
         self.keys = np.array(sorted(pairs), dtype=np.int64)
         self.merged = np.array([pairs[int(k)] for k in self.keys], dtype=np.int64)
         self.ranks = rank[self.merged].astype(np.int64)
+        self.bigrams = np.array(sorted({ord(a) * _SPAN + ord(b) for p in self.ids for a, b in zip(p, p[1:])}), dtype=np.int64)
         pieces = [b"" if i in skip else p.replace(MARK, " ").encode() for i, p in enumerate(names)]
         for b, i in enumerate(self.byte_ids):
             pieces[i] = bytes([b])
@@ -95,9 +96,19 @@ class PieceModel:
 
     def _rounds(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Final symbols of all units, end to end, and how many each has."""
-        lengths = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
-        symbols = self.char_symbol[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        unit = np.arange(len(units))
+        whole = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+        symbols = self.char_symbol[chars]
+        # no merge reaches over two characters that no piece has side by side: what lies
+        # between such places is merged on its own
+        pair = chars[:-1] * _SPAN + chars[1:]
+        at = np.minimum(np.searchsorted(self.bigrams, pair), len(self.bigrams) - 1)
+        begins = np.ones(len(chars), dtype=bool)
+        begins[1:] = self.bigrams[at] != pair
+        heads = np.cumsum(whole) - whole
+        begins[heads] = True
+        lengths = np.diff(np.concatenate([np.flatnonzero(begins), [len(chars)]]))
+        unit = np.arange(len(lengths))
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # units, lengths, symbols
         while len(unit):
             starts = np.cumsum(lengths) - lengths
@@ -107,7 +118,7 @@ class PieceModel:
             least = np.minimum.reduceat(rank, starts)
             owner = np.repeat(np.arange(len(unit)), lengths)
             hits = np.flatnonzero((rank == least[owner]) & (rank != _NONE))
-            first = hits[np.concatenate([[True], owner[hits[1:]] != owner[hits[:-1]]])] if len(hits) else hits
+            first = self._together(symbols, rank, at, owner, hits)
             over = least == _NONE
             ended = over[owner]
             done.append((unit[over], lengths[over], symbols[ended]))
@@ -115,46 +126,44 @@ class PieceModel:
             keep = ~ended
             keep[first + 1] = False
             symbols = symbols[keep]
-            lengths = (lengths - 1)[~over]
+            lengths = (lengths - np.bincount(owner[first], minlength=len(unit)))[~over]
             unit = unit[~over]
-        if not done:
-            return symbols, lengths
         number, size, flat = (np.concatenate([d[k] for d in done]) for k in range(3))
         order = np.argsort(number)
-        return gather(flat, (np.cumsum(size) - size)[order], size[order]), size[order]
+        parts = np.cumsum(begins)[heads] - 1  # the first part of each unit
+        return gather(flat, (np.cumsum(size) - size)[order], size[order]), np.add.reduceat(size[order], parts)
 
-    def _heap(self, unit: str) -> np.ndarray:
-        """The same merges for one long unit, by a heap over a linked list."""
-        symbols = [self._symbol(c) for c in unit]
-        n = len(symbols)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        width = self.size + _SPAN
-        rank, at = self._pair(np.array(symbols[:-1]), np.array(symbols[1:]))
-        heap = [(int(r), i, symbols[i], symbols[i + 1], int(self.merged[a])) for i, (r, a) in enumerate(zip(rank, at, strict=True)) if r != _NONE]
-        heapq.heapify(heap)
-
-        def push(i: int) -> None:
-            j = after[i]
-            if i < 0 or j >= n:
-                return
-            k = symbols[i] * width + symbols[j]
-            a = int(np.searchsorted(self.keys, k))
-            if a < len(self.keys) and self.keys[a] == k:
-                heapq.heappush(heap, (int(self.ranks[a]), i, symbols[i], symbols[j], int(self.merged[a])))
-
-        while heap:
-            _, i, left, right, new = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != left or j >= n or symbols[j] != right:
-                continue  # one of the two has merged meanwhile
-            symbols[i], symbols[j] = new, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return np.array([s for s in symbols if s >= 0], dtype=np.int64)
+    def _together(self, symbols: np.ndarray, rank: np.ndarray, at: np.ndarray, owner: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """Of the pairs of least rank of each unit, the places of those that merge in this
+        round: from the left on all that don't overlap.  One after the other would give the
+        same, unless a merge makes a pair with a neighbour that goes before the rest; a unit
+        where that happens merges its first pair only."""
+        if not len(hits):
+            return hits
+        # in a run of overlapping pairs every other one, from the left
+        fresh = np.concatenate([[True], (np.diff(hits) != 1) | (np.diff(owner[hits]) != 0)])
+        places = np.arange(len(hits))
+        hits = hits[(places - np.maximum.accumulate(np.where(fresh, places, 0))) % 2 == 0]
+        head = np.concatenate([[True], np.diff(owner[hits]) != 0])
+        several = np.flatnonzero(~head | np.concatenate([~head[1:], [False]]))
+        if not len(several):
+            return hits
+        mine = hits[several]
+        new = self.merged[at[mine]]
+        # the left neighbour as it is after the merges before it, the right one as it is now
+        after = symbols.copy()
+        after[mine] = new
+        left = mine - 1
+        follows = np.concatenate([[False], mine[1:] == mine[:-1] + 2])
+        left = np.where(follows, mine - 2, left)
+        inside = (left >= 0) & (owner[np.maximum(left, 0)] == owner[mine])
+        early = np.where(inside, self._pair(after[np.maximum(left, 0)], new)[0], _NONE) <= rank[mine]
+        right = np.minimum(mine + 2, len(symbols) - 1)
+        inside = (mine + 2 < len(symbols)) & (owner[right] == owner[mine])
+        early |= np.where(inside, self._pair(new, symbols[right])[0], _NONE) <= rank[mine]
+        unsafe = np.zeros(int(owner[-1]) + 1, dtype=bool)
+        unsafe[owner[mine[early]]] = True
+        return hits[head | ~unsafe[owner[hits]]]
 
     def _to_ids(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids for symbols; a character that is no piece gives the ids of its bytes."""
@@ -170,15 +179,9 @@ class PieceModel:
 
     def _learn(self, units: list[str]) -> None:
         """Encode units that are not known."""
-        short = [u for u in units if len(u) <= LONG]
-        parts = [self._to_ids(*self._rounds(short))] if short else []
-        rest = [u for u in units if len(u) > LONG]
-        for u in rest:
-            symbols = self._heap(u)
-            parts.append(self._to_ids(symbols, np.array([len(symbols)])))
+        ids, lengths = self._to_ids(*self._rounds(units))
         base = len(self.known)
-        self.known.update(zip([*short, *rest], range(base, base + len(units)), strict=True))
-        ids, lengths = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        self.known.update(zip(units, range(base, base + len(units)), strict=True))
         self.unit_at = np.concatenate([self.unit_at, len(self.unit_ids) + np.cumsum(lengths) - lengths])
         self.unit_len = np.concatenate([self.unit_len, lengths])
         self.unit_ids = np.concatenate([self.unit_ids, ids])

@@ -2,17 +2,23 @@
 
 ``text_stats`` counts words, word characters, symbols, repeated lines and words in
 repeated 3-word windows, each within its own row.  ``reject_outliers`` estimates
-location and scatter of the transformed counts per language and source by the minimum
-covariance determinant: from medians and deviations a first subset of
-``SUBSET`` of the rows, then concentration steps (mean and covariance of the subset,
-Mahalanobis distances of all, the nearest rows are the next subset).  Rows beyond
-``CUTOFF`` in squared distance, brought to a consistent scale by its median, are
-rejected.  All is DataFrame work; only counts and sums are shuffled, never texts.
+location and scatter of the transformed counts by the minimum covariance determinant, per
+language and source and over all rows: from each of ``STARTS`` first subsets (the rows
+nearest to the medians, scaled by median deviations; and hashed samples), concentration
+steps (mean and covariance of the subset, Mahalanobis distances of all, the nearest
+``SUBSET`` of the rows are the next subset) until no determinant changes any more; of the
+starts the least determinant counts.  A group's mean, covariance and scale are drawn
+toward those of all rows with the weight of ``PRIOR`` rows, so that small groups need no
+threshold and large ones stand on their own.  Rows beyond ``CUTOFF`` in squared distance,
+brought to a consistent scale by its median, are rejected.  All is DataFrame work; only
+counts and sums are shuffled, in partial sums, never texts.
 
 Null texts have no words and fail the base rule, as do all texts below ``MIN_WORDS``.
-Null languages and sources are groups of their own.  Groups under ``MIN_GROUP`` rows
-are pooled.  ``FLOOR`` is added to each deviation, so that a count that is constant in
-a group does not make every other value an outlier.
+Null languages and sources count as empty ones.  Very long texts are counted whole.
+Repeated rows each count; an empty table gives an empty one.  Equal distances are kept or
+rejected together.  Only key, text, lang and source are read, so names of other columns
+can't clash.  ``FLOOR`` is added to each deviation, so that a count that is constant in a
+group does not make every other value an outlier.
 """
 
 from __future__ import annotations
@@ -24,9 +30,12 @@ from siftline.llm.common import SPACES, cut, let, small, text_of
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_GROUP = 200
+PRIOR = 50.0  # rows
 SUBSET = 0.75
-STEPS = 2
+STARTS = 3
+SAMPLE = 0.1  # of the rows, in a first subset by hash
+#: Concentration steps end when no log determinant moves by more than this, or after STEPS.
+TOLERANCE, STEPS = 1e-6, 30
 #: Squared distance; for five normal features it is passed by less than one row in 10^9.
 CUTOFF = 50.0
 #: Median of the chi-square distribution with five degrees of freedom.
@@ -82,34 +91,32 @@ def features(s: Column) -> list[Column]:
     ]
 
 
-def _attach(rows: DataFrame, stats: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """rows with their group's statistics; the statistics are written out first."""
-    stats = cut(stats, "groups")
-    return rows.join(small(stats), keys, "left"), stats
+_P = range(len(FEATURES))
+_M = [f"m_{i}" for i in _P]
+_C = [f"c_{i}_{j}" for i in _P for j in range(i + 1)]
+_L = [f"l_{i}_{j}" for i in _P for j in range(i + 1)]
+_ALL = ""  # the group of all rows
 
 
-def _subset(rows: DataFrame, distance: Column) -> DataFrame:
-    """The nearest SUBSET of each group's rows."""
-    near = rows.withColumn("_d", distance)
-    limits = near.groupBy("group").agg(F.percentile_approx("_d", SUBSET, 1000).alias("_limit"))
-    both, _ = _attach(near.select("group", "_d", *FEATURES), limits, ["group"])
-    return both.filter(F.col("_d") <= F.col("_limit")).select("group", *FEATURES)
+def moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Per group the number of rows, means m_i and covariances c_ij."""
+    sums = [F.count(F.lit(1)).alias("n"), *[F.avg(FEATURES[i]).alias(f"m_{i}") for i in _P]]
+    return rows.groupBy(*keys).agg(*sums, *[F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}_{j}") for i in _P for j in range(i + 1)])
 
 
-def _scatter(rows: DataFrame) -> DataFrame:
-    """Per group the means m_i and the Cholesky factor l_ij of the covariance, the
-    floor added to its diagonal."""
-    p = range(len(FEATURES))
-    sums = [F.avg(FEATURES[i]).alias(f"m_{i}") for i in p]
-    sums += [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}_{j}") for i in p for j in range(i + 1)]
-    out = rows.groupBy("group").agg(*sums)
-    for i in p:
+def factored(table: DataFrame) -> DataFrame:
+    """table with the Cholesky factor l_ij of the covariance, the floor added to its
+    diagonal, and the log determinant."""
+    for i in _P:
         for j in range(i + 1):
             rest = F.col(f"c_{i}_{j}") + (FLOOR[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            out = out.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}"))
-    return out.select("group", *[f"m_{i}" for i in p], *[f"l_{i}_{j}" for i in p for j in range(i + 1)])
+            table = table.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l_{j}_{j}"))
+    total = F.lit(0.0)
+    for i in _P:
+        total = total + 2 * F.log(F.col(f"l_{i}_{i}"))
+    return table.withColumn("logdet", total)
 
 
 def _distance() -> Column:
@@ -126,33 +133,64 @@ def _distance() -> Column:
     return total
 
 
+def _nearest(rows: DataFrame, share: float) -> DataFrame:
+    """The rows of each group and start with the least distances d, by their share."""
+    keys = ["group", "start"]
+    limits = cut(rows.groupBy(*keys).agg(F.percentile_approx("d", share, 1000).alias("limit")), "limits")
+    return rows.join(small(limits), keys).filter(F.col("d") <= F.col("limit"))
+
+
+def least_determinant(rows: DataFrame) -> DataFrame:
+    """rows: group and FEATURES.  Per group n, m_i and c_ij of the subset of least
+    determinant; n is the number of all its rows."""
+    keys = ["group", "start"]
+    medians = cut(rows.groupBy("group").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(FEATURES)]), "medians")
+    centred = rows.join(small(medians), "group")
+    spreads = cut(centred.groupBy("group").agg(F.count(F.lit(1)).alias("rows"), *[F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, f in enumerate(FEATURES)]), "spreads")
+    near = F.lit(0.0)
+    for i, f in enumerate(FEATURES):
+        near = near + F.pow((F.col(f) - F.col(f"m_{i}")) / (1.4826 * F.col(f"s_{i}") + FLOOR[i]), 2)
+    chance = F.pmod(F.xxhash64("start", *FEATURES), F.lit(1_000_003)).cast("double")
+    many = centred.join(small(spreads), "group").withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    many = many.withColumn("d", F.when(F.col("start") == 0, near).otherwise(chance)).select(*keys, "d", *FEATURES)
+    first = _nearest(many.filter("start = 0"), SUBSET).unionByName(_nearest(many.filter("start > 0"), SAMPLE))
+    table = cut(factored(moments(first, keys)), "scatter")
+    every = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    for _ in range(STEPS):
+        placed = every.join(small(table.select(*keys, *_M, *_L)), keys).withColumn("d", _distance()).select(*keys, "d", *FEATURES)
+        new = cut(factored(moments(_nearest(placed, SUBSET), keys)), "scatter")
+        moved = new.select(*keys, "logdet").join(table.select(*keys, F.col("logdet").alias("before")), keys).filter(F.abs(F.col("logdet") - F.col("before")) > TOLERANCE)
+        table = new
+        if moved.isEmpty():
+            break
+    best = table.groupBy("group").agg(F.min_by(F.struct(*_M, *_C), F.struct("logdet", "start")).alias("best"))
+    return cut(best.join(spreads.select("group", F.col("rows").alias("n")), "group").select("group", "n", "best.*"), "estimates")
+
+
+def _drawn(table: DataFrame, columns: list[str]) -> DataFrame:
+    """table (group, n, columns) with each group drawn toward all rows."""
+    parent = table.filter(F.col("group") == _ALL).first()
+    if parent is None:
+        return table.select("group", "n", *columns)
+    weight = F.col("n") / (F.col("n") + PRIOR)
+    return table.select("group", "n", *[(weight * F.col(c) + (1 - weight) * F.lit(parent[c])).alias(c) for c in columns])
+
+
 def reject_outliers(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, the counts, base_failed, distance (null where the base rule failed), kept."""
-    base = docs.select(F.col(key).alias("key"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), text_stats(text_of(text)).alias("s"))
+    base = docs.select(F.col(key).alias("key"), F.concat_ws("\t", F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))).alias("group"), text_stats(text_of(text)).alias("s"))
     failed = (F.col("s.n_words") < MIN_WORDS) | (100 * F.col("s.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("s.n_words"))
     base = cut(base.select("*", failed.alias("base_failed")), "stats")
-    rows = base.select("key", "lang", "source", "base_failed", "s.*", *[f.alias(n) for f, n in zip(features(F.col("s")), FEATURES, strict=True)])
-    sizes = rows.filter(~F.col("base_failed")).groupBy("lang", "source").agg(F.count(F.lit(1)).alias("_n"))
-    rows, _ = _attach(rows, sizes, ["lang", "source"])
-    group = F.when(F.col("_n") >= MIN_GROUP, F.concat_ws("\t", "lang", "source")).otherwise(F.lit(""))
-    rows = rows.withColumn("group", group).drop("_n")
-    fit = rows.filter(~F.col("base_failed")).select("group", *FEATURES)
-
-    medians = fit.groupBy("group").agg(*[F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(FEATURES)])
-    centred, _ = _attach(fit, medians, ["group"])
-    spreads = centred.groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(f) - F.col(f"m_{i}")), 0.5, 1000).alias(f"s_{i}") for i, f in enumerate(FEATURES)])
-    scaled, _ = _attach(centred, spreads, ["group"])
-    start = F.lit(0.0)
-    for i, f in enumerate(FEATURES):
-        start = start + F.pow((F.col(f) - F.col(f"m_{i}")) / (1.4826 * F.col(f"s_{i}") + FLOOR[i]), 2)
-    nearest = _subset(scaled, start)
-    for step in range(STEPS + 1):
-        placed, scatter = _attach(fit, _scatter(nearest), ["group"])
-        if step < STEPS:
-            nearest = _subset(placed, _distance())
-    scales = placed.groupBy("group").agg(F.greatest(F.percentile_approx(_distance(), 0.5, 1000) / CHI2_MEDIAN, F.lit(1.0)).alias("_scale"))
-    judged, _ = _attach(rows.join(small(scatter), ["group"], "left"), scales, ["group"])
-    distance = F.when(~F.col("base_failed"), F.round(_distance() / F.col("_scale"), 6))
+    rows = base.select("key", "group", "base_failed", "s.*", *[f.alias(n) for f, n in zip(features(F.col("s")), FEATURES, strict=True)])
+    own = rows.filter(~F.col("base_failed")).select("group", *FEATURES)
+    fit = cut(own.union(own.withColumn("group", F.lit(_ALL))), "fit")
+
+    estimates = cut(factored(_drawn(least_determinant(fit), [*_M, *_C])), "drawn")
+    placed = fit.join(small(estimates), "group")
+    scales = cut(placed.groupBy("group").agg(F.count(F.lit(1)).alias("n"), (F.percentile_approx(_distance(), 0.5, 1000) / CHI2_MEDIAN).alias("scale")), "scales")
+    scales = cut(_drawn(scales, ["scale"]).select("group", F.greatest("scale", F.lit(1.0)).alias("scale")), "scales")
+    judged = rows.join(small(estimates.select("group", *_M, *_L)), "group", "left").join(small(scales), "group", "left")
+    distance = F.when(~F.col("base_failed"), F.round(_distance() / F.col("scale"), 6))
     judged = judged.withColumn("distance", distance)
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
     return judged.select(F.col("key").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))

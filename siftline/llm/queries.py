@@ -86,7 +86,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftline.llm.pii import BASE, find_pii
 
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return _digests(find_pii(docs), BASE, "pii")
+    scores = F.array_join(F.transform("pii", lambda s: F.format_string("%.1f", s["score"])), ",").alias("scores")
+    return _digests(find_pii(docs), BASE, "pii", scores)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,5 +102,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+#: All pairs of documents with a shingle in common, and all that can be reached by links.
+_NEAR_DUPLICATES = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+ ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i : i + 3], ' '))) END AS s FROM w),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+one_way AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+links AS (SELECT a, b FROM one_way UNION SELECT b, a FROM one_way),
+reach AS (SELECT doc_id, doc_id AS low FROM sets UNION SELECT links.b, reach.low FROM reach JOIN links ON links.a = reach.doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN (SELECT doc_id, min(low) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+
+def _shards_sql(n_shards: int = 16, seed: int = 20_240_501, rounds: int = 6) -> str:
+    """The Feistel network as a recursive query, a round for each step; what ends beyond the
+    number of rows goes round again."""
+    wrap = 2**64
+
+    def mix(x: int) -> int:
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % wrap
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % wrap
+        return x ^ x >> 31
+
+    keys = ", ".join(f"{mix((k + seed * 0x9E3779B97F4A7C15) % wrap)}::UBIGINT" for k in range(1, rounds + 1))
+    times = "(({})::UHUGEINT * {}::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"""WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+bytes AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sizes AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, list_transform(range(size - 1), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT)), lambda c, b: xor(t[xor(c % 256, b) + 1], c >> 8)), 4294967295) AS text_crc32 FROM bytes, crc_table),
+numbered AS (SELECT *, (row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1)::UBIGINT AS row, count(*) OVER () AS n FROM sizes),
+shape AS (SELECT *, greatest(1, (length(bin(greatest(n - 1, 1))) + 1) // 2)::INT AS half FROM numbered),
+walk AS (SELECT row, n, half, row >> half AS l, row % (1::UBIGINT << half) AS r, 0 AS k FROM shape
+ UNION ALL SELECT row, n, half, CASE WHEN k = {rounds} THEN l ELSE r END, CASE WHEN k = {rounds} THEN r ELSE xor(l, xor(v, v >> 31) % (1::UBIGINT << half)) END, CASE WHEN k = {rounds} THEN 0 ELSE k + 1 END
+ FROM (SELECT *, {times.format("xor(u, u >> 27)", 0x94D049BB133111EB)} AS v FROM (SELECT *, {times.format("xor(z, z >> 30)", 0xBF58476D1CE4E5B9)} AS u
+ FROM (SELECT *, xor(r, [{keys}, 0::UBIGINT][k + 1]) AS z FROM walk WHERE k < {rounds} OR ((l << half) + r) >= n)))),
+placed AS (SELECT row, (l << half) + r AS p FROM walk WHERE k = {rounds} AND ((l << half) + r) < n)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (p % {n_shards})::INT AS shard, (p // {n_shards})::BIGINT AS slot, NULL::INT AS grown_shard FROM numbered JOIN placed USING (row)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express; the others have brute-force tests."""
+    return {"op7_minhash_bayes": _NEAR_DUPLICATES, "op8_feistel_shards": _shards_sql()}

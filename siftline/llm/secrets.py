@@ -7,9 +7,13 @@ example; the rest look live.  Base spans always stay; spans of the added kinds s
 where their value looks live.
 
 Only hashes of candidates are shuffled, never texts.  The counts take two steps,
-(hash, owner, repository) and then hash with partial sums, so a value in a third of
-all documents makes no hot task.  Null or empty texts have no spans; a null owner or
-repository counts as one of its own.
+(hash, owner, repository) and then hash with partial sums, and the counts of values that
+occur ``OFTEN`` are broadcast, so a value in a third of all documents makes no hot task.
+
+Null or empty texts have no spans; a null owner or repository counts as one of its own.
+Very long texts are worked on whole.  A row that repeats a repository adds nothing to the
+counts and has its own spans.  An empty table gives an empty one.  The result has three
+columns whatever names docs has.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut, text_of
+from siftline.llm.common import cut, let, small, text_of
 from siftline.llm.spans import located, matches
 
 KINDS = ("assign", "access", "hex", "jwt", "token", "pem")
@@ -35,31 +39,33 @@ NEEDS = {"access": "AKIA", "jwt": "eyJ", "pem": "PRIVATE KEY"}
 _VALUE = r"""^.*?["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 ASSIGN_CHARS = 6
 EXAMPLE_OWNERS = 3
+#: A value of so many repositories is joined by broadcast; no result depends on it.
+OFTEN = 1_000
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int,hash:bigint>>"
 
 
 def candidates(docs: DataFrame, text: str = "text", out: str = "found") -> DataFrame:
     """docs with a column of candidate spans and the hashes of their values."""
     body = text_of(text)
-    hits = docs
-    for kind in KINDS:
+
+    def of(rank: int, kind: str) -> Column:
         found = matches(body, PATTERNS[kind])
         if kind in NEEDS:
             found = F.when(F.contains(body, F.lit(NEEDS[kind])), found).otherwise(F.array().cast("array<string>"))
-        hits = hits.withColumn(f"_{kind}", found)
 
-    def of(rank: int, kind: str) -> Column:
         def secret(value: Column) -> Column:
             return F.regexp_extract(value, _VALUE, 1) if kind == "assign" else value
 
-        spans = located(body, PATTERNS[kind], F.col(f"_{kind}"))
-        if kind == "assign":
-            spans = F.filter(spans, lambda s: F.length(secret(s["value"])) >= ASSIGN_CHARS)
-        made = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.xxhash64(secret(s["value"])).alias("hash")))
-        return F.when(F.size(f"_{kind}") > 0, made).otherwise(F.array().cast(SPANS))
+        def made(f: Column) -> Column:
+            spans = located(body, PATTERNS[kind], f)
+            if kind == "assign":
+                spans = F.filter(spans, lambda s: F.length(secret(s["value"])) >= ASSIGN_CHARS)
+            rows = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.xxhash64(secret(s["value"])).alias("hash")))
+            return F.when(F.size(f) > 0, rows).otherwise(F.array().cast(SPANS))
+
+        return let(found, made)
 
-    spans = F.array_sort(F.concat(*[of(i, k) for i, k in enumerate(KINDS)]))
-    return hits.withColumn(out, spans).drop(*[f"_{k}" for k in KINDS])
+    return docs.withColumn(out, F.array_sort(F.concat(*[of(i, k) for i, k in enumerate(KINDS)])))
 
 
 def find_secrets(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str = "source") -> DataFrame:
@@ -71,7 +77,11 @@ def find_secrets(docs: DataFrame, text: str = "text", repo: str = "doc_id", owne
     owned = single.select(F.col("span.hash").alias("hash"), "owner", "repo").distinct()
     per_owner = owned.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n_repos"))
     counts = per_owner.groupBy("hash").agg(F.sum("n_repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
-    judged = single.withColumn("hash", F.col("span.hash")).join(counts, "hash")
+    counts = cut(counts, "counts")
+    # values of very many repositories are few: they go to the spans, not the spans to them
+    named, often = single.withColumn("hash", F.col("span.hash")), F.col("n_repos") >= OFTEN
+    hot = small(counts.filter(often))
+    judged = named.join(hot, "hash").unionByName(named.join(hot.select("hash"), "hash", "left_anti").join(counts.filter(~often), "hash"))
     full = F.struct("span.start", "span.rank", "span.kind", "span.end", "span.hash", "n_repos", "n_owners", (F.col("n_owners") < EXAMPLE_OWNERS).alias("live"))
     spans = judged.select("row", full.alias("span")).groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("spans"))
     kept = F.filter("spans", lambda s: (s["rank"] < len(BASE)) | s["live"])

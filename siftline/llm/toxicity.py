@@ -10,12 +10,15 @@ and other ones by likelihood ratio; it is an entry if the best passes ``MIN_G2``
 its weight is the log ratio of its rates among words.  Of starts that continue each
 other only the strongest is kept.  A phrase of ``EXCEPTIONS`` hides the entries in it.
 The weights found in a text are summed and divided by its number of words; a logistic
-curve fitted on the same labelled rows makes that a score from 0 to 1.
+curve fitted on labelled rows set aside (one in ``CURVE``) makes that a score from 0 to 1.
 
-At most ``TRAIN_ROWS`` labelled rows (those of least hash) train it and the lexicon has at
-most ``LEXICON`` entries: these bound what is collected and sent to the tasks.  All rows
-are scored, whole, without a shuffle.  Null and empty texts have score 0.  Without
-labels of both kinds every score is 0.  Labels that repeat a doc_id: the highest counts.
+At most ``TRAIN_ROWS`` labelled rows (those of least hash) train it, which bounds what is
+collected and sent to the tasks.  All rows are scored, whole, without a shuffle.
+
+Null and empty texts have score 0.  Very long texts take time in proportion.  Without
+labels of both kinds every score is 0; an empty table gives an empty one.  Repeated rows
+each have their score.  Labels that repeat a doc_id: the highest counts.  Columns of any
+name stay as they are.
 """
 
 from __future__ import annotations
@@ -23,9 +26,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -33,14 +38,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import append_columns, cut, strings
+from siftline.llm.common import append_columns, cut, fresh, strings
 
 PREFIXES = range(3, 11)
 TRAIN_ROWS = 10_000
+CURVE = 4  # one in so many training rows fits the curve
 LEVELS = (1, 2, 4)
-COUNT_TO = 50  # occurrences of a start that count in one document
-CANDIDATES = 20_000
-LEXICON = 2_000
 MIN_G2 = 16.0
 MIN_WEIGHT = 0.7
 SHORT = 8  # words added to the length, so that one word in a very short text is not all
@@ -104,8 +107,14 @@ class Lexicon:
             return 0.0
         folded = fold(text)
         found = [(end - n + 1, end, w) for end, (n, w) in automaton.iter(folded)]
-        hidden = [(a, b) for a, b, w in found if w < 0]
-        total = sum(w for a, b, w in found if w >= 0 and not any(x <= a and b <= y for x, y in hidden))
+        # exceptions by their starts, each with the farthest end of those up to it
+        hidden = sorted((a, b) for a, b, w in found if w < 0)
+        begins, reach = [a for a, _ in hidden], list(accumulate((b for _, b in hidden), max))
+        total = 0.0
+        for a, b, w in found:
+            k = bisect_right(begins, a)
+            if w >= 0 and not (k and b <= reach[k - 1]):
+                total += w
         return 100 * total / (folded.count(" ") + SHORT)
 
     def score(self, density: float) -> float:
@@ -119,7 +128,7 @@ def choose(rated: list[tuple[str, float]]) -> dict[str, float]:
     kept: dict[str, float] = {}
     beginnings: set[str] = set()  # of all that is kept
     for s, w in rated:
-        if len(kept) < LEXICON and s not in beginnings and not any(s[:k] in kept for k in range(1, len(s))):
+        if s not in beginnings and not any(s[:k] in kept for k in range(1, len(s))):
             kept[s] = w
             beginnings.update(s[:k] for k in range(1, len(s) + 1))
     return kept
@@ -132,10 +141,16 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(mine), "doc_id").select("text", F.col("_toxic").alias("toxic"))
 
 
+def _for_curve() -> Column:
+    """The training rows that fit the curve and choose no entries."""
+    return F.pmod(F.xxhash64("text", F.lit(3)), F.lit(CURVE)) == 0
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """A lexicon from the labelled rows of docs."""
     rows = cut(training_rows(docs, labels), "training")
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    first = rows.filter(~_for_curve())
+    sizes = {r["toxic"]: r["n"] for r in first.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not other:
         return Lexicon({})
@@ -159,13 +174,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
                     row = found.setdefault(start, [0] * wide)
                     for k, level in enumerate(LEVELS):
                         row[side + k] += n >= level
-                    row[side + len(LEVELS)] += min(n, COUNT_TO)
+                    row[side + len(LEVELS)] += n
                 if len(found) > 150_000:
                     yield flush()
         yield flush()
 
     schema = ", ".join(["start string", *(f"c{k} long" for k in range(wide))])
-    counts = cut(rows.select("text", "toxic").mapInArrow(count, schema).groupBy("start").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(wide)]), "starts")
+    counts = cut(first.select("text", "toxic").mapInArrow(count, schema).groupBy("start").agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(wide)]), "starts")
     words = counts.filter("start = ''").first()
     half, n = len(LEVELS) + 1, float(toxic + other)
 
@@ -181,10 +196,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     weight = F.log((F.col(f"c{wide - 1}") + 0.5) / float(words[f"c{wide - 1}"] + 1)) - F.log((F.col(f"c{half - 1}") + 0.5) / float(words[f"c{half - 1}"] + 1))
     rated = counts.filter("start <> ''").select("start", F.greatest(*[g2(k) for k in range(len(LEVELS))]).alias("g2"), weight.alias("weight"))
     strong = rated.filter((F.col("g2") >= MIN_G2) & (F.col("weight") >= MIN_WEIGHT))
-    # bounded by CANDIDATES; of equal ones the longest first
-    best = strong.orderBy(F.desc(F.round("g2", 6)), F.desc(F.length("start")), "start").limit(CANDIDATES).collect()
+    # starts of the words of TRAIN_ROWS rows at most; of equal ones the longest first
+    best = strong.orderBy(F.desc(F.round("g2", 6)), F.desc(F.length("start")), "start").collect()
     lexicon = Lexicon(choose([(r["start"], r["weight"]) for r in best]))
-    return fit(lexicon, rows)
+    return fit(lexicon, rows.filter(_for_curve()))
 
 
 def fit(lexicon: Lexicon, rows: DataFrame) -> Lexicon:
@@ -230,4 +245,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the score calls toxic."""
-    return densities(docs, learn(docs, labels), names=("_density", "_score")).filter(F.col("_score") < THRESHOLD).drop("_density", "_score")
+    density, score = fresh(docs, "density"), fresh(docs, "score")
+    return densities(docs, learn(docs, labels), names=(density, score)).filter(F.col(score) < THRESHOLD).drop(density, score)

@@ -1,17 +1,23 @@
 """URL filter: rules by host and path, and a language-model ratio for the rest.
 
-The URLs that rules allow or block train one character model each.  Both are
+The URLs that rules allow or block train one character model each, and the whole URL,
+from scheme to fragment, is what is learnt and scored.  Both are
 variable-order Markov models: every order from ``ORDER`` down to 0 is smoothed by the
 next lower one with the weight that the number of distinct followers of a context
 gives (Witten and Bell).  The score of a URL is the mean per character of log
 p(blocked) - log p(allowed); a third of the training URLs, by hash, is set aside for
-the threshold: the least at which no more than one in a hundred of the allowed ones
-would be blocked.  All is DataFrame work: counts of windows of ORDER + 1
-characters over all URLs, one join per order, one pass that sums.
-
-Null URLs and URLs without ``://`` have an empty host and path; they are scored as
-empty strings and so allowed.  Ties between rules can't be, as rules of equal length
-that fit one URL are equal.  With no training URL of either kind all else is allowed.
+the threshold: no more than one in a hundred of the allowed ones may lie beyond it and,
+if that can be had too, of the blocked ones below it.  All is DataFrame work: counts of windows of ORDER + 1
+characters over all URLs, one join per order, one pass that sums.  The model reaches the
+URLs by broadcast, a row for each context: there are no more than ``SYMBOLS`` to the power
+ORDER of these, 79,507, whatever the input.
+
+Null URLs and URLs without ``://`` have an empty host and path and are allowed, whatever
+their score; a null URL is scored as an empty one.  Very long URLs are scored whole;
+repeated rows each have their verdict; an empty table gives an empty one; only the key
+and the URL are read, so no other name can clash.  Ties between rules can't be, as rules
+of equal length that fit one URL are equal.  With no training URL of either kind all else
+is allowed.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from siftline.llm.common import cut, small
+from siftline.llm.common import cut
 
 ORDER = 3
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-_"
@@ -28,7 +34,7 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-_"
 START, OTHER, END = "^", "*", "$"
 SYMBOLS = len(ALPHABET) + 3
 BUCKETS = 50  # of the calibration, to a unit of the score
-FALSE_BLOCKS = 0.01
+WRONG = 0.01
 ASIDE = 3  # one in so many training URLs calibrates and doesn't train
 
 #: Fixed values: (verdict, host, path prefix).
@@ -87,33 +93,40 @@ def ratios(windows: DataFrame) -> DataFrame:
 
 
 def calibrate(scores: DataFrame) -> float | None:
-    """scores: score, verdict.  The least score beyond which no more than FALSE_BLOCKS
-    of the allowed training URLs lie; None if one kind of training URL is missing.
-    One small table of buckets, whatever the input."""
+    """scores: score, verdict.  The middle between the least score beyond which no more
+    than WRONG of the allowed training URLs lie and, where it is higher, the greatest below
+    which no more than WRONG of the blocked ones lie; None if one kind of training URL is
+    missing.  One small table of buckets, whatever the input."""
     bucket = F.floor(F.col("score") * BUCKETS).alias("bucket")
     counts = scores.groupBy(bucket).agg(F.count(F.when(F.col("verdict") == "block", 1)).alias("b"), F.count(F.when(F.col("verdict") == "allow", 1)).alias("a"))
     everything = Window.partitionBy()
     here_on = Window.orderBy("bucket").rowsBetween(0, Window.unboundedFollowing)
-    both = counts.withColumns({"all_b": F.sum("b").over(everything), "all_a": F.sum("a").over(everything), "wrong": F.sum("a").over(here_on)}).filter("all_a > 0 and all_b > 0")
-    edge = both.filter(F.col("wrong") > FALSE_BLOCKS * F.col("all_a")).agg(F.max("bucket").alias("bucket")).first()["bucket"]
-    return None if edge is None else (edge + 1) / BUCKETS
+    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    both = counts.withColumns({"all_b": F.sum("b").over(everything), "all_a": F.sum("a").over(everything), "over": F.sum("a").over(here_on), "under": F.sum("b").over(upto)}).filter("all_a > 0 and all_b > 0")
+    low = F.max(F.when(F.col("over") > WRONG * F.col("all_a"), F.col("bucket") + 1)).alias("low")
+    high = F.min(F.when(F.col("under") > WRONG * F.col("all_b"), F.col("bucket"))).alias("high")
+    edge = both.agg(low, high).first()
+    return None if edge["low"] is None else (edge["low"] + max(edge["low"], edge["high"])) / 2 / BUCKETS
 
 
 def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, rule, score, verdict of every row."""
     host, path = host_and_path(F.col(url))
-    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), host.alias("host"), path.alias("path"), F.coalesce(F.col(url), F.lit("")).alias("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    aside = F.pmod(F.xxhash64("host", "path"), F.lit(ASIDE)) == 0
+    aside = F.pmod(F.xxhash64("url"), F.lit(ASIDE)) == 0
     rows = cut(rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), aside.alias("aside")), "urls")
-    flat = rows.select("row", "by_rule", "aside", F.explode(_windows(F.concat("host", "path"))).alias("window"))
+    flat = rows.select("row", "by_rule", "aside", F.explode(_windows(F.col("url"))).alias("window"))
 
     def seen(kind: str) -> Column:
         return F.count(F.when((F.col("by_rule") == kind) & ~F.col("aside"), 1))
 
     windows = flat.groupBy("window").agg(seen("allow").alias("allowed"), seen("block").alias("blocked"))
-    table = cut(ratios(cut(windows, "windows")), "ratios")
-    scores = flat.join(small(table), "window").groupBy("row").agg(F.round(F.avg("ratio"), 9).alias("score"))
+    table = ratios(cut(windows, "windows"))
+    followers = F.map_from_entries(F.collect_list(F.struct(F.substring("window", ORDER + 1, 1), "ratio")))
+    model = cut(table.groupBy(F.substring("window", 1, ORDER).alias("context")).agg(followers.alias("followers")), "model")
+    pairs = flat.select("row", F.substring("window", 1, ORDER).alias("context"), F.substring("window", ORDER + 1, 1).alias("last"))
+    scores = pairs.join(F.broadcast(model), "context").groupBy("row").agg(F.round(F.avg(F.element_at("followers", F.col("last"))), 9).alias("score"))
     judged = cut(rows.join(scores, "row", "left"), "scores")
     limit = calibrate(judged.filter(F.col("by_rule").isNotNull() & F.col("aside")).select("score", F.col("by_rule").alias("verdict")))
     by_score = F.lit("allow") if limit is None else F.when((F.col("score") >= limit) & (F.col("host") != ""), "block").otherwise("allow")

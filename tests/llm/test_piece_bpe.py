@@ -32,14 +32,16 @@ def test_ids_and_texts_are_the_library_s(library):
         assert back == library.decode(ids), repr(text)
 
 
-def test_rounds_and_heap_agree():
+def test_long_units_as_the_library_does():
+    """Random letters, few letters (many equal pairs side by side) and one very long unit."""
     model = piece_bpe.PieceModel(piece_model_file())
+    library = sentencepiece.SentencePieceProcessor(model_file=piece_model_file())
     rng = random.Random(1)
-    units = ["".join(rng.choices("abeinrst", k=100)) for _ in range(50)]
-    flat, lengths = model._rounds(units)
-    assert np.concatenate([model._heap(u) for u in units]).tolist() == flat.tolist()
-    assert [len(model._heap(u)) for u in units] == lengths.tolist()
-
+    units = ["".join(rng.choices("abeinrst"[:k], k=n)) for k in (1, 2, 3, 8) for n in (2, 9, 100, 900) for _ in range(6)]
+    units += ["ing" * 700, "日本語" * 300, "".join(rng.choices("etaoinshrdlu", k=60_000))]
+    flat, ends = model.encode(units)
+    for unit, a, b in zip(units, [0, *ends[:-1]], ends, strict=True):
+        assert flat[a:b].tolist() == library.encode(unit, add_eos=True)
 
 def test_forgetting_changes_nothing(monkeypatch):
     texts = cases()[:300]

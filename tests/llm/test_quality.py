@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from siftline.llm import quality as Q
 from siftline.llm.quality import reject_outliers
 
 
@@ -45,3 +46,43 @@ def test_counts_and_outliers(spark):
     assert np.mean([r.kept for r in plain if not r.base_failed]) > 0.99
     assert not any(got[i].kept for i in range(510, 520))
     assert reject_outliers(df.limit(0)).count() == 0
+
+
+def plain_determinant(x, starts=40):
+    """Least log determinant of all starts of a plain minimum-covariance-determinant search."""
+    rng, n, best = np.random.default_rng(0), len(x), np.inf
+    h, floor = int(np.ceil(Q.SUBSET * n)), np.diag(np.square(Q.FLOOR))
+    for _ in range(starts):
+        near = rng.choice(n, 8, replace=False)
+        for _ in range(60):
+            mean, cov = x[near].mean(axis=0), np.cov(x[near].T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            new = np.argsort(d, kind="stable")[:h]
+            if set(new) == set(near):
+                break
+            near = new
+        best = min(best, np.linalg.slogdet(cov)[1])
+    return best
+
+
+def test_least_determinant(spark):
+    """Two groups with outliers of their own: no start of a plain search does better."""
+    rng = np.random.default_rng(4)
+    groups = {}
+    for name, n in (("a", 300), ("b", 900)):
+        x = rng.normal(size=(n, 5)) @ rng.normal(size=(5, 5)) + rng.normal(size=5) * 5
+        x[: n // 6] += 30
+        groups[name] = x
+    rows = [(g, *map(float, r)) for g, x in groups.items() for r in x]
+    df = spark.createDataFrame(rows, "group string, " + ", ".join(f"{f} double" for f in Q.FEATURES))
+    for r in Q.factored(Q.least_determinant(df)).collect():
+        x = groups[r.group]
+        assert r.n == len(x) and r.logdet <= plain_determinant(x) + 0.01
+        good = x[len(x) // 6 :]
+        assert np.allclose([r[f"m_{i}"] for i in range(5)], good.mean(axis=0), atol=0.6)
+
+
+def test_small_groups_are_drawn_toward_all_rows(spark):
+    table = spark.createDataFrame([("", 100, 1.0), ("s", 50, 3.0), ("l", 10**9, 3.0)], "group string, n long, scale double")
+    got = {r.group: r.scale for r in Q._drawn(table, ["scale"]).collect()}
+    assert got["s"] == 2.0 and abs(got["l"] - 3) < 1e-6 and got[""] == 1.0

@@ -1,6 +1,9 @@
+import math
 import random
 import re
+from collections import Counter
 
+from siftline.llm import urls as U
 from siftline.llm.urls import RULES, filter_urls
 
 
@@ -40,3 +43,49 @@ def test_rules_and_ratio(spark):
             assert r.verdict == "allow"
     assert filter_urls(df.limit(0)).count() == 0
     assert {r.verdict for r in filter_urls(df.filter("page_id > 1199 + 12")).collect()} == {"allow"}
+
+
+def plain_model(urls):
+    """Chance of a character after a context, by Witten and Bell, from counts in a dict."""
+    grams = [Counter() for _ in range(U.ORDER + 1)]
+    for u in urls:
+        for w in windows(u):
+            for k in range(U.ORDER + 1):
+                grams[k][w[U.ORDER - k :]] += 1
+
+    def chance(gram):
+        k = len(gram) - 1
+        n = sum(c for g, c in grams[k].items() if g[:-1] == gram[:-1])
+        if not k:
+            return (grams[0][gram] + 1) / (n + U.SYMBOLS)
+        kinds = sum(g[:-1] == gram[:-1] for g in grams[k])
+        below = chance(gram[1:])
+        return (grams[k][gram] + kinds * below) / (n + kinds) if n else below
+
+    return chance
+
+
+def windows(url):
+    folded = "".join(c if c in U.ALPHABET else U.OTHER for c in (url or "").lower())
+    padded = U.START * U.ORDER + folded + U.END
+    return [padded[i : i + U.ORDER + 1] for i in range(len(folded) + 1)]
+
+
+def test_scores_against_a_plain_model(spark):
+    """The whole URL counts, its query and fragment too."""
+    rng = random.Random(6)
+    urls = [f"http://a{i % 4}.net/de/{rng.randrange(50)}?id={i}" for i in range(40)] + [f"https://b{i % 3}.org/es/{rng.randrange(9)}#top{i}" for i in range(40)]
+    urls += [None, "", "http://c.io/x?buy=now", "http://c.io/x", "http://c.io/" + "long/" * 4_000, urls[0], urls[0]]
+    df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, row int")
+    got = {r.page_id: r for r in filter_urls(df).collect()}
+    aside = {r.url for r in df.filter(f"pmod(xxhash64(coalesce(url, '')), {U.ASIDE}) = 0").collect()}
+    kinds = [[u for i, u in enumerate(urls) if u not in aside and (w := rule(*split(u))) and w[0] == kind] for kind in ("block", "allow")]
+    assert min(map(len, kinds)) > 10
+    bad, good = (plain_model(k) for k in kinds)
+    for i, u in enumerate(urls):
+        ws = Counter(windows(u))
+        want = sum(n * math.log(bad(w) / good(w)) for w, n in ws.items()) / ws.total()
+        assert abs(got[i].score - want) < 1e-6, u
+    assert got[82].score != got[83].score and got[0].score == got[85].score == got[86].score
+    limit = U.calibrate(spark.createDataFrame([(got[i].score, rule(*split(u))[0]) for i, u in enumerate(urls) if u in aside and rule(*split(u))], "score double, verdict string"))
+    assert all(r.verdict == ("block" if r.score >= limit and r.host else "allow") for r in got.values() if r.rule is None)
