@@ -3,6 +3,11 @@
 toxicity drops documents that score as toxic; near_duplicates keeps the smallest
 doc_id of each group; decontamination drops documents that hold a benchmark item; pii
 replaces personal data by its kind; tokens encodes what is left.
+
+All stages but the last return the columns of documents, whatever they are besides doc_id
+and text.  Null and empty texts are clean and stay; so do rows without an id.  Very long
+texts are worked on whole; an empty table gives an empty one.  Of rows that repeat an id
+and its text one stays; names of columns can't clash.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut, read_table
+from siftline.llm.common import cut, fresh, read_table
 from siftline.llm.decontamination import decontaminate
 from siftline.llm.minhash import near_duplicates
 from siftline.llm.pii import find_pii, redact
@@ -24,11 +29,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles here; one document of each group stays.  An id that several
-    rows bear goes only if none of them stays; rows without an id stay."""
+    """Five-word shingles here; one document of each group stays: of rows that bear its
+    smallest id the one of least hash, of rows alike in all columns any one.  Rows without
+    an id stay.  Ids that several rows bear are few or many; each row is judged by its own
+    text."""
+    names = {n: fresh(docs, n) for n in ("row", "any")}
+    row, text = names["row"], F.coalesce("text", F.lit(""))
     groups = near_duplicates(docs.select("doc_id", "text"), width=5, percent=80).filter(F.col("doc_id").isNotNull())
-    gone = groups.groupBy("doc_id").agg(F.max("kept").alias("_any")).filter(~F.col("_any")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = groups.groupBy("doc_id").agg(F.max("kept").alias(names["any"])).filter(~F.col(names["any"])).select("doc_id")
+    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # of rows with the same id and text one is enough; they are rare, so only hashes are shuffled
+    numbered = cut(left.withColumn(row, F.monotonically_increasing_id()), "kept")
+    same = numbered.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(text).alias("_a"), F.md5(text).alias("_b"), F.col(row).alias("_row"))
+    extra = same.groupBy("doc_id", "_a", "_b").agg(F.min("_row").alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    twice = same.join(extra, ["doc_id", "_a", "_b"]).filter("_row > _least").select(F.col("_row").alias(row))
+    return numbered.join(twice, row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,13 +51,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = find_pii(docs, out="_pii").withColumn("text", redact(F.col("text"), F.col("_pii")))
-    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Spans replaced by their kind; n_chars, where there is one, is that of the new text."""
+    name = fresh(docs, "pii")
+    found = find_pii(docs, out=name).withColumn("text", redact(F.col("text"), F.col(name)))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast("long"))
+    return found.select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids; decoding gives the text back, as decoded_ok says."""
-    out = encode_decode(docs.withColumn("_key", F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))), piece_model_file(), key="_key")
+    keyed = docs.select(F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).alias("_key"), "text")
+    out = encode_decode(keyed, piece_model_file(), key="_key")
     return out.select("_key.doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", (F.sha2("decoded", 256) == F.col("_key.sha")).alias("decoded_ok"))
 
 
