@@ -40,7 +40,17 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that cut has written, once nothing is left to be computed from them."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        place = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 #: Below this many rows a table of statistics is broadcast; beyond it is shuffled.
