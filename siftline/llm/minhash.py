@@ -21,8 +21,10 @@ So no pairs of a large group are written out, no group is gathered in one task,
 link between two texts that share a band is lost.  A pair at the threshold itself
 shares none of the bands with probability under 2e-5.
 
-Null and empty texts have no shingles and are linked with nothing.  Rows that repeat
-a doc_id each give a row; ties go to the smallest doc_id; null ids never lead.
+Null and empty texts have no shingles and are linked with nothing.  Very long texts are
+worked on whole, each as one row with its set of shingles.  Rows that repeat a doc_id each
+give a row; ties go to the smallest doc_id; null ids never lead.  An empty table gives an
+empty one.  Only doc_id and text are read, so names of other columns can't clash.
 """
 
 from __future__ import annotations

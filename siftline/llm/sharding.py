@@ -6,7 +6,8 @@ permuted number p gives ``shard = p % n_shards`` and ``slot = p // n_shards``, s
 shard counts differ by one row at most, slots have no gap, and the place of any row
 number can be computed without the data.
 
-Nulls: a null text counts as empty, null ids sort first.  Ties: rows that agree in
+Nulls: a null text counts as empty, null ids sort first.  Very long texts count by their
+size and checksum alone; rows that repeat each have a place of their own.  Ties: rows that agree in
 id, checksum and size are interchangeable; any order among them gives the same
 content.  An empty table gives an empty result.  Other columns are not touched.
 """

@@ -54,3 +54,31 @@ def test_no_labels(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in T.score_documents(d, lab).collect()] == [0.0]
     assert T.score_documents(d.limit(0), lab).count() == 0
+
+
+def plain_density(text, weights, exceptions):
+    """By substring search at starts of words, one entry after the other."""
+    folded = T.fold(text)
+    spans = lambda e: [(k, k + len(e)) for k in range(len(folded)) if folded.startswith(f" {e}", k - 1) and k]
+    hidden = [s for e in exceptions for s in spans(e)]
+    total = sum(w for e, w in weights.items() for a, b in spans(e) if not any(x <= a and b <= y for x, y in hidden))
+    return 100 * total / (folded.count(" ") + T.SHORT)
+
+
+def test_density_against_substring_search():
+    rng = random.Random(8)
+    weights = {"tra": 1.0, "trash": 2.5, "clown": 3.0, "fish": 0.5, "los": 1.5}
+    lexicon = T.Lexicon(weights)
+    found = lexicon.automaton()
+    parts = ["trash", "trash can", "can", "clown fish", "fish", "Cl0wn", "l0ser bracket", "loser", "trash bin", "|", "a"]
+    for n in (0, 1, 5, 40, 300):
+        for _ in range(20):
+            text = rng.choice([" ", "  ", ", "]).join(rng.choices(parts, k=n))
+            assert abs(lexicon.density(found, text) - plain_density(text, weights, T.EXCEPTIONS)) < 1e-9, text
+
+
+def test_very_long_text_of_exceptions():
+    """Time in proportion: entries in 200,000 exception phrases."""
+    lexicon = T.Lexicon({"trash": 2.0}, 1.0, 0.0)
+    assert lexicon.density(lexicon.automaton(), "trash can " * 200_000) == 0
+    assert lexicon.density(lexicon.automaton(), "trash can " * 200_000 + "trash") > 0
