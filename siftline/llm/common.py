@@ -57,9 +57,14 @@ def forget(*tables: DataFrame) -> None:
 BROADCAST_ROWS = 100_000
 
 
+#: The same for a table of one number a row.
+BROADCAST_NUMBERS = 1_000_000
+
+
 def is_small(df: DataFrame) -> bool:
-    """Whether a count shows that df has no more than BROADCAST_ROWS rows."""
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    """Whether a count shows that df has few enough rows to broadcast."""
+    most = BROADCAST_NUMBERS if len(df.columns) == 1 and df.dtypes[0][1] == "bigint" else BROADCAST_ROWS
+    return df.limit(most + 1).count() <= most
 
 
 def small(df: DataFrame) -> DataFrame:

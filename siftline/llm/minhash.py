@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -201,8 +202,9 @@ def _sets(docs: DataFrame, needed: DataFrame, width: int) -> DataFrame:
     return cut(found.dropDuplicates(["node"]), "sets")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and component (the least node reachable) of all nodes in edges.
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
+    """node and component (the least node reachable) of all nodes in edges; after a number
+    of rounds, the least node found so far.
 
     Least labels spread along edges, and labels of labels are followed in each round,
     so the rounds grow with the logarithm of the longest path.  All tables stay
@@ -211,12 +213,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     sym = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(b, a)).distinct(), "edges")
     labels = cut(sym.groupBy(F.col("x").alias("node")).agg(F.min("y").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
     hint = F.broadcast if is_small(labels) else lambda df: df  # the tables of all rounds have its size
-    while True:
+    for done in count(1):
         spread = sym.join(hint(labels.toDF("y", "l")), "y").groupBy("x").agg(F.min("l").alias("l"))
         near = spread.join(hint(labels.toDF("x", "old")), "x").select(F.col("x").alias("node"), "old", F.least("old", "l").alias("component"))
         up = hint(labels.toDF("component", "above"))
         new = cut(near.join(up, "component").select("node", "old", F.least("component", "above").alias("component")), "labels")
-        if new.filter(F.col("old") != F.col("component")).isEmpty():
+        if done == rounds or new.filter(F.col("old") != F.col("component")).isEmpty():
             return new.select("node", "component")
         labels = new.select("node", "component")
 
