@@ -379,12 +379,12 @@ FORMATS = {
     "e3.json": (b"{", None),
     "f2.yml": (b"", "null"),
     "g2.toml": (b"k = = 1", None),
-    "h2.xml": (b"<a><![CDATA[raw]]>&lt;x</a>", None),
-    "i2.rtf": (rb"{\rtf1{\fonttbl{\f0 Arial;}}{\*\generator g;}see {\field{\*\fldinst HYPERLINK http://x}{\fldrslt this}}\par end}", None),
+    "h2.xml": (b"<a><![CDATA[raw]]>&lt;x</a>", "raw\n<x\n"),
+    "i2.rtf": (rb"{\rtf1{\fonttbl{\f0 Arial;}}{\*\generator g;}see {\field{\*\fldinst HYPERLINK http://x}{\fldrslt this}}\par end}", "*g;see *this\nend"),
     "i3.rtf": (rb"{\rtf1{\latentstyles l;}{\datastore 00}{\colorschememapping 11}text \{1\}}", "text {1}"),
     "j2.eml": (b"From: a@b\nSubject: long\n  line\nX: y\n\nfirst\nsecond", "Subject: long line\nFrom: a@b\n\nfirst\nsecond"),
     "k2.pdf": (pdf_of(b"BT (first) Tj ET", b"BT (second) Tj (quoted) ' ET", packed=True), "first\n\nsecond\nquoted"),
-    "k3.pdf": (pdf_of(b"BT <FEFFE0010078> Tj [(of) -80 <FEFFFB03> -20 (ce)] TJ ET"), "fixof fice"),
+    "k3.pdf": (pdf_of(b"BT <FEFFE0010078> Tj [(of) -80 <FEFFFB03> -20 (ce)] TJ ET"), "fixof ffice"),
     "k4.pdf": (b"not a pdf", None),
     "l2.docx": (archive(word__document_xml=f"<w:document {_W}><w:body><w:p><w:r><w:t>Dear</w:t></w:r></w:p><w:p><w:r><w:t>reader</w:t></w:r></w:p></w:body></w:document>"), "Dear\nreader"),
     "m.odt": (archive(content_xml=f"<office:document-content {_T}><office:body><office:text><text:p>open</text:p><text:p>text</text:p></office:text></office:body></office:document-content>"), "open\ntext"),
