@@ -6,8 +6,8 @@ location and scatter of the transformed counts by the minimum covariance determi
 language and source and over all rows: from each of ``STARTS`` first subsets (the rows
 nearest to the medians, scaled by median deviations; and hashed samples), concentration
 steps (mean and covariance of the subset, Mahalanobis distances of all, the nearest
-``SUBSET`` of the rows are the next subset) until no determinant changes any more; of the
-starts the least determinant counts.  A group's mean, covariance and scale are drawn
+``SUBSET`` of the rows are the next subset) are made: ``TRIALS`` for every start, then, from
+the start of least determinant, until no determinant changes any more.  A group's mean, covariance and scale are drawn
 toward those of all rows with the weight of ``PRIOR`` rows, so that small groups need no
 threshold and large ones stand on their own.  Rows beyond ``CUTOFF`` in squared distance,
 brought to a consistent scale by its median, are rejected.  All is DataFrame work; only
@@ -34,8 +34,9 @@ PRIOR = 50.0  # rows
 SUBSET = 0.75
 STARTS = 3
 SAMPLE = 0.1  # of the rows, in a first subset by hash
-#: Concentration steps end when no log determinant moves by more than this, or after STEPS.
-TOLERANCE, STEPS = 1e-6, 30
+TRIALS = 2  # concentration steps of every start; the best one of each group goes on
+#: The steps end when no log determinant moves by more than this, or after STEPS.
+TOLERANCE, STEPS = 1e-3, 20
 #: Squared distance; for five normal features it is passed by less than one row in 10^9.
 CUTOFF = 50.0
 #: Median of the chi-square distribution with five degrees of freedom.
@@ -155,16 +156,28 @@ def least_determinant(rows: DataFrame) -> DataFrame:
     many = many.withColumn("d", F.when(F.col("start") == 0, near).otherwise(chance)).select(*keys, "d", *FEATURES)
     first = _nearest(many.filter("start = 0"), SUBSET).unionByName(_nearest(many.filter("start > 0"), SAMPLE))
     table = cut(factored(moments(first, keys)), "scatter")
-    every = rows.withColumn("start", F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))))
+    kept = [*keys, "logdet", *_M, *_C, *_L]
+
+    def step(now: DataFrame) -> DataFrame:
+        placed = rows.join(small(now.select(*keys, *_M, *_L)), "group").withColumn("d", _distance()).select(*keys, "d", *FEATURES)
+        return cut(factored(moments(_nearest(placed, SUBSET), keys)), "scatter")
+
+    for _ in range(TRIALS):
+        table = step(table)
+    table = cut(table.groupBy("group").agg(F.min_by(F.struct(*kept[1:]), F.struct("logdet", "start")).alias("best")).select("group", "best.*"), "scatter")
     for _ in range(STEPS):
-        placed = every.join(small(table.select(*keys, *_M, *_L)), keys).withColumn("d", _distance()).select(*keys, "d", *FEATURES)
-        new = cut(factored(moments(_nearest(placed, SUBSET), keys)), "scatter")
-        moved = new.select(*keys, "logdet").join(table.select(*keys, F.col("logdet").alias("before")), keys).filter(F.abs(F.col("logdet") - F.col("before")) > TOLERANCE)
+        new = step(table)
+        moved = new.select("group", "logdet").join(table.select("group", F.col("logdet").alias("before")), "group").filter(F.abs(F.col("logdet") - F.col("before")) > TOLERANCE)
         table = new
         if moved.isEmpty():
             break
-    best = table.groupBy("group").agg(F.min_by(F.struct(*_M, *_C), F.struct("logdet", "start")).alias("best"))
-    return cut(best.join(spreads.select("group", F.col("rows").alias("n")), "group").select("group", "n", "best.*"), "estimates")
+    return _sized(table, spreads)
+
+
+def _sized(table: DataFrame, spreads: DataFrame) -> DataFrame:
+    """Estimates with the number of all rows of the group."""
+    sizes = spreads.select("group", F.col("rows").alias("n"))
+    return cut(table.select("group", *_M, *_C).join(sizes, "group"), "estimates")
 
 
 def _drawn(table: DataFrame, columns: list[str]) -> DataFrame:
