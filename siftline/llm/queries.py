@@ -98,6 +98,28 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(found, BASE, "spans", live)
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.fill_middle import fill_middle, restore
+
+    out = fill_middle(read_table(spark, sf_dir, "documents"))
+    restored = F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), restored)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from siftline.llm.token_counts import count_tokens
+
+    return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_partial_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftline.llm.centroids import cluster_vectors
+
+    return cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -142,6 +164,36 @@ placed AS (SELECT row, (l << half) + r AS p FROM walk WHERE k = {rounds} AND ((l
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (p % {n_shards})::INT AS shard, (p // {n_shards})::BIGINT AS slot, NULL::INT AS grown_shard FROM numbered JOIN placed USING (row)"""
 
 
+#: Units as a list of matches, so that cuts are lengths of lists.
+_FILL_MIDDLE = r"""WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units, sha256('42:' || doc_id) AS sha FROM documents),
+h AS (SELECT *, len(units) AS n, ('0x' || sha[1:8])::BIGINT AS h1, ('0x' || sha[9:16])::BIGINT AS h2, ('0x' || sha[17:24])::BIGINT AS h3, ('0x' || sha[25:32])::BIGINT AS h4 FROM u),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS p, greatest(h1 % (n + 1), h2 % (n + 1)) AS q,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT *, array_to_string(units[1:p], '') AS pre, array_to_string(units[p + 1:q], '') AS mid, array_to_string(units[q + 1:], '') AS suf FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+ sha256(t) AS restored_sha256 FROM c"""
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10, dimensions: int = 64) -> str:
+    """Each round as a table of its own, its centroids after it."""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1)::INT AS c, v FROM v ORDER BY c LIMIT {k})",
+    ]
+    distance = "list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, min(struct_pack(d := {distance}, c := c.c)) AS m FROM v, c{i} AS c GROUP BY r)")
+        if i < rounds:
+            parts.append(f"s{i} AS (SELECT c, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT m.c AS c, unnest(v) AS x, unnest(range({dimensions})) AS j FROM a{i} JOIN v USING (r)) GROUP BY c, j)")
+            mean = "((s - ((s % n) + n) % n) // n)::BIGINT"
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT old.c, coalesce(n.v, old.v) AS v FROM c{i} AS old LEFT JOIN (SELECT c, list({mean} ORDER BY j) AS v FROM s{i} GROUP BY c) AS n USING (c))")
+    last = f"""SELECT vec_id, m.c AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.c))::BIGINT AS cluster_inertia, (sum(m.d) OVER ())::BIGINT AS inertia,
+ sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN c{rounds} AS c ON c.c = m.c"""
+    return "WITH " + ",\n".join(parts) + "\n" + last
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others have brute-force tests."""
-    return {"op7_minhash_bayes": _NEAR_DUPLICATES, "op8_feistel_shards": _shards_sql()}
+    return {"op7_minhash_bayes": _NEAR_DUPLICATES, "op8_feistel_shards": _shards_sql(), "op11_fill_middle": _FILL_MIDDLE, "op13_partial_distance": _clusters_sql()}
