@@ -22,6 +22,8 @@ class Worker:
     pool_size: int = 3
     max_retries: int = 3
     queue_size: int = 0
+    queue_bytes: int = 0  # a micro-batch by its bytes and not by its files
+    lease_seconds: float = 60.0
 
     def queue(self) -> int:
         return self.queue_size if self.queue_size > 0 else 10 * self.pool_size

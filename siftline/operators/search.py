@@ -51,6 +51,7 @@ def search_store(store: Store, query: list[float], namespace: str = "", limit: i
     (some more than asked for, as deleted documents and older attempts are still there)
     are then held against the events of their documents alone.  Only if too few of these
     count, the pass is made again for more.  A limit beyond LOOK_UP joins all chunks."""
+    store = store.pinned()
     k = limit if limit > 0 else DEFAULT_LIMIT
     of = namespace or None
     kind = "chunk_id string, document_id string, namespace string, filename string, chunk_index int, content string, score double, metadata map<string,string>"
@@ -62,13 +63,19 @@ def search_store(store: Store, query: list[float], namespace: str = "", limit: i
         best = scored.orderBy(F.desc_nulls_last("score"), "id").limit(n).collect()
         held = store.spark.createDataFrame(best, scored.schema)
         asked = held.select(F.col("document_id").alias("id")).distinct()
-        found = store.counted(held, store.events(of).join(F.broadcast(asked), "id", "left_semi")).select(*columns).orderBy(*order).limit(k).collect()
+        found = store.counted(held, store.events(of, ids=documents_of(best)).join(F.broadcast(asked), "id", "left_semi")).select(*columns).orderBy(*order).limit(k).collect()
         if len(found) == k or len(best) < n:
             return store.spark.createDataFrame(found, kind).orderBy(*order)
         n *= 4
     return store.counted(scored, store.events(of)).select(*columns).orderBy(*order).limit(k)
 
 
+def documents_of(rows: list) -> list[str] | None:
+    """The documents of some chunks, if they are so few that their buckets alone are read."""
+    ids = {r["document_id"] for r in rows}
+    return sorted(ids) if len(ids) <= 64 else None
+
+
 def train_cells(chunks: DataFrame, cells: int, seed: int = 1, sample_rows: int = 100_000) -> list[list[float]]:
     """Centres of k-means cells from at most sample_rows vectors."""
     from pyspark.ml.clustering import KMeans

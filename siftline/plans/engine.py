@@ -25,10 +25,19 @@ class Engine:
         self.spark, self.store = spark, Store(spark, path, self.embedder.dimensions)
         self.streams: list = []
 
-    def ingest(self, paths: str | list[str], namespace: str = "") -> DataFrame:
-        """Take in files; returns what was set aside and why."""
+    def ingest(self, paths: str | list[str], namespace: str = "", wait: bool = True) -> DataFrame:
+        """Take in files; returns what was set aside and why.  Documents that could not be
+        embedded are tried again until they are or the tries are used up (wait), or
+        with a later call of retry."""
         attempt = self.store.now()
-        return ingest.ingest_files(read_files(self.spark, paths), self.store, self.config, self.embedder, namespace, f"b{attempt}", attempt)
+        aside = ingest.ingest_files(read_files(self.spark, paths), self.store, self.config, self.embedder, namespace, f"b{attempt}", attempt)
+        if wait:
+            ingest.retry_all(self.store, self.config, self.embedder, namespace)
+        return aside
+
+    def retry(self, namespace: str | None = None) -> int:
+        """Try again what is due; how many documents."""
+        return ingest.retry(self.store, self.config, self.embedder, namespace)
 
     upload_document = ingest
 
@@ -48,7 +57,7 @@ class Engine:
 
     def list_documents(self, namespace: str = "", **how) -> tuple[DataFrame, int]:
         """A page and the number of all that match; an offset past the end gives the last page."""
-        docs = self.store.documents(namespace)
+        docs = self.store.pinned().documents(namespace)
         total = catalog.count_documents(docs, namespace, how.get("status", "")).first()["total"]
         size = how["limit"] if how.get("limit", 0) > 0 else catalog.PAGE_SIZE
         if total and how.get("offset", 0) >= total:
@@ -56,7 +65,7 @@ class Engine:
         return catalog.list_documents(docs, namespace, **how).drop("file_path", "instance_id"), total
 
     def get_document(self, id: str, namespace: str = "") -> DataFrame:
-        found = catalog.get_document(self.store.documents(namespace), namespace, self._checked(id))
+        found = catalog.get_document(self.store.documents(namespace, [self._checked(id)]), namespace, id)
         if found.isEmpty():
             raise LookupError(f"document {id} not found")
         return found.drop("file_path", "instance_id")

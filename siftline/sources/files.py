@@ -16,16 +16,22 @@ NATIVE = (".txt", ".md", ".markdown")
 BINARY_FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def read_files(spark: SparkSession, path: str | list[str], streaming: bool = False, files_per_trigger: int = 30, done: str = "off", archive: str = "") -> DataFrame:
-    """path, modificationTime, length, content of the files below a path.  A stream leaves
-    files that a later micro-batch has gone beyond where they are (done = off), deletes
+def read_files(spark: SparkSession, path: str | list[str], streaming: bool = False, files_per_trigger: int = 30, done: str = "off", archive: str = "", bytes_per_trigger: int = 0) -> DataFrame:
+    """path, modificationTime, length, content of the files below a path.  A micro-batch of
+    a stream has so many files, or so many bytes where these are given.  A stream leaves files that a later micro-batch has gone beyond where they are (done = off), deletes
     them (delete) or moves them to the folder archive (archive)."""
     if streaming:
-        rows = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("maxFilesPerTrigger", files_per_trigger).option("cleanSource", done)
+        rows = spark.readStream.format("binaryFile").schema(BINARY_FILE).option("cleanSource", done)
+        rows = rows.option("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else rows.option("maxFilesPerTrigger", files_per_trigger)
         return (rows.option("sourceArchiveDir", archive) if archive else rows).load(path)
     return spark.read.format("binaryFile").load(path)
 
 
+def same_path(path: Column) -> Column:
+    """A path as plain ones are written: the reader spells local ones with their scheme."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def identify(files: DataFrame, namespace: str) -> DataFrame:
     """files with namespace, filename, format and file_hash; the id is the same
     whenever the same bytes come to the same namespace."""

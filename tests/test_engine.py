@@ -137,7 +137,7 @@ def test_chunks_without_their_event_do_not_count(spark, tmp_path, files):
     before = sorted((r.id, r.attempt) for r in e.store.chunks().collect())
     again = identify(read_files(spark, str(files / "a.txt")), "n").withColumn("created_at", F.current_timestamp())
     later = e.store.now()
-    e.store.append_chunks(ingest.chunk_rows(ingest.prepare(again, e.config), e.embedder, later), f"b{later}")
+    e.store.append_chunks(ingest.chunk_rows(ingest.windows(ingest.prepare(again, e.config)), e.embedder, later), f"b{later}")
     assert sorted((r.id, r.attempt) for r in e.store.chunks("n").collect()) == before and len(before) == 4
     assert e.search("alpha1", "n", 9).count() == 4
     e.store.set_status(e.list_documents("n")[0].first()["id"], "processing")
@@ -149,7 +149,7 @@ def test_search_reads_one_namespace_once(spark, tmp_path, files):
     e.ingest(str(files), "n")
     e.ingest(str(files), "m")
     plan = e.store.written_chunks("n")._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1 and "(namespace#" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert plan.count("FileScan") == 1 and "(part#" in plan.split("PartitionFilters")[1].split("]")[0]
     want = [(r.document_id, r.chunk_index) for r in search.search(e.store.chunks("n"), e.store.documents("n"), e.embedder.one("alpha3 beta"), "n", 6).collect()]
     assert [(r.document_id, r.chunk_index) for r in e.search("alpha3 beta", "n", 6).collect()] == want
     assert e.search("alpha3", "n", search.LOOK_UP).count() == e.store.chunks("n").count()  # by the join
