@@ -2,10 +2,9 @@
 
 Pre-tokens are counted for the whole corpus, each task sending its partial counts; the
 pieces of each distinct one are counted once.  Then each document's pre-token frequencies
-meet these counts: the HOT most frequent pre-tokens by a broadcast table of that size, all
-others by a join on the pre-token.  What is left for the join is so rare that no key holds
-more than one in HOT of all pre-tokens, so no task gets a hot key.  Per document only sums
-remain; ids are never made.
+meet these counts: pre-tokens that make up more than one in HOT of all, of which there are
+less than HOT, by a broadcast table, all others by a join on the pre-token.  So no task of
+the join gets a hot key.  Per document only sums remain; ids are never made.
 
 Special strings in a text count one each and cut it, as the library takes them.  Null texts
 count as empty and have no token.  Very long texts are read as a stream of pre-tokens,
@@ -32,8 +31,9 @@ from pyspark.sql import types as T
 
 from siftline.llm.common import cut, strings, text_of
 
-#: So many of the most frequent pre-tokens are broadcast, each by KEY characters at most.
-HOT = 50_000
+#: Pre-tokens of more than one in HOT of all are broadcast: so many at most, each by KEY
+#: characters at most.
+HOT = 500_000
 KEY = 64
 #: A task sends its counts on whenever it has so many distinct pre-tokens.
 DISTINCT = 200_000
@@ -209,14 +209,14 @@ def count_tokens(docs: DataFrame, tokenizer_file: str, limit: int = LIMIT, key:
     tokenizer_file names a file on every worker."""
     rules = read_rules(tokenizer_file)
     pieces = cut(count_pieces(distinct_pre_tokens(docs, rules, text), tokenizer_file), "pieces")
-    frequent = pieces.orderBy(F.desc("n"), F.length("token"), "token").limit(most)
-    # the driver gets ``most`` short strings: long ones as digests
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    # less than ``most`` short strings, long ones as digests: all have more than total / most
     short = F.when(F.length("token") <= KEY, F.col("token")).otherwise(F.concat(F.lit("\x00"), F.sha2("token", 256)))
-    hot = {r.key: r.pieces for r in frequent.select(short.alias("key"), "pieces").collect()}
+    hot = {r.key: r.pieces for r in pieces.filter(F.col("n") * most > total).select(short.alias("key"), "pieces").collect()}
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), text_of(text).alias("text"))
     each = cut(frequencies(rows, rules, hot), "frequencies")
     rest = each.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.n")
     sums = rest.join(pieces.select("token", "pieces"), "token").groupBy("row").agg(F.sum(F.col("n") * F.col("pieces")).alias("more"))
-    total = (F.col("counted") + F.coalesce("more", F.lit(0))).alias("n_tokens")
-    out = each.select("row", "key", "n_bytes", "counted").join(sums, "row", "left").select(F.col("key").alias(key), "n_bytes", total)
+    n_tokens = (F.col("counted") + F.coalesce("more", F.lit(0))).alias("n_tokens")
+    out = each.select("row", "key", "n_bytes", "counted").join(sums, "row", "left").select(F.col("key").alias(key), "n_bytes", n_tokens)
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

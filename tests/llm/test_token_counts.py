@@ -26,9 +26,9 @@ def counted(library, t):
     return len(library.encode(t or "", add_special_tokens=False).ids)
 
 
-@pytest.mark.parametrize("most", [C.HOT, 5, 0])
+@pytest.mark.parametrize("most", [C.HOT, 100, 1])
 def test_counts_are_the_library_s(spark, library, most):
-    """With all, few and no pre-tokens broadcast; long ones are broadcast as digests."""
+    """With most, few and no pre-tokens broadcast; long ones are broadcast as digests."""
     rows = [(i, t, 3) for i, t in enumerate(cases())] + [(None, "no id", 1), (5, "twice", 1), (5, "twice", 1), (9, "z" * 100 + " and", 0)] + [(100_000 + i, "q" * 90, 0) for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").repartition(3)
     got = sorted(((r.doc_id or -1, r.n_bytes, r.n_tokens, r.over_limit) for r in C.count_tokens(df, FILE, limit=20, most=most).collect()))
