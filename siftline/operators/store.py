@@ -252,12 +252,14 @@ class Store:
         out if the driver dies."""
         over = threading.Event()
 
+        def hold() -> None:
+            self.log.files.write(f"leases/{batch}", json.dumps({"until": self.now() + int(seconds * 1e6)}))
+
         def renew() -> None:
-            while True:
-                self.log.files.write(f"leases/{batch}", json.dumps({"until": self.now() + int(seconds * 1e6)}))
-                if over.wait(seconds / 3):
-                    return
+            while not over.wait(seconds / 3):
+                hold()
 
+        hold()
         keeper = threading.Thread(target=renew, daemon=True)
         keeper.start()
         try:

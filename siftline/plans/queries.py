@@ -17,7 +17,7 @@ from siftline.operators import access, catalog, search, store
 from siftline.operators.embed import HashEmbedder, hashed_counts
 from siftline.plans import views
 from siftline.sources import parsers
-from siftline.sources.files import extract, stable_id
+from siftline.sources.files import extract, same_path, stable_id
 from siftline.sources.files import html_text as html_column
 from siftline.streaming import ingest
 
@@ -144,6 +144,21 @@ def list_status_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _list(spark, sf_dir, status="failed", sort_by="no such key", sort_order="sideways", limit=10, offset=10)
 
 
+@query("SELECT o_orderkey, o_orderdate, o_custkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) BETWEEN (SELECT count(*) FROM orders) * 2 // 3 + 1 AND (SELECT count(*) FROM orders) * 2 // 3 + 20")
+def list_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page of twenty orders two thirds down the list, newest first."""
+    rows = views.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey")
+    return catalog.page_at(rows, "o_orderdate", "o_orderkey", rows.count() * 2 // 3, 20, descending=True, sorted_rows=1_000)
+
+
+@query(f"WITH {DOCS}, k AS (SELECT * FROM docs WHERE namespace = 'en' ORDER BY filename, id LIMIT 1 OFFSET 14) SELECT d.id, d.namespace, d.filename, d.format, d.status, d.error, d.chunk_count, d.file_hash, d.created_at FROM docs d, k WHERE d.namespace = 'en' AND (d.filename, d.id) > (k.filename, k.id) ORDER BY d.filename, d.id LIMIT 15")
+def list_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page after a row of the page before."""
+    docs = views.documents(spark, sf_dir)
+    last = catalog.seek_documents(docs, "en", None, sort_by="filename", sort_order="asc", limit=15).collect()[-1]
+    return catalog.seek_documents(docs, "en", (last["filename"], last["id"]), sort_by="filename", sort_order="asc", limit=15).select(*_PAGE_COLUMNS)
+
+
 @query(f"WITH {DOCS} SELECT count(*) AS total FROM docs WHERE namespace = 'en' AND status = 'completed'")
 def list_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.count_documents(views.documents(spark, sf_dir), "en", "completed")
@@ -335,6 +350,26 @@ def visible_namespaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "api_key string, namespace string")
 
 
+#: Fixed values of the payload query.
+PAYLOAD_RULES = [
+    ("payload.level > 6", ["*"], []),
+    ('payload.role == "admin" && payload.org.name in ["en", "de"]', ["search*", "delete_document"], ["en", "de"]),
+    ('"g1" in payload.groups || payload.level == "high"', ["search*"], []),
+    ('has(payload.role) && !(payload.role == "guest")', ["search"], ["fr"]),
+    ("!has(payload.role)", [], ["en"]),
+]
+
+
+@query(
+    f"WITH {_REQUESTS}, p AS (SELECT request_id, coalesce(r.namespace, '') AS ns, tool, lang, request_id AS n FROM (SELECT r.*, lang FROM r JOIN documents ON doc_id = request_id) r) "
+    "SELECT request_id, n % 11 <> 0 AND CASE WHEN n % 3 = 0 AND n % 10 > 6 THEN true WHEN n % 10 = 0 AND lang IN ('en', 'de') THEN ns IN ('', 'en', 'de') "
+    "WHEN n % 4 = 1 OR n % 3 = 1 THEN starts_with(tool, 'search') WHEN n % 5 IN (0, 1, 3) THEN tool = 'search' AND ns IN ('', 'fr') WHEN n % 5 = 4 THEN ns IN ('', 'en') ELSE false END AS allowed FROM p"
+)
+def policy_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Policies over payloads whose claims vary by caller; absent ones are passed over."""
+    return access.policy(views.requests(spark, sf_dir), PAYLOAD_RULES).select("request_id", "allowed")
+
+
 # --- files and ingest ---------------------------------------------------------------
 def archive(**members: str) -> bytes:
     """A zip archive; two underscores in a name stand for a slash, one for a dot."""
@@ -468,6 +503,69 @@ def recover_unfinished(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.documents().select("id", "status")
 
 
+_NORMAL = _CLEAN.replace(_DIRTY, "text")
+_FILES = f"f AS (SELECT text, min(doc_id) AS doc_id, {_WORDS.replace('text', _NORMAL)} AS ws FROM documents GROUP BY text)"
+
+
+@query(
+    f"WITH {_FILES}, k AS (SELECT *, unnest(range(0, greatest(0, ceil((len(ws) - 512) / 448.0))::BIGINT + 1)) AS i FROM f WHERE len(ws) > 0), m AS (SELECT text, count(*)::INT AS n, bool_or(starts_with(md5(array_to_string(ws[i * 448 + 1 : i * 448 + 512], ' ')), '0')) AS bad FROM k GROUP BY text) "
+    "SELECT sha256(text) AS file_hash, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bad THEN 'generating embeddings: refused' END AS error, CASE WHEN bad THEN 0 ELSE n END::INT AS chunk_count FROM m"
+)
+def ingest_with_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in one batch with an embedder that refuses some windows for good and some
+    the first time: their documents fail alone, or complete with a later try."""
+    _, made, settings = _new_store(spark)
+    embedder = views.RefusingEmbedder(16, "0", "1")
+    attempt = made.now()
+    ingest.ingest_files(views.document_files(views.table(spark, sf_dir, "documents")), made, settings, embedder, "all", f"b{attempt}", attempt, retry_seconds=0.0)
+    ingest.retry_all(made, settings, embedder, "all", retry_seconds=0.0)
+    return made.documents().select("file_hash", "status", "error", "chunk_count")
+
+
+@query(
+    f"WITH {_FILES}, n AS (SELECT count(*) AS n, count(*) FILTER (doc_id % 4 = 0) AS gone FROM f) SELECT NULL AS from_status, 'pending' AS to_status, n FROM n UNION ALL SELECT 'pending', 'processing', n - gone FROM n "
+    "UNION ALL SELECT 'pending', 'failed', gone FROM n UNION ALL SELECT 'processing', 'completed', n - gone FROM n"
+)
+def lifecycle_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each state followed another: a batch of documents is let in and its driver
+    dies; recovery finishes it from the log, without the files that are gone."""
+    _, made, settings = _new_store(spark)
+    attempt = made.now()
+    docs = views.table(spark, sf_dir, "documents")
+    ingest.admit(views.document_files(docs), made, settings, "all", f"b{attempt}", attempt)
+    ingest.recover(made, settings, HashEmbedder(16), views.document_files(docs.filter("doc_id % 4 <> 0")))
+    return store.transitions(made.events())
+
+
+@query(_TAKEN_IN)
+def compact_then_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in ten batches, merged in place as they come, with what counts no more and
+    old folders removed; a reader that opened the store before reads on."""
+    _, made, settings = _new_store(spark)
+    docs = views.table(spark, sf_dir, "documents")
+    early = None
+    for k in range(10):
+        attempt = made.now()
+        ingest.ingest_files(views.document_files(docs.filter(F.col("doc_id") % 10 == k)), made, settings, HashEmbedder(16), "all", f"b{attempt}", attempt)
+        made.upkeep()
+        early = early or made.pinned()
+    made.compact(whole=True)
+    made.vacuum()
+    if early.documents().count() >= made.documents().count():
+        raise AssertionError("an early reader sees later batches")
+    return _taken_in(made)
+
+
+@query(f"WITH {DOCS} SELECT '/data/' || filename AS path FROM docs WHERE id::BIGINT % 10 > 3")
+def orphan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a file for each document, those that no live document needs any more: documents
+    that are completed have let theirs go; files of the grace time stay."""
+    docs = views.documents(spark, sf_dir)
+    fresh = F.col("id").cast("long") % 10 == 3
+    listing = docs.select(F.concat(F.lit("file:/data/"), "filename").alias("path"), F.when(fresh, F.current_timestamp()).otherwise(F.col("created_at")).alias("modificationTime"))
+    return ingest.orphans(listing, docs, grace_seconds=3_600.0).select(same_path(F.col("path")).alias("path"))
+
+
 _STORED = "SELECT vec_id::VARCHAR AS id, label::VARCHAR || '-' || (vec_id % 200)::VARCHAR AS document_id, label::VARCHAR AS namespace, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]) AS s FROM embeddings"
 
 

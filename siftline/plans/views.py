@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import text as X
+from siftline.operators.embed import HashEmbedder, add_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,3 +79,37 @@ def document_files(rows: DataFrame) -> DataFrame:
     content = F.coalesce("text", F.lit("")).cast("binary")
     name = F.concat(F.lit("/docs/doc_"), F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".txt"))
     return rows.select(name.alias("path"), F.timestamp_seconds("doc_id").alias("modificationTime"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+
+
+class RefusingEmbedder(HashEmbedder):
+    """Refuses texts whose MD5 begins with a digit, as a service refuses what it can't take;
+    those of a second digit are refused the first time only."""
+
+    def __init__(self, dimensions: int, always: str, once: str) -> None:
+        super().__init__(dimensions)
+        self.always, self.once = always, once
+
+    def add(self, df: DataFrame, text: str = "content", out: str = "embedding") -> DataFrame:
+        digits, self.once = self.always + self.once, ""
+
+        def vectors(texts: list[str | None]) -> tuple[list, list[str | None]]:
+            bad = [hashlib.md5((t or "").encode()).hexdigest()[0] in digits for t in texts]
+            found = self._vectors(texts).tolist()
+            return [None if b else v for b, v in zip(bad, found, strict=True)], ["refused" if b else None for b in bad]
+
+        return add_vectors(df, text, out, vectors)
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as requests with the payload of a token: who asks has a role or none, a
+    level that is a number or not, groups, and claims nested in claims, or no payload."""
+    n = F.col("doc_id")
+    fields = [
+        F.when(n % 5 < 4, F.concat(F.lit('"role": "'), F.element_at(F.array(*map(F.lit, ["admin", "reader", "guest", "reader"])), (n % 5 + 1).cast("int")), F.lit('"'))),
+        F.when(n % 3 == 0, F.concat(F.lit('"level": '), (n % 10).cast("string"))).when(n % 3 == 1, F.lit('"level": "high"')),
+        F.when(n % 4 < 2, F.concat(F.lit('"groups": ["g'), (n % 4).cast("string"), F.lit('", "all"]'))),
+        F.when(n % 2 == 0, F.concat(F.lit('"org": {"name": "'), F.col("lang"), F.lit('"}'))),
+    ]
+    payload = F.when(n % 11 != 0, F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")))
+    tool = F.element_at(F.array(*map(F.lit, ["search", "search_all", "delete_document"])), (n % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(n.alias("request_id"), F.when(n % 7 == 0, "").otherwise(F.col("lang")).alias("namespace"), tool.alias("tool"), payload.alias("payload"))
