@@ -42,8 +42,11 @@ blocks, as nothing links its members.
 Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased.  Null, empty and short texts have no
 passages; an empty table gives an empty result.  Very long texts are one row each, in
 memory with their tokens.  Texts are compared as tokens of 32 bits: one pair of passages in
-10^7 can count a token too many.  A token that recurs often in both texts of a
-pair (``PLACES`` pairs of places) is joined place by place from both ends.  A repeated row
+10^7 can count a token too many.  Where a token recurs often in both texts of a
+pair (more than ``PLACES`` pairs of places), equal passages of a text are joined once: the first
+stands for the others, which then get its link.  All pairs of places of what is left are
+joined, by bands of diagonals if they are very many, so memory is bounded and no link
+depends on how often a token recurs.  A repeated row
 counts as another document.  Null ids are never a partner.  Ties go to the smallest
 doc_id.  Only doc_id and text are read, so names of other columns can't clash.
 """
@@ -71,7 +74,10 @@ SIMILARITY = 80  # percent
 PAIRS_TO = 2
 #: Functions whose tokens are gone through in step 6.
 BLOCK_HASHES = 3
+#: Beyond so many pairs of places of a token equal passages are joined once, and so many are
+#: joined at a time; no result depends on either.
 PLACES = 64
+JOINED = 2_000_000
 PERIOD = 16  # words
 #: Members of a token in one block of step 6.
 BLOCK = 2_000
@@ -135,6 +141,22 @@ class Texts:
         order = np.argsort(self.of[c], kind="stable")
         return k[order], c[order], lo[order], hi[order]
 
+    def first_alike(self) -> np.ndarray:
+        """Of each place at which a window of TOKENS tokens starts, the first place in the
+        same text whose window has the same tokens, by a 64-bit hash; of others their own."""
+        n = len(self.tokens)
+        out = np.arange(n)
+        if n < TOKENS:
+            return out
+        power = np.cumprod(np.full(n, _PAIR, dtype=np.uint64))
+        inverse = np.cumprod(np.full(n, np.uint64(pow(int(_PAIR), -1, 2**64)), dtype=np.uint64))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.tokens.astype(np.uint64)) * power)])
+        start = np.flatnonzero(self.whole)
+        value = mix((total[start + TOKENS] - total[start]) * inverse[start]) ^ mix(self.of[start].astype(np.uint64) + _PAIR)
+        _, first, back = np.unique(value, return_index=True, return_inverse=True)
+        out[start] = start[first][back]
+        return out
+
     def run_ends(self, k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Functions and places of compact windows, by place; of a run of one token (a word
         again and again) the first and the last place, as every passage with a part of it
@@ -173,13 +195,14 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-_NONE = (*(np.empty(0, dtype=np.int64),) * 5, np.empty(0))
+_EMPTY = np.empty(0, dtype=np.int64)
+_NONE = (*(_EMPTY,) * 5, np.empty(0), _EMPTY, _EMPTY)
 
 
 def verify(texts: Texts, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Linked passages among the pairs (x + i, y + i), i < n, of windows: for each run of
     them the number of the row, the first and the last common token on both sides (less
-    x, less y) and the greatest similarity."""
+    x, less y), the greatest similarity, and the first and last i."""
     if not len(n):
         return _NONE
     t = np.pad(texts.tokens, (1, 2))
@@ -212,28 +235,113 @@ def verify(texts: Texts, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[n
         hits = np.flatnonzero(s)
         out += [hits[np.searchsorted(hits, at[first])], hits[np.searchsorted(hits, end[last], "right") - 1]]
     begin = (np.cumsum(long) - long)[row[first]]
-    return row[first], *(v - begin for v in out), best
+    before = (np.cumsum(n) - n)[row[first]]
+    return row[first], *(v - begin for v in out), best, first - before, last - before
 
 
 def compare(tokens: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
     """Linked passages of pairs (a, b) of texts: number of the pair, first and last token on
     both sides, similarity."""
     texts = Texts(tokens)
-    k, c, lo, hi = texts.windows()
-    # compact windows by text, then those of both sides of each pair
-    of = texts.of[c]
-    begin, end = np.searchsorted(of, np.arange(len(tokens))), np.searchsorted(of, np.arange(len(tokens)), "right")
-    named = names(k, texts.tokens[c])
-
-    def side(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        count = (end - begin)[which]
-        w = _spread(begin[which], count)
-        return w, named[w] + np.repeat(np.arange(len(which), dtype=np.uint64), count) * _PAIR
-
-    (wx, kx), (wy, ky) = side(a), side(b)
-    pair = np.repeat(np.arange(len(a)), (end - begin)[a])
-    wx, wy, pair = _join(kx, ky, wx, wy, pair)
-    return _as_one(*_meet(texts, pair, a, b, c, lo, hi, wx, wy))
+    windows = texts.windows()
+    sides = Sides(texts, windows, a, b)
+    heavy = np.unique(sides.pair[_often(sides)])
+    light = np.setdiff1d(np.arange(len(a)), heavy)
+    found = [_meet(texts, a, b, windows, sides, light)[:6]]
+    if len(heavy):
+        found += _compare_repeating(texts, windows, a, b, heavy)
+    return _as_one(*(np.concatenate([f[i] for f in found]) for i in range(6)))
+
+
+class Sides:
+    """Compact windows of both texts of each pair, in the order of their keys (token,
+    function and pair) and places: numbers of the windows, keys, places in their texts."""
+
+    def __init__(self, texts: Texts, windows: tuple[np.ndarray, ...], a: np.ndarray, b: np.ndarray) -> None:
+        k, c = windows[:2]
+        of, at, named = texts.of[c], c - texts.start[texts.of[c]], names(k, texts.tokens[c])
+        begin, end = (np.searchsorted(of, np.arange(len(texts.n)), where) for where in ("left", "right"))
+        for side, which in (("x", a), ("y", b)):
+            count = (end - begin)[which]
+            w = _spread(begin[which], count)
+            pair = np.repeat(np.arange(len(which)), count)
+            key = named[w] + pair.astype(np.uint64) * _PAIR
+            order = np.lexsort((at[w], key))
+            setattr(self, side, w[order])
+            setattr(self, f"key_{side}", key[order])
+            setattr(self, f"at_{side}", at[w][order])
+            if side == "x":
+                self.pair = pair[order]
+        # the stretch of y with the key of each x
+        self.low, self.high = (np.searchsorted(self.key_y, self.key_x, where) for where in ("left", "right"))
+
+    def joined(self, keep: np.ndarray, band: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of x and y with equal keys and their pair, of the x that are kept; on
+        diagonals (place in x less place in y) of a band, both ends in it, where one is given."""
+        low, high = self.low[keep], self.high[keep]
+        if band is not None:
+            rank = np.cumsum(np.concatenate([[0], self.key_y[1:] != self.key_y[:-1]])) if len(self.key_y) else _EMPTY
+            wide = int(max(self.at_y.max(initial=0), self.at_x.max(initial=0))) + 1
+            line = rank * wide + self.at_y
+            mine = np.where(high > low, rank[np.minimum(low, max(len(rank) - 1, 0))] if len(rank) else 0, 0) * wide
+            at = self.at_x[keep]
+            least, most = np.clip(at - band[1], 0, wide), np.clip(at - band[0], -1, wide - 1)
+            low, high = (np.clip(np.searchsorted(line, mine + v, where), low, high) for v, where in ((least, "left"), (most, "right")))
+        count = np.maximum(high - low, 0)
+        i = np.repeat(keep, count)
+        return self.x[i], self.y[_spread(low, count)], self.pair[i]
+
+
+def _often(sides: Sides) -> np.ndarray:
+    """Windows of x whose token has more than PLACES pairs of places in their pair."""
+    mine = np.searchsorted(sides.key_x, sides.key_x, "right") - np.searchsorted(sides.key_x, sides.key_x, "left")
+    return np.flatnonzero(mine * (sides.high - sides.low) > PLACES)
+
+
+def _compare_repeating(texts: Texts, windows: tuple[np.ndarray, ...], a: np.ndarray, b: np.ndarray, heavy: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Links of the pairs heavy, whose texts repeat themselves: of passages that come first
+    in their text, then of those that are like them."""
+    alike = texts.first_alike()
+    first = alike == np.arange(len(alike))
+    # compact windows from their first to their last start that is no repeat
+    k, c, lo, hi = windows
+    ahead = np.append(np.minimum.accumulate(np.where(first, np.arange(len(first)), len(first))[::-1])[::-1], len(first))
+    behind = np.maximum.accumulate(np.where(first, np.arange(len(first)), -1))
+    lo, hi = ahead[lo], behind[hi]
+    some = lo <= hi
+    own = (k[some], c[some], lo[some], hi[some])
+    sides = Sides(texts, own, a[heavy], b[heavy])
+    found = []
+    for p in range(len(heavy)):
+        pair, x0, x1, y0, y1, best, s0, s1, d = _meet(texts, a[heavy], b[heavy], own, sides, np.array([p]))
+        if not len(pair):
+            continue
+        found.append((heavy[pair], x0, x1, y0, y1, best))
+        x, y = int(a[heavy[p]]), int(b[heavy[p]])
+        for swapped, mine, other, begin, less in ((False, x, y, s0, d), (True, y, x, s0 - d, -d)):
+            at, partner, n = _repeats(texts, alike, mine, begin, begin + s1 - s0, less)
+            row, i0, i1, j0, j1, alike_best = verify(texts, at + texts.start[mine], partner + texts.start[other], n)[:6]
+            here, there = (at[row] + i0, at[row] + i1), (partner[row] + j0, partner[row] + j1)
+            found.append((np.full(len(row), heavy[p]), *((*there, *here) if swapped else (*here, *there)), alike_best))
+    return found
+
+
+def _repeats(texts: Texts, alike: np.ndarray, text: int, begin: np.ndarray, end: np.ndarray, less: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of passages of a text that are repeats of linked ones, which start from begin to
+    end with partners at less: place, place of the partner, number."""
+    start, n = int(texts.start[text]), int(texts.n[text])
+    first = alike[start : start + n] - start
+    link = np.full(n, -1)
+    count = end - begin + 1
+    link[_spread(begin, count)] = np.repeat(np.arange(len(begin)), count)
+    again = np.flatnonzero((first != np.arange(n)) & (link[first] >= 0))
+    if not len(again):
+        return _EMPTY, _EMPTY, _EMPTY
+    of = link[first[again]]
+    partner = first[again] - less[of]
+    edge = np.flatnonzero((np.diff(again) != 1) | (np.diff(partner) != 1))
+    head, tail = np.concatenate([[0], edge + 1]), np.concatenate([edge, [len(again) - 1]])
+    return again[head], partner[head], tail - head + 1
 
 
 def _as_one(pair: np.ndarray, x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -251,34 +359,31 @@ def _as_one(pair: np.ndarray, x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1
     return pair, x0, x1, y0, y1, best
 
 
-def _join(kx: np.ndarray, ky: np.ndarray, wx: np.ndarray, wy: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Compact windows of both sides with equal keys."""
-    ox, oy = np.argsort(kx, kind="stable"), np.argsort(ky, kind="stable")
-    kx, ky = kx[ox], ky[oy]
-    head = np.flatnonzero(np.concatenate([[True], kx[1:] != kx[:-1]])) if len(kx) else np.empty(0, dtype=np.int64)
-    nx = np.diff(np.concatenate([head, [len(kx)]]))
-    low, high = np.searchsorted(ky, kx[head]), np.searchsorted(ky, kx[head], "right")
-    ny = high - low
-    head, nx, low, ny = (v[ny > 0] for v in (head, nx, low, ny))
-    few = nx * ny <= PLACES
-    # all pairs of places
-    count = (nx * ny)[few]
-    r = _spread(np.zeros(len(count), dtype=np.int64), count)
-    i, j = r // np.repeat(ny[few], count), r % np.repeat(ny[few], count)
-    left, right = [np.repeat(head[few], count) + i], [np.repeat(low[few], count) + j]
-    # place by place, from the first on and from the last back
-    count = np.maximum(nx, ny)[~few]
-    r = _spread(np.zeros(len(count), dtype=np.int64), count)
-    for base, size, out in ((head, nx, left), (low, ny, right)):
-        most = np.repeat(size[~few] - 1, count)
-        out += [np.repeat(base[~few], count) + np.minimum(r, most), np.repeat(base[~few], count) + most - np.minimum(r, most)]
-    x, y = ox[np.concatenate(left)], oy[np.concatenate(right)]
-    return wx[x], wy[y], pair[x]
-
-
-def _meet(texts: Texts, pair: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, lo: np.ndarray, hi: np.ndarray, wx: np.ndarray, wy: np.ndarray) -> tuple[np.ndarray, ...]:
+def _meet(texts: Texts, a: np.ndarray, b: np.ndarray, windows: tuple[np.ndarray, ...], sides: Sides, pairs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Links of some pairs, JOINED windows or so at a time: pairs in groups, and a pair of
+    very many by bands of diagonals that overlap by what a shift needs.  Also the first and
+    last start in x and its diagonal."""
+    count = np.bincount(sides.pair, weights=sides.high - sides.low, minlength=len(a)).astype(np.int64)
+    wanted = np.zeros(len(a), dtype=bool)
+    wanted[pairs] = True
+    parts = []
+    group = np.cumsum(np.where(wanted & (count <= JOINED), count, 0)) // JOINED
+    for g in np.unique(group[wanted & (count <= JOINED)]):
+        keep = np.flatnonzero((wanted & (count <= JOINED) & (group == g))[sides.pair])
+        parts.append(_meet_joined(texts, a, b, windows, *sides.joined(keep)))
+    for p in np.flatnonzero(wanted & (count > JOINED)).tolist():
+        keep = np.flatnonzero(sides.pair == p)
+        least, most = -int(texts.n[b[p]]), int(texts.n[a[p]])
+        step = max(1, int((most - least) * JOINED / count[p]))
+        for d in range(least, most + 1, step):
+            parts.append(_meet_joined(texts, a, b, windows, *sides.joined(keep, (d - 1, d + step))))
+    return tuple(np.concatenate([q[i] for q in parts]) for i in range(9)) if parts else (*_NONE, _EMPTY)
+
+
+def _meet_joined(texts: Texts, a: np.ndarray, b: np.ndarray, windows: tuple[np.ndarray, ...], wx: np.ndarray, wy: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, ...]:
     """The interval join: where, on a diagonal, ENOUGH intervals of joined windows meet;
     what starts there is verified."""
+    _, c, lo, hi = windows
     sx, sy = texts.start[a[pair]], texts.start[b[pair]]
     diagonal = (c[wx] - sx) - (c[wy] - sy)
     steps = []
@@ -291,7 +396,7 @@ def _meet(texts: Texts, pair: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.nd
         steps += [(pair[on], d[on], first[on], np.ones(len(on), dtype=np.int64), own), (pair[on], d[on], last[on] + 1, np.full(len(on), -1), -own)]
     p, d, at, cover, own = (np.concatenate([s[i] for s in steps]) for i in range(5))
     if not len(p):
-        return _NONE
+        return (*_NONE, _EMPTY)
     longest = int(texts.n.max()) + 2
     line, of = np.unique(p * (4 * longest) + d + 2 * longest, return_inverse=True)
     order = np.argsort(of * longest + at, kind="stable")
@@ -299,7 +404,7 @@ def _meet(texts: Texts, pair: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.nd
     inside = ((np.cumsum(cover[order]) >= ENOUGH) & (np.cumsum(own[order]) >= 1))[:-1] & (of[1:] == of[:-1]) & (at[1:] > at[:-1])
     s = np.flatnonzero(inside)
     if not len(s):
-        return _NONE
+        return (*_NONE, _EMPTY)
     line_of, first, last = of[s], at[s], at[s + 1] - 1
     # adjoining ones as one
     edge = np.flatnonzero((line_of[1:] != line_of[:-1]) | (first[1:] != last[:-1] + 1))
@@ -308,8 +413,8 @@ def _meet(texts: Texts, pair: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.nd
     p = line[line_of] // (4 * longest)
     d = line[line_of] % (4 * longest) - 2 * longest
     x, y = texts.start[a[p]] + first, texts.start[b[p]] + first - d
-    row, i, j, i2, j2, best = verify(texts, x, y, last - first + 1)
-    return p[row], first[row] + i, first[row] + j, (first - d)[row] + i2, (first - d)[row] + j2, best
+    row, i, j, i2, j2, best, s0, s1 = verify(texts, x, y, last - first + 1)
+    return p[row], first[row] + i, first[row] + j, (first - d)[row] + i2, (first - d)[row] + j2, best, first[row] + s0, first[row] + s1, d[row]
 
 
 # -- tables --------------------------------------------------------------------------

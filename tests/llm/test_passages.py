@@ -223,3 +223,60 @@ def test_a_very_long_text(spark):
     long = prose(rng, 60_000) + passage + ["again"] * 30_000 + ["to", "and", "fro"] * 9_000
     df = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(prose(rng, 30) + passage))], SCHEMA)
     assert sorted((r.doc_id, r.first_word, r.end_word) for r in P.find_repeats(df).collect()) == [(1, 60_000, 60_080), (2, 30, 110)]
+
+
+def repeating(rng):
+    """Two texts that share a passage of 70 words verbatim and repeat fragments of it, more
+    often before it in one and after it in the other; and where the passage begins."""
+    passage = prose(rng, 70)
+    cut_out = [passage[i : i + 30] for i in (0, 20, 40)]
+    some = lambda n: [w for _ in range(n) for w in [*rng.choice(cut_out), *prose(rng, rng.randrange(3))]]
+    before, after = some(12), [*prose(rng, 5), *some(3)]
+    return [*before, *passage, *some(3)], [*after, *passage, *some(12)], len(before), len(after)
+
+
+def words_in(found):
+    """Words of both texts of a pair that its links cover."""
+    out = [set(), set()]
+    for i, j, k, m in zip(*(v.tolist() for v in found[1:5]), strict=True):
+        out[0].update(range(i, j + P.WIDTH))
+        out[1].update(range(k, m + P.WIDTH))
+    return out
+
+
+def test_a_passage_among_its_own_fragments(spark, monkeypatch):
+    """Tokens recur at different ranks on both sides of what the texts share.  Links are
+    those of a join of all pairs of places, none of them false, and the passage is one."""
+    cache = WordHashes()
+    for seed in range(6):
+        a, b, at, at_b = repeating(random.Random(seed))
+        tokens = [shingles(cache.of(" ".join(t)), P.WIDTH) for t in (a, b)]
+        found = P.compare(tokens, np.array([0]), np.array([1]))
+        got, (covered, _) = words_in(found), brute([a, b])
+        assert got[0] >= set(range(at, at + 70)) and got[1] >= set(range(at_b, at_b + 70)) and found[5].max() == 1.0
+        assert all(mine <= want for mine, want in zip(got, covered, strict=True))
+        with monkeypatch.context() as m:
+            m.setattr(P, "PLACES", 10**9)
+            assert words_in(P.compare(tokens, np.array([0]), np.array([1]))) == got
+        if seed < 2:
+            df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], SCHEMA)
+            rows = P.find_repeats(df).collect()
+            assert {r.doc_id for r in rows} == {1, 2} and len({r.class_id for r in rows}) == 1
+
+
+def test_lines_again_and_again_link_wherever_they_are(monkeypatch):
+    """Repeats of linked passages are covered, on both sides, and bands of diagonals give
+    what one join gives."""
+    rng, cache = random.Random(4), WordHashes()
+    line, tail = prose(rng, 35), prose(rng, 60)
+    a = [*(w for k in range(25) for w in [*line, f"a{k}"]), *tail, *line * 20]
+    b = [*prose(rng, 30), *line * 12, *prose(rng, 9), *(w for k in range(25) for w in [*line, f"b{k}"]), *tail]
+    tokens = [shingles(cache.of(" ".join(t)), P.WIDTH) for t in (a, b)]
+    covered, _ = brute([a, b])
+    got = words_in(P.compare(tokens, np.array([0]), np.array([1])))
+    for mine, want in zip(got, covered, strict=True):
+        assert mine <= want and len(want - mine) <= 0.02 * len(want)
+    monkeypatch.setattr(P, "JOINED", 500)
+    assert words_in(P.compare(tokens, np.array([0]), np.array([1]))) == got
+    monkeypatch.setattr(P, "PLACES", 10**9)
+    assert words_in(P.compare(tokens, np.array([0]), np.array([1]))) == got
