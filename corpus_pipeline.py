@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each a table for the next.
 
-toxicity drops documents that score as toxic; near_duplicates keeps the smallest
-doc_id of each group; decontamination drops documents that hold a benchmark item; pii
+toxicity drops documents that score as toxic; near_duplicates keeps the row of the
+smallest doc_id of each group; decontamination drops documents that hold a benchmark item; pii
 replaces personal data by its kind; tokens encodes what is left.
 
 All stages but the last return the columns of documents, whatever they are besides doc_id
@@ -29,21 +29,21 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles here; one document of each group stays: of rows that bear its
-    smallest id the one of least hash, of rows alike in all columns any one.  Rows without
-    an id stay.  Ids that several rows bear are few or many; each row is judged by its own
-    text."""
-    names = {n: fresh(docs, n) for n in ("row", "any")}
-    row, text = names["row"], F.coalesce("text", F.lit(""))
-    groups = near_duplicates(docs.select("doc_id", "text"), width=5, percent=80).filter(F.col("doc_id").isNotNull())
-    gone = groups.groupBy("doc_id").agg(F.max("kept").alias(names["any"])).filter(~F.col(names["any"])).select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # of rows with the same id and text one is enough; they are rare, so only hashes are shuffled
-    numbered = cut(left.withColumn(row, F.monotonically_increasing_id()), "kept")
-    same = numbered.filter(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64(text).alias("_a"), F.md5(text).alias("_b"), F.col(row).alias("_row"))
-    extra = same.groupBy("doc_id", "_a", "_b").agg(F.min("_row").alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    twice = same.join(extra, ["doc_id", "_a", "_b"]).filter("_row > _least").select(F.col("_row").alias(row))
-    return numbered.join(twice, row, "left_anti").select(*docs.columns)
+    """Five-word shingles here; one document of each group stays: of its rows that with the
+    smallest id, of these that with the least hash of the text, of rows alike any one.  Each
+    row is judged by its own text, whatever other rows bear its id.  Rows without words are
+    in no group, but of those with the same id and text one stays.  Rows without an id
+    stay, and leave no other row out."""
+    row = fresh(docs, "row")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(numbered.select(F.col(row).alias("doc_id"), "text"), width=5, percent=80)
+    rows = numbered.select(F.col(row).alias("_row"), F.col("doc_id").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_hash")).filter(F.col("_id").isNotNull())
+    joined = rows.join(groups.select(F.col("doc_id").alias("_row"), "n_shingles", "component_id"), "_row")
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id").cast("string")).otherwise(F.concat_ws(":", F.lit("e"), F.col("_id").cast("string"), F.col("_hash")))
+    judged = cut(joined.select("_row", "_id", "_hash", group.alias("_group")), "judged")
+    stays = judged.groupBy("_group").agg(F.min(F.struct("_id", "_hash", "_row")).alias("_first")).select(F.col("_first._row").alias("_row"))
+    gone = cut(judged.join(stays, "_row", "left_anti").select(F.col("_row").alias(row)), "gone")
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
