@@ -5,26 +5,25 @@ from scheme to fragment, is what is learnt and scored.  Both are
 variable-order Markov models: every order from ``ORDER`` down to 0 is smoothed by the
 next lower one with the weight that the number of distinct followers of a context
 gives (Witten and Bell).  The score of a URL is the mean per character of log
-p(blocked) - log p(allowed); a third of the training URLs, by hash, is set aside for
-the threshold: no more than one in a hundred of the allowed ones may lie beyond it and,
-if that can be had too, of the blocked ones below it.  All is DataFrame work: counts of windows of ORDER + 1
-characters over all URLs, one join per order, one pass that sums.  The model reaches the
+p(blocked) - log p(allowed).  Training URLs are scored in FOLDS folds, by hash, each by the
+models of the others, so all of them serve the limit, where both kinds would err equally
+often (see calibrate).  All is DataFrame work: counts of windows of ORDER + 1
+characters over all URLs, one join per order, one pass that sums.  The models reach the
 URLs by broadcast, a row for each context: there are no more than ``SYMBOLS`` to the power
-ORDER of these, 79,507, whatever the input.
+ORDER of these, 79,507, with FOLDS + 1 ratios for each of 43 followers, whatever the input.
 
 Null URLs and URLs without ``://`` have an empty host and path and are allowed, whatever
 their score; a null URL is scored as an empty one.  Very long URLs are scored whole;
 repeated rows each have their verdict; an empty table gives an empty one; only the key
 and the URL are read, so no other name can clash.  Ties between rules can't be, as rules
-of equal length that fit one URL are equal.  With no training URL of either kind all else
-is allowed.
+of equal length that fit one URL are equal.  With less than LEAST training URLs of either
+kind all else is allowed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from siftline.llm.common import cut
 
@@ -33,9 +32,9 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789./-_"
 #: Before the first character and for any character outside the alphabet.
 START, OTHER, END = "^", "*", "$"
 SYMBOLS = len(ALPHABET) + 3
-BUCKETS = 50  # of the calibration, to a unit of the score
-WRONG = 0.01
-ASIDE = 3  # one in so many training URLs calibrates and doesn't train
+FOLDS = 4  # of the training URLs; each is scored by a model of the others
+LEAST = 3  # training URLs of a kind
+PRIOR = 20  # training URLs
 
 #: Fixed values: (verdict, host, path prefix).
 RULES = (
@@ -72,41 +71,43 @@ def _windows(text: Column) -> Column:
 
 
 def ratios(windows: DataFrame) -> DataFrame:
-    """windows: window, allowed, blocked (counts; both may be 0).  Returns for each
-    window the log ratio of its last character, given what precedes."""
+    """windows: variant, window, allowed, blocked (counts; both may be 0).  Returns for each
+    variant and window the log ratio of its last character, given what precedes."""
     kinds = ("allowed", "blocked")
-    grams = [windows.groupBy(F.substring("window", ORDER + 1 - k, k + 1).alias("gram")).agg(*[F.sum(c).alias(c) for c in kinds]) for k in range(ORDER)]
+    grams = [windows.groupBy("variant", F.substring("window", ORDER + 1 - k, k + 1).alias("gram")).agg(*[F.sum(c).alias(c) for c in kinds]) for k in range(ORDER)]
     grams.append(windows.withColumnRenamed("window", "gram"))
     model = None
     for k, gram in enumerate(grams):
         last = gram.withColumns({"context": F.substring("gram", 1, k), "shorter": F.substring("gram", 2, max(k, 1)) if k else F.lit("")})
-        stats = gram.groupBy(F.substring("gram", 1, k).alias("context")).agg(*[F.sum(c).alias(f"{c}_n") for c in kinds], *[F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_t") for c in kinds])
-        both = last.join(stats, "context")
+        stats = gram.groupBy("variant", F.substring("gram", 1, k).alias("context")).agg(*[F.sum(c).alias(f"{c}_n") for c in kinds], *[F.count(F.when(F.col(c) > 0, 1)).alias(f"{c}_t") for c in kinds])
+        both = last.join(stats, ["variant", "context"])
         if model is None:
             chance = {c: (F.col(c) + 1.0) / (F.col(f"{c}_n") + SYMBOLS) for c in kinds}
         else:
-            both = both.join(model, "shorter")
+            both = both.join(model, ["variant", "shorter"])
             weight = {c: F.col(f"{c}_n") + F.col(f"{c}_t") for c in kinds}
             chance = {c: F.when(weight[c] > 0, (F.col(c) + F.col(f"{c}_t") * F.col(f"{c}_p")) / F.greatest(weight[c], F.lit(1))).otherwise(F.col(f"{c}_p")) for c in kinds}
-        model = both.select(F.col("gram").alias("shorter"), *[chance[c].alias(f"{c}_p") for c in kinds])
-    return model.select(F.col("shorter").alias("window"), (F.log("blocked_p") - F.log("allowed_p")).alias("ratio"))
+        model = both.select("variant", F.col("gram").alias("shorter"), *[chance[c].alias(f"{c}_p") for c in kinds])
+    return model.select("variant", F.col("shorter").alias("window"), (F.log("blocked_p") - F.log("allowed_p")).alias("ratio"))
 
 
 def calibrate(scores: DataFrame) -> float | None:
-    """scores: score, verdict.  The middle between the least score beyond which no more
-    than WRONG of the allowed training URLs lie and, where it is higher, the greatest below
-    which no more than WRONG of the blocked ones lie; None if one kind of training URL is
-    missing.  One small table of buckets, whatever the input."""
-    bucket = F.floor(F.col("score") * BUCKETS).alias("bucket")
-    counts = scores.groupBy(bucket).agg(F.count(F.when(F.col("verdict") == "block", 1)).alias("b"), F.count(F.when(F.col("verdict") == "allow", 1)).alias("a"))
-    everything = Window.partitionBy()
-    here_on = Window.orderBy("bucket").rowsBetween(0, Window.unboundedFollowing)
-    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    both = counts.withColumns({"all_b": F.sum("b").over(everything), "all_a": F.sum("a").over(everything), "over": F.sum("a").over(here_on), "under": F.sum("b").over(upto)}).filter("all_a > 0 and all_b > 0")
-    low = F.max(F.when(F.col("over") > WRONG * F.col("all_a"), F.col("bucket") + 1)).alias("low")
-    high = F.min(F.when(F.col("under") > WRONG * F.col("all_b"), F.col("bucket"))).alias("high")
-    edge = both.agg(low, high).first()
-    return None if edge["low"] is None else (edge["low"] + max(edge["low"], edge["high"])) / 2 / BUCKETS
+    """scores: score, verdict of training URLs, each scored by a model without it.  The
+    limit at which as many allowed URLs would lie beyond it as blocked ones below, by a
+    normal distribution fitted to each kind, whose spread is drawn toward that of both with
+    the weight of PRIOR URLs.  None, so that nothing is blocked, with less than LEAST URLs
+    of a kind or where the blocked ones have no higher scores.  One row, whatever the input."""
+    of = {kind: F.when(F.col("verdict") == kind, F.col("score")) for kind in ("allow", "block")}
+    r = scores.agg(*[f(c).alias(f"{name}_{kind}") for kind, c in of.items() for name, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))]).first()
+    a, b = r["n_allow"], r["n_block"]
+    if min(a, b) < LEAST or r["mean_block"] <= r["mean_allow"]:
+        return None
+    both = (a * r["var_allow"] + b * r["var_block"]) / (a + b)
+    spread = {k: ((n * r[f"var_{k}"] + PRIOR * both) / (n + PRIOR)) ** 0.5 for k, n in (("allow", a), ("block", b))}
+    total = spread["allow"] + spread["block"]
+    if not total:
+        return (r["mean_allow"] + r["mean_block"]) / 2
+    return (r["mean_allow"] * spread["block"] + r["mean_block"] * spread["allow"]) / total
 
 
 def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -114,20 +115,24 @@ def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url") -> Dat
     host, path = host_and_path(F.col(url))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), host.alias("host"), path.alias("path"), F.coalesce(F.col(url), F.lit("")).alias("url"))
     rule, verdict = rule_of(F.col("host"), F.col("path"))
-    aside = F.pmod(F.xxhash64("url"), F.lit(ASIDE)) == 0
-    rows = cut(rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), aside.alias("aside")), "urls")
-    flat = rows.select("row", "by_rule", "aside", F.explode(_windows(F.col("url"))).alias("window"))
-
-    def seen(kind: str) -> Column:
-        return F.count(F.when((F.col("by_rule") == kind) & ~F.col("aside"), 1))
-
-    windows = flat.groupBy("window").agg(seen("allow").alias("allowed"), seen("block").alias("blocked"))
-    table = ratios(cut(windows, "windows"))
-    followers = F.map_from_entries(F.collect_list(F.struct(F.substring("window", ORDER + 1, 1), "ratio")))
-    model = cut(table.groupBy(F.substring("window", 1, ORDER).alias("context")).agg(followers.alias("followers")), "model")
-    pairs = flat.select("row", F.substring("window", 1, ORDER).alias("context"), F.substring("window", ORDER + 1, 1).alias("last"))
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+    # all URLs without a rule are scored by the model of all training URLs
+    rows = cut(rows.select("*", rule.alias("rule"), verdict.alias("by_rule")).withColumn("variant", F.when(F.col("by_rule").isNull(), FOLDS).otherwise(fold)), "urls")
+    flat = rows.select("row", "by_rule", "variant", F.explode(_windows(F.col("url"))).alias("window"))
+    kinds = {"allowed": "allow", "blocked": "block"}
+    each = [F.count(F.when((F.col("by_rule") == kind) & (F.col("variant") == f), 1)).alias(f"{name}_{f}") for name, kind in kinds.items() for f in range(FOLDS)]
+    counts = cut(flat.groupBy("window").agg(*each), "windows")
+
+    def without(name: str, variant: int) -> Column:
+        return sum((F.col(f"{name}_{f}") for f in range(FOLDS) if f != variant), F.lit(0)).alias(name)
+
+    variants = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), *[without(name, v) for name in kinds]) for v in range(FOLDS + 1)]))
+    table = ratios(counts.select("window", variants.alias("v")).select("v.variant", "window", "v.allowed", "v.blocked"))
+    last = F.concat(F.col("variant").cast("string"), F.substring("window", ORDER + 1, 1))
+    model = cut(table.groupBy(F.substring("window", 1, ORDER).alias("context")).agg(F.map_from_entries(F.collect_list(F.struct(last, "ratio"))).alias("followers")), "model")
+    pairs = flat.select("row", F.substring("window", 1, ORDER).alias("context"), F.concat(F.col("variant").cast("string"), F.substring("window", ORDER + 1, 1)).alias("last"))
     scores = pairs.join(F.broadcast(model), "context").groupBy("row").agg(F.round(F.avg(F.element_at("followers", F.col("last"))), 9).alias("score"))
     judged = cut(rows.join(scores, "row", "left"), "scores")
-    limit = calibrate(judged.filter(F.col("by_rule").isNotNull() & F.col("aside")).select("score", F.col("by_rule").alias("verdict")))
+    limit = calibrate(judged.filter(F.col("by_rule").isNotNull()).select("score", F.col("by_rule").alias("verdict")))
     by_score = F.lit("allow") if limit is None else F.when((F.col("score") >= limit) & (F.col("host") != ""), "block").otherwise("allow")
     return judged.select(F.col("key").alias(key), "host", "path", "rule", "score", F.coalesce("by_rule", by_score).alias("verdict"))

@@ -1,7 +1,11 @@
 import math
 import random
 import re
+import statistics
 from collections import Counter
+from pathlib import Path
+
+import pytest
 
 from siftline.llm import urls as U
 from siftline.llm.urls import RULES, filter_urls
@@ -78,14 +82,44 @@ def test_scores_against_a_plain_model(spark):
     urls += [None, "", "http://c.io/x?buy=now", "http://c.io/x", "http://c.io/" + "long/" * 4_000, urls[0], urls[0]]
     df = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)], "page_id long, url string, row int")
     got = {r.page_id: r for r in filter_urls(df).collect()}
-    aside = {r.url for r in df.filter(f"pmod(xxhash64(coalesce(url, '')), {U.ASIDE}) = 0").collect()}
-    kinds = [[u for i, u in enumerate(urls) if u not in aside and (w := rule(*split(u))) and w[0] == kind] for kind in ("block", "allow")]
-    assert min(map(len, kinds)) > 10
-    bad, good = (plain_model(k) for k in kinds)
+    fold = {r.url or "": r.f for r in df.selectExpr("url", f"pmod(xxhash64(coalesce(url, '')), {U.FOLDS}) AS f").collect()}
+    kinds = {kind: [u for u in urls if (w := rule(*split(u))) and w[0] == kind] for kind in ("block", "allow")}
+    models = {f: [plain_model([u for u in kinds[k] if fold[u] != f]) for k in ("block", "allow")] for f in range(U.FOLDS + 1)}
     for i, u in enumerate(urls):
         ws = Counter(windows(u))
+        bad, good = models[fold[u] if rule(*split(u)) else U.FOLDS]
         want = sum(n * math.log(bad(w) / good(w)) for w, n in ws.items()) / ws.total()
         assert abs(got[i].score - want) < 1e-6, u
     assert got[82].score != got[83].score and got[0].score == got[85].score == got[86].score
-    limit = U.calibrate(spark.createDataFrame([(got[i].score, rule(*split(u))[0]) for i, u in enumerate(urls) if u in aside and rule(*split(u))], "score double, verdict string"))
+    rows = {k: [got[i].score for i, u in enumerate(urls) if (w := rule(*split(u))) and w[0] == k] for k in kinds}
+    limit = plain_limit(rows["allow"], rows["block"])
     assert all(r.verdict == ("block" if r.score >= limit and r.host else "allow") for r in got.values() if r.rule is None)
+
+
+def plain_limit(good, bad):
+    means, variances = [statistics.fmean(x) for x in (good, bad)], [statistics.pvariance(x) for x in (good, bad)]
+    both = sum(len(x) * v for x, v in zip((good, bad), variances, strict=True)) / (len(good) + len(bad))
+    a, b = (math.sqrt((len(x) * v + U.PRIOR * both) / (len(x) + U.PRIOR)) for x, v in zip((good, bad), variances, strict=True))
+    z = (means[1] - means[0]) / (a + b)  # as many spreads from both means
+    return means[0] + z * a
+
+
+def test_limits(spark):
+    def of(good, bad):
+        return U.calibrate(spark.createDataFrame([(x, "allow") for x in good] + [(x, "block") for x in bad] + [(None, "allow")], "score double, verdict string"))
+
+    assert abs(of([0.0, 0.1, 0.3, -0.2], [1.0, 2.0, 1.5]) - plain_limit([0.0, 0.1, 0.3, -0.2], [1.0, 2.0, 1.5])) < 1e-9
+    assert of([0.0, 0.1], [1.0] * 50) is None and of([], []) is None and of([1.0] * 4, [0.5] * 4) is None
+    assert of([0.0] * 4, [1.0] * 4) == 0.5
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1").exists(), reason="needs the driver's tables")
+def test_about_the_same_share_is_blocked_at_every_size(spark):
+    """Of the URLs that no rule decides; within a fifth of all of them."""
+    shares = []
+    for size in ("0.001", "0.01", "0.1"):
+        pages = spark.read.parquet(f"/root/testdata/sf{size}/pages.parquet").select("page_id", "url")
+        open_ones = [r.verdict for r in filter_urls(pages).filter("rule IS NULL AND host <> ''").collect()]
+        shares.append(open_ones.count("block") / len(open_ones))
+    print("shares", shares)
+    assert max(shares) - min(shares) < 0.2
