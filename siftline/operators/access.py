@@ -19,6 +19,15 @@ def namespace_allowed(requests: DataFrame, acl: DataFrame) -> DataFrame:
     return requests.join(entries, ok, "left_semi")
 
 
+def check_key(requests: DataFrame, acl: DataFrame) -> DataFrame:
+    """requests with ``code`` by the key alone, where no namespace is asked for: no or an
+    unknown key 401, else 200.  Without any key all pass."""
+    if acl.isEmpty():
+        return requests.withColumn("code", F.lit(OK))
+    keys = acl.select("api_key", F.lit(True).alias("_known")).distinct()
+    return requests.join(keys, "api_key", "left").withColumn("code", F.when(F.col("_known"), OK).otherwise(BAD_KEY)).drop("_known")
+
+
 def check_requests(requests: DataFrame, acl: DataFrame, declared: list[str]) -> DataFrame:
     """requests with ``code``: no or an unknown key 401, no namespace 400, an undeclared
     one 400, one that the key lacks 403, else 200.  Without any key all pass."""

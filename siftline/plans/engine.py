@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+import time
+import uuid
+from collections.abc import Callable
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline.config import Config
@@ -39,6 +43,7 @@ class Engine:
         """Try again what is due; how many documents."""
         return ingest.retry(self.store, self.config, self.embedder, namespace)
 
+    # what agent tools call these
     upload_document = ingest
 
     def watch(self, path: str, namespace: str, checkpoint: str, available_now: bool = False, done: str = "off", archive: str = ""):
@@ -89,18 +94,48 @@ class Engine:
         acl = [(k.key, k.namespaces) for k in self.config.auth.api_keys]
         return access.visible_namespaces(key, acl, [n.name for n in self.config.namespaces])
 
-    def health(self) -> dict:
-        """ok if the tables can be read and the embedder answers, else degraded."""
-        services = {}
-        for name, probe in (("database", lambda: catalog.list_documents(self.store.documents(), "", limit=1).collect()), ("embedder", lambda: self.embedder.one("ping"))):
-            try:
-                probe()
-                services[name] = "ok"
-            except Exception as e:  # noqa: BLE001  whatever it is, it is not healthy
-                services[name] = f"error: {e}"
+    def health(self, seconds: float = 5.0) -> dict:
+        """ok if within some seconds the tables can be read and the embedder answers, else
+        degraded.  Jobs of a probe that is late are cancelled."""
+        probes = {"database": lambda: catalog.list_documents(self.store.documents(), "", limit=1).collect(), "embedder": lambda: self.embedder.one("ping")}
+        services = within(self.spark, probes, seconds)
         ok = all(v == "ok" for v in services.values())
         return {"status": "ok" if ok else "degraded", "code": 200 if ok else 503, "services": services}
 
+    def sweep(self, path: str, grace_seconds: float = 86_400.0) -> int:
+        """Delete files below a folder of uploads that no document needs any more: those of
+        completed and deleted documents, and of inserts that failed; how many."""
+        return ingest.sweep(self.store, path, grace_seconds)
+
+
+def within(spark: SparkSession, probes: dict[str, Callable[[], object]], seconds: float) -> dict[str, str]:
+    """What becomes of some probes that run side by side, until time is up."""
+    out = {name: f"error: no answer within {seconds:g} s" for name in probes}
+    tags = {name: f"probe-{uuid.uuid4().hex}" for name in probes}
+    context = spark.sparkContext
+
+    def run(name: str) -> None:
+        context.addJobTag(tags[name])
+        try:
+            probes[name]()
+            answer = "ok"
+        except Exception as e:  # noqa: BLE001  whatever it is, it is not healthy
+            answer = f"error: {e}"
+        if not over:
+            out[name] = answer
+
+    over = False
+    threads = {name: InheritableThread(target=run, args=(name,), daemon=True) for name in probes}
+    for t in threads.values():
+        t.start()
+    end = time.monotonic() + seconds
+    for name, t in threads.items():
+        t.join(max(0.0, end - time.monotonic()))
+        if t.is_alive():
+            context.cancelJobsWithTag(tags[name])
+    over = True
+    return out
+
 
 def page_count(total: int, size: int) -> int:
     return max(1, -(-total // size))

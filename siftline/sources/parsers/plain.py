@@ -15,35 +15,31 @@ def text(content: bytes) -> str:
     return content.decode("utf-8", "replace")
 
 
-_RTF = re.compile(rb"\\([A-Za-z]+)([-0-9]*) ?|\\([\r\n])|\\(.)|([{}])|([^\\{}]+)", re.DOTALL)
+#: Plain text (a backslash at the end, too), a brace, an escaped character, the end of a
+#: line, or a control: letters, if any, with a number and a space that belong to it.
+_RTF = re.compile(rb"([^\\{}]+|\\\Z)|([{}])|\\([\\{}])|\\[\r\n]|\\([A-Za-z]*)[-0-9]* ?")
 
 
 def rtf(content: bytes) -> str:
-    """The text between control words, skipping what RTF_SKIPPED names."""
+    """The text between controls, without groups that RTF_SKIPPED names; outside of all
+    groups such a name skips nothing."""
     out: list[bytes] = []
-    depth, silent = 0, None  # silent: the depth of the group that is skipped
+    depth = silent = 0  # silent: the depth of the group that is skipped
     for m in _RTF.finditer(content):
-        word, _, _, symbol, brace, plain = m.groups()
+        plain, brace, escaped, word = m.groups()
         if brace == b"{":
             depth += 1
         elif brace == b"}":
-            if silent is not None and depth <= silent:
-                silent = None
-            depth -= 1
-        elif silent is not None:
+            silent = 0 if silent >= depth else silent
+            depth = max(depth - 1, 0)
+        elif silent:
             continue
-        elif word is not None:
-            name = word.decode()
-            if name in RTF_SKIPPED:
-                silent = depth
-            elif name in ("par", "line"):
-                out.append(b"\n")
-            elif name == "tab":
-                out.append(b"\t")
-        elif symbol is not None:
-            out.append(symbol)
-        elif plain is not None:
-            out.append(plain)
+        elif word is None:
+            out.append(plain or escaped or b"")
+        elif word.decode() in RTF_SKIPPED:
+            silent = depth
+        else:
+            out.append({b"par": b"\n", b"line": b"\n", b"tab": b"\t"}.get(word, b""))
     return b"".join(out).decode("utf-8", "replace").strip()
 
 

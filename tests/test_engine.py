@@ -6,6 +6,7 @@ import json
 import math
 import random
 import threading
+import time
 
 import numpy as np
 import pytest
@@ -292,3 +293,36 @@ def test_config(tmp_path, monkeypatch):
     p.write_text("chunker: {size: 10, overlap: 10}")
     with pytest.raises(ValueError):
         C.load(str(p))
+
+
+def test_health_has_a_deadline(spark, tmp_path, files, monkeypatch):
+    e = engine(spark, tmp_path)
+    slow = spark.range(1).select(F.col("id").cast("string").alias("id"), F.lit("").alias("namespace"), F.expr("reflect('java.lang.Thread', 'sleep', 60000L)").alias("created_at"))
+    monkeypatch.setattr(e.store, "documents", lambda: slow)
+    began = time.monotonic()
+    got = e.health(seconds=2.0)
+    assert time.monotonic() - began < 20 and (got["status"], got["code"]) == ("degraded", 503)
+    assert got["services"] == {"database": "error: no answer within 2 s", "embedder": "ok"}
+    end = time.monotonic() + 30
+    while spark.sparkContext.statusTracker().getActiveJobsIds() and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()  # cancelled
+
+
+def test_uploads_are_swept(spark, tmp_path, files):
+    e = engine(spark, tmp_path)
+    e.ingest(str(files), "n")
+    (files / "late.txt").write_text("not yet taken in")
+    left = lambda: sorted(p.name for p in files.iterdir())
+    assert e.sweep(str(files)) == 0  # within the grace time
+    e.sweep(str(files), grace_seconds=0.0)
+    assert left() == ["e.csv", "f.txt"]  # failed documents keep theirs
+    e.delete_document(e.list_documents("n", status="failed", limit=9)[0].filter("filename = 'e.csv'").first()["id"], "n")
+    assert e.sweep(str(files), grace_seconds=0.0) == 1 and left() == ["f.txt"]
+
+
+def test_keys_alone(spark):
+    acl = spark.createDataFrame([("a", ["x"]), ("a", ["y"])], "api_key string, namespaces array<string>")
+    df = spark.createDataFrame([("a", 200), ("q", 401), (None, 401)], "api_key string, want int")
+    assert all(r.code == r.want for r in access.check_key(df, acl).collect()) and access.check_key(df, acl).count() == 3
+    assert access.check_key(df, acl.limit(0)).filter("code <> 200").count() == 0

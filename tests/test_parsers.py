@@ -149,6 +149,9 @@ def test_rtf():
     assert plain.RTF_SKIPPED == set(names.split())
     for name in names.split():
         assert plain.rtf(b"{\\rtf1 seen{\\%s unseen{deeper}still} after}" % name.encode()) == "seen after"
+    # what follows a backslash and is no letter: a hyphen, digits and one space go, others stay
+    assert plain.rtf(rb"{\rtf1 co\-operate a\ b \~c \-12 d}") == "cooperate ab ~c d"
+    assert plain.rtf(rb"\header text {\header gone} on") == "text  on" and plain.rtf(rb"} a} b \\") == "a b \\" and plain.rtf(b"x\\") == "x\\"
     assert plain.rtf(rb"{\rtf1 go {\field{\*\fldinst HYPERLINK http://x}{\fldrslt there}}}") == "go *there"
 
 
