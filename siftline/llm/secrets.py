@@ -8,7 +8,8 @@ where their value looks live.
 
 Only hashes of candidates are shuffled, never texts.  The counts take two steps,
 (hash, owner, repository) and then hash with partial sums, and the counts of values that
-occur ``OFTEN`` are broadcast, so a value in a third of all documents makes no hot task.
+make up more than one in ``HOT`` of all spans, of which there are less than ``HOT``, are broadcast,
+so neither a value in a third of all documents nor very many frequent ones make a hot task.
 
 Null or empty texts have no spans; a null owner or repository counts as one of its own.
 Very long texts are worked on whole.  A row that repeats a repository adds nothing to the
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut, let, small, text_of
+from siftline.llm.common import cut, let, text_of
 from siftline.llm.spans import located, matches
 
 KINDS = ("assign", "access", "hex", "jwt", "token", "pem")
@@ -39,8 +40,9 @@ NEEDS = {"access": "AKIA", "jwt": "eyJ", "pem": "PRIVATE KEY"}
 _VALUE = r"""^.*?["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
 ASSIGN_CHARS = 6
 EXAMPLE_OWNERS = 3
-#: A value of so many repositories is joined by broadcast; no result depends on it.
-OFTEN = 1_000
+#: A value of more than one in so many of all spans is joined by broadcast; no result
+#: depends on it.
+HOT = 50_000
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int,hash:bigint>>"
 
 
@@ -74,13 +76,14 @@ def find_secrets(docs: DataFrame, text: str = "text", repo: str = "doc_id", owne
     found = candidates(docs.select(F.col(repo).alias("repo"), F.col(owner).alias("owner"), F.col(text).alias("body")), "body")
     found = cut(found.select(F.monotonically_increasing_id().alias("row"), "repo", "owner", "found"), "candidates")
     single = found.filter(F.size("found") > 0).select("row", "repo", "owner", F.explode("found").alias("span"))
-    owned = single.select(F.col("span.hash").alias("hash"), "owner", "repo").distinct()
-    per_owner = owned.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n_repos"))
-    counts = per_owner.groupBy("hash").agg(F.sum("n_repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
-    counts = cut(counts, "counts")
-    # values of very many repositories are few: they go to the spans, not the spans to them
-    named, often = single.withColumn("hash", F.col("span.hash")), F.col("n_repos") >= OFTEN
-    hot = small(counts.filter(often))
+    owned = single.groupBy(F.col("span.hash").alias("hash"), "owner", "repo").agg(F.count(F.lit(1)).alias("n"))
+    per_owner = owned.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("n_repos"), F.sum("n").alias("n"))
+    counts = cut(per_owner.groupBy("hash").agg(F.sum("n_repos").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n")), "counts")
+    # values of more than one in HOT of all spans, less than HOT of them, go to the spans,
+    # not the spans to them
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    named, often = single.withColumn("hash", F.col("span.hash")), F.col("n") * HOT > total
+    hot = F.broadcast(counts.filter(often))
     judged = named.join(hot, "hash").unionByName(named.join(hot.select("hash"), "hash", "left_anti").join(counts.filter(~often), "hash"))
     full = F.struct("span.start", "span.rank", "span.kind", "span.end", "span.hash", "n_repos", "n_owners", (F.col("n_owners") < EXAMPLE_OWNERS).alias("live"))
     spans = judged.select("row", full.alias("span")).groupBy("row").agg(F.array_sort(F.collect_list("span")).alias("spans"))
