@@ -15,6 +15,7 @@ from siftline.functions import text as X
 from siftline.functions import vector as V
 from siftline.operators import access, catalog, search, store
 from siftline.operators.embed import HashEmbedder, hashed_counts
+from siftline.operators.vector_index import VectorIndex
 from siftline.plans import views
 from siftline.sources import parsers
 from siftline.sources.files import extract, same_path, stable_id
@@ -120,6 +121,19 @@ def search_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chunk_id", "document_id", "filename", F.round("score", 6).alias("score"))
 
 
+@query(
+    "WITH q AS (SELECT vec_id::VARCHAR AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0) SELECT query_id, vec_id::VARCHAR AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q "
+    "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(embedding::DOUBLE[], v) DESC, vec_id::VARCHAR) <= 10"
+)
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest to every vector whose id 20 divides, among all, by an index on disk
+    that has codes for all vectors and reranks a hundred candidates of each."""
+    rows = views.vectors(spark, sf_dir).select("id", "embedding")
+    index = VectorIndex(spark, f"{views.scratch(spark)}/index").fit(rows).add(rows)
+    asked = rows.filter(F.col("id").cast("long") % 20 == 0).select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    return index.search_rows(asked, k=10).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 # --- catalog ------------------------------------------------------------------------
 _PAGE = "id, namespace, filename, format, status, error, chunk_count, file_hash, created_at"
 _PAGE_COLUMNS = _PAGE.split(", ")
