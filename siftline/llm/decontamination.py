@@ -15,7 +15,7 @@ windows of as many shingles as an item has:
 
 A document with fewer shingles than an item is one window.  Documents stay in their
 partition: no shuffle.  Items come to the tasks in blocks of ``ITEMS`` items and
-``ITEM_BYTES`` at most, one pass over the documents for each block, which is written
+``ITEM_BYTES`` at most, one pass over the texts for each block, whose finds are written
 before the next one is read, so what is sent and held is bounded.
 
 Words are lower-cased and free of ASCII punctuation.  Null and empty texts and items
@@ -29,6 +29,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -218,9 +219,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold an item."""
-    name, kept = fresh(docs, "hits"), None
-    for block in item_blocks(benchmark):
-        docs = docs if kept is None else cut(kept, "clean")
-        kept = with_hits(docs, block, name).filter(F.size(name) == 0).drop(name)
-    return kept
+    """docs without the rows that hold an item.  For items of several blocks the documents
+    are numbered and written once; each block then gives the numbers of rows that go."""
+    name, row = fresh(docs, "hits"), fresh(docs, "row")
+    blocks = item_blocks(benchmark)
+    block, later = next(blocks), next(blocks, None)
+    if later is None:
+        return with_hits(docs, block, name).filter(F.size(name) == 0).drop(name)
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    texts, gone = numbered.select(row, "text"), None
+    for block in chain([block, later], blocks):
+        found = cut(with_hits(texts, block, "hits").filter(F.size("hits") > 0).select(row), "gone")
+        gone = found if gone is None else gone.union(found)
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
