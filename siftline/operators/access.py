@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -283,6 +284,8 @@ def tool_policy(requests: DataFrame, rules: list[tuple[str, list[str], list[str]
     try:
         verdict = F.lit(False)
         for condition, tools, namespaces in reversed(rules):
+            if not _resolves(requests, condition):
+                continue
             lists = [F.array(*[F.lit(x) for x in v]).cast("array<string>") for v in (tools, namespaces)]
             passes = matches_tool(lists[0], F.col("tool")) & matches_namespace(lists[1], F.col("namespace"))
             verdict = F.when(F.coalesce(F.expr(condition), F.lit(False)), passes).otherwise(verdict)
@@ -291,6 +294,16 @@ def tool_policy(requests: DataFrame, rules: list[tuple[str, list[str], list[str]
         conf.set("spark.sql.ansi.enabled", ansi)
 
 
+def _resolves(requests: DataFrame, condition: str) -> bool:
+    """False if a condition names a column that the requests don't have."""
+    try:
+        return bool(requests.select(F.expr(condition)).columns)
+    except AnalysisException as e:
+        if (e.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
+            return False
+        raise
+
+
 def resolve(argument: Column, forwarded: Column, default: Column) -> Column:
     """The first that is not empty."""
     return F.coalesce(F.nullif(argument, F.lit("")), F.nullif(forwarded, F.lit("")), default, F.lit(""))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 import zlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -452,6 +454,56 @@ def parse_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("filename", F.md5(F.col("raw").cast("binary")).alias("md5"), F.col("error").isNotNull().alias("failed"))
 
 
+#: Extensions in turn, and what a file of each says of the words of a document.
+KINDS = ("txt", "md", "html", "csv", "json", "yaml", "toml", "xml", "rtf", "eml", "docx", "odt", "pdf")
+_LETTERS = "'x ' || trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g'))"
+_OBJECT = "'{' || chr(10) || '  \"text\": \"' || w || '\"' || chr(10) || '}'"
+
+
+def file_of(kind: str, n: int, words: str) -> bytes:
+    """A file of a kind that says these words (letters and spaces)."""
+    paragraphs = {"docx": ("word__document_xml", f"<w:document {_W}><w:body><w:p><w:r><w:t>{words}</w:t></w:r></w:p><w:p><w:r><w:t>end</w:t></w:r></w:p></w:body></w:document>"), "odt": ("content_xml", f"<office:document-content {_T}><office:body><office:text><text:p>{words}</text:p><text:p>end</text:p></office:text></office:body></office:document-content>")}
+    if kind in paragraphs:
+        return archive(**dict([paragraphs[kind]]))
+    if kind == "pdf":
+        return pdf_of(b"BT (%s) Tj ET" % words.encode(), packed=n % 2 == 0)
+    plain = {
+        "txt": words,
+        "md": f"# {words}",
+        "html": f"<html><head><style>p {{}}</style></head><p>{words}</p><!-- no --><script>no()</script></html>",
+        "csv": f"id,text\n{n},{words}\n",
+        "json": json.dumps({"text": words}),
+        "yaml": f'text: "{words}"',
+        "toml": f'text = "{words}"',
+        "xml": f"<doc><!-- no -->{words}</doc>",
+        "rtf": f"{{\\rtf1{{\\fonttbl no;}}{words}\\par end}}",
+        "eml": f"Subject: {n}\n\n{words}",
+    }
+    return plain[kind].encode()
+
+
+@query(
+    f"WITH k AS (SELECT doc_id, {_LETTERS} AS w, ['{"', '".join(KINDS)}'][doc_id % {len(KINDS)} + 1] AS kind FROM documents WHERE text IS NOT NULL) "
+    f"SELECT doc_id, kind, md5(CASE WHEN kind = 'md' THEN '# ' || w WHEN kind = 'csv' THEN 'id' || chr(9) || 'text' || chr(10) || doc_id || chr(9) || w || chr(10) WHEN kind IN ('json', 'yaml', 'toml') THEN {_OBJECT} "
+    "WHEN kind = 'xml' THEN w || chr(10) WHEN kind IN ('rtf', 'docx', 'odt') THEN w || chr(10) || 'end' WHEN kind = 'eml' THEN 'Subject: ' || doc_id || chr(10) || chr(10) || w ELSE w END) AS md5, NULL::VARCHAR AS error FROM k"
+)
+def parse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of one of the formats in turn, and what the parsers read."""
+    letters = F.concat(F.lit("x "), F.btrim(F.regexp_replace("text", "[^A-Za-z]+", " ")))
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % len(KINDS) + 1).cast("int"))
+    rows = views.table(spark, sf_dir, "documents").filter(F.col("text").isNotNull()).select("doc_id", kind.alias("kind"), letters.alias("words"))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                made = [file_of(k, n, w) for n, k, w in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["doc_id", "kind", "content"])
+
+    files = rows.mapInArrow(run, "doc_id long, kind string, content binary").withColumn("filename", F.concat_ws(".", F.lit("f"), "kind"))
+    return extract(files).select("doc_id", "kind", F.md5(F.col("raw").cast("binary")).alias("md5"), "error")
+
+
 @query(f"SELECT sha256(text) AS file_hash, 'completed' AS status, max(CASE WHEN n = 0 THEN 0 ELSE greatest(0, ceil((n - 512) / 448.0))::INT + 1 END)::INT AS chunk_count FROM (SELECT text, len({_WORDS}) AS n FROM documents) GROUP BY text")
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as a stream of files into a new store; its documents."""

@@ -279,7 +279,7 @@ def test_access(spark):
     assert access.visible_namespaces("b", [("b", ["*"])], ["x", "y"]) == ["x", "y"] and access.visible_namespaces("q", [("b", ["*"])], ["x"]) == []
     req = spark.createDataFrame([(1, "search_x", "n"), (2, "delete", "n"), (3, "search_x", "m"), (4, "delete", "")], "request_id int, tool string, namespace string")
     # a rule that can't be evaluated for a request is passed over
-    rules = [("cast(tool as int) > 0", [], []), ("1 / (request_id - 2) > 0 and element_at(array(1), 5) = 1", [], []), ("tool is null", ["*"], []), ("true", ["search_*"], ["n"])]
+    rules = [("cast(tool as int) > 0", [], []), ("1 / (request_id - 2) > 0 and element_at(array(1), 5) = 1", [], []), ("tool is null", ["*"], []), ("no_such_claim = 1", ["*"], []), ("true", ["search_*"], ["n"])]
     assert [r.allowed for r in access.tool_policy(req, rules).orderBy("request_id").collect()] == [True, False, False, False]
     assert access.tool_policy(req, []).filter("allowed").count() == 4 and access.tool_policy(req, [("false", [], [])]).filter("allowed").count() == 0
 
