@@ -128,10 +128,13 @@ def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url") -> Dat
 
     variants = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), *[without(name, v) for name in kinds]) for v in range(FOLDS + 1)]))
     table = ratios(counts.select("window", variants.alias("v")).select("v.variant", "window", "v.allowed", "v.blocked"))
-    last = F.concat(F.col("variant").cast("string"), F.substring("window", ORDER + 1, 1))
-    model = cut(table.groupBy(F.substring("window", 1, ORDER).alias("context")).agg(F.map_from_entries(F.collect_list(F.struct(last, "ratio"))).alias("followers")), "model")
-    pairs = flat.select("row", F.substring("window", 1, ORDER).alias("context"), F.concat(F.col("variant").cast("string"), F.substring("window", ORDER + 1, 1)).alias("last"))
-    scores = pairs.join(F.broadcast(model), "context").groupBy("row").agg(F.round(F.avg(F.element_at("followers", F.col("last"))), 9).alias("score"))
+    each = F.transform(F.array_sort(F.collect_list(F.struct("variant", "ratio"))), lambda r: r["ratio"])
+    entries = F.collect_list(F.struct(F.substring("window", ORDER + 1, 1), "ratios"))
+    packed = table.groupBy("window").agg(each.alias("ratios"))
+    model = cut(packed.groupBy(F.substring("window", 1, ORDER).alias("context")).agg(F.map_from_entries(entries).alias("followers")), "model")
+    pairs = flat.select("row", "variant", F.substring("window", 1, ORDER).alias("context"), F.substring("window", ORDER + 1, 1).alias("last"))
+    ratio = F.element_at(F.element_at("followers", F.col("last")), F.col("variant") + 1)
+    scores = pairs.join(F.broadcast(model), "context").groupBy("row").agg(F.round(F.avg(ratio), 9).alias("score"))
     judged = cut(rows.join(scores, "row", "left"), "scores")
     limit = calibrate(judged.filter(F.col("by_rule").isNotNull()).select("score", F.col("by_rule").alias("verdict")))
     by_score = F.lit("allow") if limit is None else F.when((F.col("score") >= limit) & (F.col("host") != ""), "block").otherwise("allow")
