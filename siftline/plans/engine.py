@@ -20,6 +20,10 @@ from siftline.sources.files import read_files
 from siftline.streaming import ingest
 
 
+#: The names of the tools.
+TOOLS = ("list_documents", "get_document", "upload_document", "delete_document", "search", "health")
+
+
 class Engine:
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None, embedder: Embedder | None = None) -> None:
         self.config = (config or Config()).check()
@@ -43,8 +47,8 @@ class Engine:
         """Try again what is due; how many documents."""
         return ingest.retry(self.store, self.config, self.embedder, namespace)
 
-    # what agent tools call these
-    upload_document = ingest
+    def upload_document(self, path: str, namespace: str = "") -> DataFrame:
+        return self.ingest(path, namespace)
 
     def watch(self, path: str, namespace: str, checkpoint: str, available_now: bool = False, done: str = "off", archive: str = ""):
         """A stream of new files; done says what becomes of files taken in (see read_files)."""
@@ -94,6 +98,18 @@ class Engine:
         acl = [(k.key, k.namespaces) for k in self.config.auth.api_keys]
         return access.visible_namespaces(key, acl, [n.name for n in self.config.namespaces])
 
+    def call(self, tool: str, arguments: dict, rules: list[tuple[str, list[str], list[str]]] = (), payload: str | None = None, prefix: str = "") -> object:
+        """What an agent's tool call does: one of TOOLS by its name, after a prefix, if the
+        policies allow it for the payload of the caller's token."""
+        name = tool.removeprefix(prefix)
+        if name not in TOOLS:
+            raise LookupError(f"no such tool: {tool}")
+        space = arguments.get("namespace")
+        asked = self.spark.createDataFrame([(name, space if isinstance(space, str) else "", payload)], "tool string, namespace string, payload string")
+        if not access.policy(asked, list(rules)).first()["allowed"]:
+            raise PermissionError(f"access denied: no permission to use {name!r}")
+        return getattr(self, name)(**arguments)
+
     def health(self, seconds: float = 5.0) -> dict:
         """ok if within some seconds the tables can be read and the embedder answers, else
         degraded.  Jobs of a probe that is late are cancelled."""

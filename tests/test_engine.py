@@ -326,3 +326,18 @@ def test_keys_alone(spark):
     df = spark.createDataFrame([("a", 200), ("q", 401), (None, 401)], "api_key string, want int")
     assert all(r.code == r.want for r in access.check_key(df, acl).collect()) and access.check_key(df, acl).count() == 3
     assert access.check_key(df, acl.limit(0)).filter("code <> 200").count() == 0
+
+
+def test_tools_by_name_and_policy(spark, tmp_path, files):
+    e = engine(spark, tmp_path)
+    rules = [('payload.role == "admin"', [], []), ('payload.role == "reader"', ["list_*", "search"], ["n"])]
+    admin, reader = '{"role": "admin"}', '{"role": "reader"}'
+    e.call("my_upload_document", {"path": str(files / "g.html"), "namespace": "n"}, rules, admin, prefix="my_")
+    assert e.call("list_documents", {"namespace": "n"}, rules, reader)[1] == 1
+    assert e.call("search", {"query": "delta", "namespace": "n", "limit": 1}, rules, reader).count() == 1
+    for tool, arguments, payload in (("delete_document", {"id": "x", "namespace": "n"}, reader), ("search", {"query": "q", "namespace": "m"}, reader), ("search", {"query": "q"}, None)):
+        with pytest.raises(PermissionError):
+            e.call(tool, arguments, rules, payload)
+    with pytest.raises(LookupError, match="no such tool"):
+        e.call("close", {}, rules, admin)
+    assert e.call("health", {})["status"] == "ok"  # without rules all is allowed
