@@ -29,7 +29,7 @@ from siftline.llm.common import text_of
 
 MARK = "▁"
 CACHE_UNITS = 200_000
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 250_000
 _UNITS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _SPAN = 0x110000
 _NONE = np.iinfo(np.int64).max
