@@ -7,7 +7,7 @@ language and source and over all rows: from each of ``STARTS`` first subsets (th
 nearest to the medians, scaled by median deviations; and hashed samples), concentration
 steps (mean and covariance of the subset, Mahalanobis distances of all, the nearest
 ``SUBSET`` of the rows are the next subset) are made: ``TRIALS`` for every start, then, from
-the start of least determinant, until no determinant changes any more.  A group's mean, covariance and scale are drawn
+the start of least determinant, until the group's determinant falls no more.  A group's mean, covariance and scale are drawn
 toward those of all rows with the weight of ``PRIOR`` rows, so that small groups need no
 threshold and large ones stand on their own.  Rows beyond ``CUTOFF`` in squared distance,
 brought to a consistent scale by its median, are rejected.  All is DataFrame work; only
@@ -23,6 +23,8 @@ group does not make every other value an outlier.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,11 @@ SUBSET = 0.75
 STARTS = 3
 SAMPLE = 0.1  # of the rows, in a first subset by hash
 TRIALS = 2  # concentration steps of every start; the best one of each group goes on
-#: The steps end when no log determinant moves by more than this, or after STEPS.
+#: A group's steps end when its log determinant falls by no more than this, or after STEPS.
 TOLERANCE, STEPS = 1e-3, 20
+#: A limit is off by one of so many of a group's rows, which moves the log determinant by about
+#: six such parts (five normal features): less than TOLERANCE, or no step would be the last.
+RANKS = 10_000
 #: Squared distance; for five normal features it is passed by less than one row in 10^9.
 CUTOFF = 50.0
 #: Median of the chi-square distribution with five degrees of freedom.
@@ -137,7 +142,7 @@ def _distance() -> Column:
 def _nearest(rows: DataFrame, share: float) -> DataFrame:
     """The rows of each group and start with the least distances d, by their share."""
     keys = ["group", "start"]
-    limits = cut(rows.groupBy(*keys).agg(F.percentile_approx("d", share, 1000).alias("limit")), "limits")
+    limits = cut(rows.groupBy(*keys).agg(F.percentile_approx("d", share, RANKS).alias("limit")), "limits")
     return rows.join(small(limits), keys).filter(F.col("d") <= F.col("limit"))
 
 
@@ -165,12 +170,17 @@ def least_determinant(rows: DataFrame) -> DataFrame:
     for _ in range(TRIALS):
         table = step(table)
     table = cut(table.groupBy("group").agg(F.min_by(F.struct(*kept[1:]), F.struct("logdet", "start")).alias("best")).select("group", "best.*"), "scatter")
+    ended = []
     for _ in range(STEPS):
-        new = step(table)
-        moved = new.select("group", "logdet").join(table.select("group", F.col("logdet").alias("before")), "group").filter(F.abs(F.col("logdet") - F.col("before")) > TOLERANCE)
-        table = new
-        if moved.isEmpty():
+        before = table.select("group", F.struct(*kept[1:]).alias("before"))
+        both = cut(step(table).join(small(before), "group"), "moved")
+        falls = F.col("before.logdet") - F.col("logdet") > TOLERANCE
+        # a group whose determinant falls no more has ended, with the lesser of the two
+        ended.append(both.filter(~falls).select("group", F.when(F.col("logdet") < F.col("before.logdet"), F.struct(*kept[1:])).otherwise(F.col("before")).alias("best")).select("group", "best.*"))
+        table = cut(both.filter(falls).select("group", *kept[1:]), "scatter")
+        if table.isEmpty():
             break
+    table = reduce(DataFrame.unionByName, ended, table)
     return _sized(table, spreads)
 
 
