@@ -83,7 +83,7 @@ PERIOD = 16  # words
 BLOCK = 2_000
 _SALTS = [np.uint64(0x5851F42D4C957F2D * (k + 1) % 2**64) for k in range(HASHES)]
 _SLICE = 200_000
-_TOGETHER = 4_096  # pairs of members of a group that are looked at with those of other groups
+_TOGETHER = 4_096  # pairs of members that are looked at at a time, of small groups with those of others
 _OWN = 16  # bytes of a label that is a place's own
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -130,6 +130,7 @@ class Texts:
         self.tokens = np.concatenate(tokens) if tokens else np.empty(0, dtype=np.uint64)
         self.of = np.repeat(np.arange(len(tokens)), self.n)
         n = len(self.tokens)
+        self.padded = np.pad(self.tokens, (1, 2))  # once, as verify is called very often
         self.whole = self.of[: max(n - TOKENS + 1, 0)] == self.of[TOKENS - 1 :] if n >= TOKENS else np.empty(0, dtype=bool)
 
     def windows(self) -> tuple[np.ndarray, ...]:
@@ -205,7 +206,7 @@ def verify(texts: Texts, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[n
     x, less y), the greatest similarity, and the first and last i."""
     if not len(n):
         return _NONE
-    t = np.pad(texts.tokens, (1, 2))
+    t = texts.padded
     long = n + TOKENS - 1
     px, py = _spread(x, long) + 1, _spread(y, long) + 1
     # tokens of x that y has at the same place, at the next and at the previous one
@@ -635,11 +636,16 @@ def links_in_groups(group: list[int], asks: list[bool], cls: list[bytes], label:
             continue
         xs, ys = _viable(texts, xs, ys)
         mine = part.copy()
-        for x in xs.tolist():
-            y = ys[(mine[ys] != mine[x]) & (text[ys] != text[x])]
-            _, y = _linked(texts, grid, middle, np.full(len(y), x), y)
-            out += [(cls[x], cls[i]) for i in y[np.unique(mine[y], return_index=True)[1]].tolist()]
-            mine[np.isin(mine, mine[y])] = mine[x]
+        some = max(1, _TOGETHER // max(len(ys), 1))
+        for k in range(0, len(xs), some):
+            x, y = np.repeat(xs[k : k + some], len(ys)), np.tile(ys, len(xs[k : k + some]))
+            other = (mine[x] != mine[y]) & (text[x] != text[y])
+            x, y = _linked(texts, grid, middle, x[other], y[other])
+            for i in np.unique(x).tolist():
+                to = y[x == i]
+                to = to[mine[to] != mine[i]]
+                out += [(cls[i], cls[j]) for j in to[np.unique(mine[to], return_index=True)[1]].tolist()]
+                mine[np.isin(mine, mine[to])] = mine[i]
     x, y = (np.concatenate([f[k] for f in few]) if few else np.empty(0, dtype=np.int64) for k in (0, 1))
     other = (part[x] != part[y]) & (text[x] != text[y])
     x, y = x[other], y[other]

@@ -281,3 +281,41 @@ def test_lines_again_and_again_link_wherever_they_are(monkeypatch):
     monkeypatch.setattr(P, "PLACES", 10**9)
     for mine, whole in zip(got, words_in(P.compare(tokens, np.array([0]), np.array([1]))), strict=True):
         assert len(mine ^ whole) <= P.WIDTH
+
+
+def test_members_of_a_large_group_are_looked_at_together(monkeypatch):
+    """One call for thousands of pairs, not one for each member; the links are those of all
+    pairs, one for each member and label that is not linked yet."""
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 2**32, 2 * P.TOKENS - 1, dtype=np.uint32) for _ in range(6)]
+    around = [b.copy() for b in (base[int(k)] for k in rng.integers(0, 6, 330))]
+    for a in around:
+        a[rng.integers(0, len(a), 4)] = rng.integers(0, 2**32, 4, dtype=np.uint32)
+        a[P.TOKENS - 1] = 7
+    names = [b"%016d" % i for i in range(330)]
+    asks = [i < 300 for i in range(330)]
+    linked, calls = P._linked, []
+    monkeypatch.setattr(P, "_linked", lambda *a: calls.append(1) or linked(*a))
+    got = P.links_in_groups([1] * 330, asks, names, names, [P.TOKENS - 1] * 330, [a.tobytes() for a in around])
+    assert len(calls) <= 2 + -(-300 * 30 // P._TOGETHER) + 1
+    monkeypatch.undo()
+    monkeypatch.setattr(P, "_TOGETHER", 10**9)  # all pairs as one
+    whole = P.links_in_groups([1] * 330, asks, names, names, [P.TOKENS - 1] * 330, [a.tobytes() for a in around])
+    assert set(got) <= set(whole) and got
+
+    def parts(pairs):
+        of = {n: n for n in names}
+
+        def root(n):
+            while of[n] != n:
+                n = of[n]
+            return n
+
+        for a, b in pairs:
+            of[root(a)] = root(b)
+        groups = {}
+        for n in names:
+            groups.setdefault(root(n), set()).add(n)
+        return sorted(map(sorted, groups.values()))
+
+    assert parts(got) == parts(whole)
