@@ -28,16 +28,16 @@ to hi = min(c, r - TOKENS + 1).
 6. What stars can't see: of each token of more texts whose members are in two classes or
    more, the members outside its most frequent class are a query set.  Blocks of them meet
    blocks of all members, with the tokens around, and every pair of passages around the
-   token is looked at in the task.  The pairs of texts found, one for each member and
+   token that can be linked is looked at in the task.  The pairs of texts found, one for each member and
    class, are compared as in 4, and classes are completed.  ``BLOCK_HASHES`` functions
    suffice here, as one common token brings a pair together.
 
 So no link is lost that agrees in ``ENOUGH`` of ``HASHES`` min-hashes (at the threshold
 itself 0.973 of all, and 0.992 in step 6; a longer passage has several windows that may
 agree, a verbatim one agrees in all), however many texts share a token; no
-pairs of a large group are written out and no group is gathered in one task.  A line
-shorter than a passage that recurs in very many texts costs step 6 the square of its
-blocks, as nothing links its members.
+pairs of a large group are written out and no group is gathered in one task.  Members of a
+line shorter than a passage that recurs in very many texts are copied to each of its blocks
+in step 6, as nothing links them.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased.  Null, empty and short texts have no
 passages; an empty table gives an empty result.  Very long texts are one row each, in
@@ -57,12 +57,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.common import cut, forget, small, strings, text_of
+from siftline.llm.common import cut, forget, small, text_of
 from siftline.llm.minhash import components
-from siftline.llm.shingles import WordHashes, mix, shingles
+from siftline.llm.shingles import mix, shingles, word_hashes
 
 WIDTH = 5
 WORDS = 50
@@ -82,7 +83,8 @@ PERIOD = 16  # words
 #: Members of a token in one block of step 6.
 BLOCK = 2_000
 _SALTS = [np.uint64(0x5851F42D4C957F2D * (k + 1) % 2**64) for k in range(HASHES)]
-_SLICE = 200_000
+_SLICE = 1_000_000  # bytes of texts that are described at a time
+_PAIRED = 200_000  # tokens of texts that are compared at a time
 _TOGETHER = 4_096  # pairs of members that are looked at at a time, of small groups with those of others
 _OWN = 16  # bytes of a label that is a place's own
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -142,9 +144,9 @@ class Texts:
         order = np.argsort(self.of[c], kind="stable")
         return k[order], c[order], lo[order], hi[order]
 
-    def first_alike(self) -> np.ndarray:
-        """Of each place at which a window of TOKENS tokens starts, the first place in the
-        same text whose window has the same tokens, by a 64-bit hash; of others their own."""
+    def first_alike(self, which: np.ndarray) -> np.ndarray:
+        """Of each place of some texts at which a window of TOKENS tokens starts, the first place
+        in the same text whose window has the same tokens, by a 64-bit hash; of others their own."""
         n = len(self.tokens)
         out = np.arange(n)
         if n < TOKENS:
@@ -152,7 +154,7 @@ class Texts:
         power = np.cumprod(np.full(n, _PAIR, dtype=np.uint64))
         inverse = np.cumprod(np.full(n, np.uint64(pow(int(_PAIR), -1, 2**64)), dtype=np.uint64))
         total = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.tokens.astype(np.uint64)) * power)])
-        start = np.flatnonzero(self.whole)
+        start = np.flatnonzero(self.whole & np.isin(np.arange(len(self.n)), which)[self.of[: n - TOKENS + 1]])
         value = mix((total[start + TOKENS] - total[start]) * inverse[start]) ^ mix(self.of[start].astype(np.uint64) + _PAIR)
         _, first, back = np.unique(value, return_index=True, return_inverse=True)
         out[start] = start[first][back]
@@ -176,9 +178,12 @@ class Texts:
         PERIOD), two rounds or more from both ends: what holds it is there at the ends, too."""
         inside = np.zeros(len(self.tokens) + 1, dtype=np.int32)
         for d in range(1, min(PERIOD, len(self.tokens) - 1) + 1):
-            equal = (self.tokens[d:] == self.tokens[:-d]) & (self.of[d:] == self.of[:-d])
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], equal.view(np.int8), [0]])))
-            begin, end = edge[::2], edge[1::2] + d  # of the whole stretch, end exclusive
+            again = np.flatnonzero(self.tokens[d:] == self.tokens[:-d])
+            again = again[self.of[again] == self.of[again + d]]
+            if not len(again):
+                continue
+            edge = np.flatnonzero(np.diff(again) != 1)
+            begin, end = again[np.concatenate([[0], edge + 1])], again[np.concatenate([edge, [-1]])] + 1 + d  # of the whole stretch, end exclusive
             long = end - begin >= TOKENS + 4 * d
             np.add.at(inside, begin[long] + 2 * d, 1)
             np.add.at(inside, end[long] - 2 * d, -1)
@@ -196,6 +201,12 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal keys begins, and its length."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return first, np.diff(np.append(first, len(keys)))
+
+
 _EMPTY = np.empty(0, dtype=np.int64)
 _NONE = (*(_EMPTY,) * 5, np.empty(0), _EMPTY, _EMPTY)
 
@@ -212,10 +223,12 @@ def verify(texts: Texts, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[n
     # tokens of x that y has at the same place, at the next and at the previous one
     own = t[px]
     same, after, before = (own == t[py + shift] for shift in (0, 1, -1))
-    at = _spread(np.cumsum(long) - long, n)
+    begin = np.cumsum(long) - long
+    at = _spread(begin, n)
     end = at + TOKENS - 1
     common, shared = None, []
     later, earlier = np.concatenate([[False], after[:-1]]), np.concatenate([before[1:], [False]])
+    later[begin] = earlier[begin + long - 1] = False  # rows are apart
     for up, down in ((after, before), (earlier, later)):  # tokens of x with a partner; tokens of y with one
         shared.append(same | up | down)
         total = np.zeros(len(px) + 1, dtype=np.int64)
@@ -235,9 +248,8 @@ def verify(texts: Texts, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[n
     for s in shared:
         hits = np.flatnonzero(s)
         out += [hits[np.searchsorted(hits, at[first])], hits[np.searchsorted(hits, end[last], "right") - 1]]
-    begin = (np.cumsum(long) - long)[row[first]]
     before = (np.cumsum(n) - n)[row[first]]
-    return row[first], *(v - begin for v in out), best, first - before, last - before
+    return row[first], *(v - begin[row[first]] for v in out), best, first - before, last - before
 
 
 def compare(tokens: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -267,14 +279,19 @@ class Sides:
             w = _spread(begin[which], count)
             pair = np.repeat(np.arange(len(which)), count)
             key = named[w] + pair.astype(np.uint64) * _PAIR
-            order = np.lexsort((at[w], key))
+            order = np.argsort(key, kind="stable")  # by place then, as a text's windows of a function are
             setattr(self, side, w[order])
             setattr(self, f"key_{side}", key[order])
             setattr(self, f"at_{side}", at[w][order])
             if side == "x":
                 self.pair = pair[order]
         # the stretch of y with the key of each x
-        self.low, self.high = (np.searchsorted(self.key_y, self.key_x, where) for where in ("left", "right"))
+        (first_x, self.n_x), (first_y, n_y) = _runs(self.key_x), _runs(self.key_y)
+        known, wanted = self.key_y[first_y], self.key_x[first_x]
+        i = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
+        there = known[i] == wanted if len(known) else np.zeros(len(wanted), dtype=bool)
+        low, n = (np.repeat(np.where(there, v[i] if len(v) else 0, 0), self.n_x) for v in (first_y, n_y))
+        self.low, self.high = low, low + n
 
     def joined(self, keep: np.ndarray, band: tuple[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows of x and y with equal keys and their pair, of the x that are kept; on
@@ -295,14 +312,14 @@ class Sides:
 
 def _often(sides: Sides) -> np.ndarray:
     """Windows of x whose token has more than PLACES pairs of places in their pair."""
-    mine = np.searchsorted(sides.key_x, sides.key_x, "right") - np.searchsorted(sides.key_x, sides.key_x, "left")
+    mine = np.repeat(sides.n_x, sides.n_x)
     return np.flatnonzero(mine * (sides.high - sides.low) > PLACES)
 
 
 def _compare_repeating(texts: Texts, windows: tuple[np.ndarray, ...], a: np.ndarray, b: np.ndarray, heavy: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     """Links of the pairs heavy, whose texts repeat themselves: of passages that come first
     in their text, then of those that are like them."""
-    alike = texts.first_alike()
+    alike = texts.first_alike(np.concatenate([a[heavy], b[heavy]]))
     first = alike == np.arange(len(alike))
     # compact windows from their first to their last start that is no repeat
     k, c, lo, hi = windows
@@ -312,18 +329,24 @@ def _compare_repeating(texts: Texts, windows: tuple[np.ndarray, ...], a: np.ndar
     some = lo <= hi
     own = (k[some], c[some], lo[some], hi[some])
     sides = Sides(texts, own, a[heavy], b[heavy])
-    found = []
-    for p in range(len(heavy)):
-        pair, x0, x1, y0, y1, best, s0, s1, d = _meet(texts, a[heavy], b[heavy], own, sides, np.array([p]))
-        if not len(pair):
+    pair, x0, x1, y0, y1, best, s0, s1, d = _meet(texts, a[heavy], b[heavy], own, sides, np.arange(len(heavy)))
+    found = [(heavy[pair], x0, x1, y0, y1, best)]
+    order = np.argsort(pair, kind="stable")
+    edge = np.searchsorted(pair[order], np.arange(len(heavy) + 1))
+    for side, (mine, other) in enumerate(((a, b), (b, a))):
+        runs = []
+        for p in np.unique(pair).tolist():
+            rows = order[edge[p] : edge[p + 1]]
+            less = -d[rows] if side else d[rows]
+            begin = s0[rows] - (d[rows] if side else 0)
+            runs.append((p, *_repeats(texts, alike, int(mine[heavy[p]]), begin, begin + s1[rows] - s0[rows], less)))
+        if not runs:
             continue
-        found.append((heavy[pair], x0, x1, y0, y1, best))
-        x, y = int(a[heavy[p]]), int(b[heavy[p]])
-        for swapped, mine, other, begin, less in ((False, x, y, s0, d), (True, y, x, s0 - d, -d)):
-            at, partner, n = _repeats(texts, alike, mine, begin, begin + s1 - s0, less)
-            row, i0, i1, j0, j1, alike_best = verify(texts, at + texts.start[mine], partner + texts.start[other], n)[:6]
-            here, there = (at[row] + i0, at[row] + i1), (partner[row] + j0, partner[row] + j1)
-            found.append((np.full(len(row), heavy[p]), *((*there, *here) if swapped else (*here, *there)), alike_best))
+        of = np.repeat([r[0] for r in runs], [len(r[1]) for r in runs])
+        at, partner, n = (np.concatenate([r[i] for r in runs]) for i in (1, 2, 3))
+        row, i0, i1, j0, j1, alike_best = verify(texts, at + texts.start[mine[heavy[of]]], partner + texts.start[other[heavy[of]]], n)[:6]
+        here, there = (at[row] + i0, at[row] + i1), (partner[row] + j0, partner[row] + j1)
+        found.append((heavy[of[row]], *((*there, *here) if side else (*here, *there)), alike_best))
     return found
 
 
@@ -426,30 +449,23 @@ def _describe(docs: DataFrame) -> DataFrame:
     compact windows, and all tokens cut to 32 bits, in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
-            words: list[np.ndarray] = []
-            size, begin = 0, 0
-
-            def flush() -> pa.RecordBatch:
-                texts = Texts([shingles(w, WIDTH) if len(w) >= WORDS else w[:0] for w in words])
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(3)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            begin = 0
+            while begin < len(batch):
+                # texts of _SLICE bytes, and one more
+                part = batch.slice(begin, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + _SLICE)) + 1 - begin)
+                words, count = word_hashes(part.column(3))
+                tokens, first = shingles(words, WIDTH), np.cumsum(count) - count
+                texts = Texts([tokens[i : i + (n - WIDTH + 1 if n >= WORDS else 0)] for i, n in zip(first.tolist(), count.tolist(), strict=True)])
                 k, c = texts.run_ends(*texts.windows()[:2])
-                ends = np.searchsorted(texts.of[c], np.arange(len(words)), "right").astype(np.int32)
+                ends = np.searchsorted(texts.of[c], np.arange(len(part)), "right").astype(np.int32)
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
-                tokens, at = pa.array(names(k, texts.tokens[c]).view(np.int64)), pa.array((c - texts.start[texts.of[c]]).astype(np.int32))
-                count = pa.array(np.array([len(w) for w in words], dtype=np.int32))
+                named, at = pa.array(names(k, texts.tokens[c]).view(np.int64)), pa.array((c - texts.start[texts.of[c]]).astype(np.int32))
                 cut_to = (texts.tokens >> np.uint64(32)).astype(np.uint32)
                 whole = pa.array([cut_to[i : i + n].tobytes() for i, n in zip(texts.start.tolist(), texts.n.tolist(), strict=True)], pa.binary())
-                return pa.RecordBatch.from_arrays([*[batch.column(j).slice(begin, len(words)) for j in (0, 1, 2)], count, pa.ListArray.from_arrays(offsets, tokens), pa.ListArray.from_arrays(offsets, at), whole], names=["doc_id", "class", "h", "words", "tokens", "at", "text"])
-
-            for i, text in enumerate(strings(batch.column(3))):
-                words.append(cache.of(text))
-                size += len(words[-1])
-                if size > _SLICE:
-                    yield flush()
-                    words, size, begin = [], 0, i + 1
-            if words:
-                yield flush()
+                yield pa.RecordBatch.from_arrays([*[part.column(j) for j in (0, 1, 2)], pa.array(count.astype(np.int32)), pa.ListArray.from_arrays(offsets, named), pa.ListArray.from_arrays(offsets, at), whole], names=["doc_id", "class", "h", "words", "tokens", "at", "text"])
+                begin += len(part)
 
     return docs.select("doc_id", "class", "h", "text").mapInArrow(run, "doc_id long, class binary, h long, words int, tokens array<long>, at array<int>, text binary")
 
@@ -490,7 +506,7 @@ def _compare_pairs(pairs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
             for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 size += place(a, 2, i) + place(b, 3, i)
                 rows.append((a, b))
-                if size > _SLICE:
+                if size > _PAIRED:
                     yield flush()
                     size = 0
             if rows:
@@ -634,11 +650,8 @@ def links_in_groups(group: list[int], asks: list[bool], cls: list[bytes], label:
         if len(xs) * len(ys) <= _TOGETHER:
             few.append((np.repeat(xs, len(ys)), np.tile(ys, len(xs))))
             continue
-        xs, ys = _viable(texts, xs, ys)
         mine = part.copy()
-        some = max(1, _TOGETHER // max(len(ys), 1))
-        for k in range(0, len(xs), some):
-            x, y = np.repeat(xs[k : k + some], len(ys)), np.tile(ys, len(xs[k : k + some]))
+        for x, y in _candidates(texts, grid, middle, xs, ys):
             other = (mine[x] != mine[y]) & (text[x] != text[y])
             x, y = _linked(texts, grid, middle, x[other], y[other])
             for i in np.unique(x).tolist():
@@ -655,6 +668,8 @@ def links_in_groups(group: list[int], asks: list[bool], cls: list[bytes], label:
 
 
 _FEWEST = -(-2 * TOKENS * SIMILARITY // (100 + SIMILARITY))  # common tokens of two passages
+_ODD = TOKENS - _FEWEST  # tokens of a passage without a partner, at most
+_ASKING = 256  # members whose candidates are looked up at a time
 
 
 def _linked(texts: Texts, grid: np.ndarray, middle: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -663,7 +678,11 @@ def _linked(texts: Texts, grid: np.ndarray, middle: np.ndarray, x: np.ndarray, y
     alike = grid[y, 1:-1] == own
     for k in (1, -1):
         alike |= grid[y, 1 + k : 2 * TOKENS + k] == own
-    some = alike.sum(axis=1) >= _FEWEST
+    some = alike.sum(axis=1, dtype=np.int8) >= _FEWEST
+    total = np.cumsum(alike[some], axis=1, dtype=np.int8)
+    within = total[:, TOKENS - 1 :].copy()
+    within[:, 1:] -= total[:, :-TOKENS]
+    some[some] = within.max(axis=1, initial=0) >= _FEWEST
     x, y = x[some], y[some]
     # windows that hold the token on both sides, aligned at it
     first = np.maximum(-np.minimum(middle[x], middle[y]), 1 - TOKENS)
@@ -673,21 +692,49 @@ def _linked(texts: Texts, grid: np.ndarray, middle: np.ndarray, x: np.ndarray, y
     return x[row], y[row]
 
 
-def _viable(texts: Texts, xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Members of both sides with a passage of which the other side has enough tokens."""
-    sides = [xs, ys]
-    for k in (0, 1, 0, 1):
-        own, other = sides[k], sides[1 - k]
-        if not len(own) or not len(other):
-            return own[:0], other[:0]
-        mine, there = (np.concatenate([texts.tokens[texts.start[i] : texts.start[i] + texts.n[i]] for i in side.tolist()]) for side in (own, other))
-        total = np.concatenate([[0], np.cumsum(np.isin(mine, there))])
-        n = texts.n[own]
-        windows = np.maximum(n - TOKENS + 1, 0)
-        at = _spread(np.cumsum(n) - n, windows)
-        enough = total[at + TOKENS] - total[at] >= _FEWEST
-        sides[k] = own[np.bincount(np.repeat(np.arange(len(own)), windows)[enough], minlength=len(own)) > 0]
-    return sides[0], sides[1]
+def _candidates(texts: Texts, grid: np.ndarray, middle: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of members of both sides that may be linked, in order, _TOGETHER or so at a
+    time.  All but _ODD tokens of a passage of x have a partner at the same place of y or
+    next to it.  So one of the _ODD + 1 tokens has that fewest of the other side have there."""
+    column = np.arange(grid.shape[1])
+    begin, end = TOKENS - middle, TOKENS - middle + texts.n
+    row, at = np.nonzero((column >= begin[ys, None]) & (column < end[ys, None]))
+    code = (at << 32) | grid[ys[row], at]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    first, count = _runs(code)
+    known = code[first]
+    for k in range(0, len(xs), _ASKING):
+        part = xs[k : k + _ASKING]
+        # places of x (by place, so that lookups stay close) and what the other side has there
+        own = grid[part, 1:-1].T.astype(np.int64)
+        there, n = [], []
+        for shift in (0, 1, -1):
+            wanted = ((column[1:-1, None] + shift) << 32) | own
+            i = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            there.append(i)
+            n.append(np.where(known[i] == wanted, count[i], 0))
+        # windows from column 1, 2, ... of the grid, which hold the common token
+        windows = np.lib.stride_tricks.sliding_window_view(sum(n).T, TOKENS, axis=1)
+        fewest = np.argpartition(windows, _ODD, axis=2)[:, :, : _ODD + 1] + np.arange(TOKENS)[:, None]
+        of, start = np.nonzero((column[1 : TOKENS + 1] >= begin[part, None]) & (column[1 : TOKENS + 1] + TOKENS <= end[part, None]))
+        chosen = np.zeros(own.shape, dtype=bool)
+        chosen[fewest[of, start], of[:, None]] = True
+        may = np.zeros((len(part), len(ys)), dtype=bool)
+        much = (sum(n) * chosen).sum(axis=0) >= len(ys)
+        may[much] = True
+        chosen &= ~much
+        for i, m in zip(there, n, strict=True):
+            of = np.nonzero(chosen & (m > 0))
+            may[np.repeat(of[1], m[of]), row[_spread(first[i[of]], m[of])]] = True
+        ends = np.cumsum(may.sum(axis=1))
+        x, y = np.nonzero(may)
+        low = 0
+        while low < len(x):
+            # rows of x whole, one at least
+            high = int(ends[max(np.searchsorted(ends, low + _TOGETHER, "right") - 1, np.searchsorted(ends, low, "right"))])
+            yield part[x[low:high]], ys[y[low:high]]
+            low = high
 
 
 def short_first(text: Column) -> Column:

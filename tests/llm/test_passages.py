@@ -2,9 +2,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from siftline.llm import passages as P
-from siftline.llm.shingles import WordHashes, shingles
+from siftline.llm.shingles import WordHashes, shingles, word_hashes
 
 SCHEMA = "doc_id long, text string"
 
@@ -319,3 +320,56 @@ def test_members_of_a_large_group_are_looked_at_together(monkeypatch):
         return sorted(map(sorted, groups.values()))
 
     assert parts(got) == parts(whole)
+
+
+def test_a_short_line_of_many_texts_asks_few_pairs(monkeypatch):
+    """Of members that share a line shorter than a passage, and tokens elsewhere with others,
+    few pairs are looked at; the links are those of all pairs."""
+    rng = np.random.default_rng(8)
+    size, centre = 2 * P.TOKENS - 1, P.TOKENS - 1
+    pool, line = rng.integers(1, 2**32, 3_000, dtype=np.uint32), rng.integers(1, 2**32, 30, dtype=np.uint32)
+    around = [rng.choice(pool, size) for _ in range(400)]
+    for i in range(0, 40, 2):  # near copies, some of them a place further on
+        around[i + 1] = around[i].copy()
+        around[i + 1][rng.integers(0, size, 3)] = 5
+        if i % 4:
+            around[i + 1][centre + 8 :] = np.concatenate([[6], around[i + 1][centre + 8 : -1]])
+    for a in around:
+        a[centre - 15 : centre + 15] = line
+    names = [b"%016d" % i for i in range(800)]
+    rows = ([1] * 800, [i < 400 for i in range(800)], names[:400] * 2, names[:400] * 2, [centre] * 800, [a.tobytes() for a in around] * 2)
+    linked, pairs = P._linked, []
+    monkeypatch.setattr(P, "_linked", lambda *a: pairs.append(len(a[3])) or linked(*a))
+    got = P.links_in_groups(*rows)
+    assert sum(pairs) < 400 * 400 / 20
+    pairs.clear()
+    monkeypatch.setattr(P, "_TOGETHER", 10**9)  # all pairs as one
+    whole = P.links_in_groups(*rows)
+    assert sum(pairs) > 400 * 390 and {frozenset(p) for p in got} == {frozenset(p) for p in whole} and len({frozenset(p) for p in whole}) >= 15
+
+
+def test_links_do_not_depend_on_the_row_before():
+    """The first token of a row isn't common because the last one of the row before has its
+    partner at the next place."""
+    rng = np.random.default_rng(2)
+    a = rng.integers(1, 2**32, P.TOKENS, dtype=np.uint32)
+    b = a.copy()
+    b[0] = 1
+    texts = P.Texts([a, b, np.concatenate([[2], a]).astype(np.uint32)])
+    x, y, n = np.array([0, 0]), np.array([texts.start[2], texts.start[1]]), np.array([1, 1])
+    both = P.verify(texts, x, y, n)
+    alone = P.verify(texts, x[1:], y[1:], n[1:])
+    assert [v[both[0] == 1].tolist() for v in both[1:]] == [v.tolist() for v in alone[1:]] and alone[3].tolist() == [1]
+
+
+def test_hashes_of_all_words_at_once():
+    """Words are split and lower-cased as by WordHashes, and equal ones alone have one hash."""
+    rng = random.Random(6)
+    texts = [None, "", "x", " \t", f"{'A' * 300} {'a' * 300} {'a' * 299}b", "É é ß\x00 \x00\x0b\x1c a\x85b  c", "12345678 123456789 1234567 12345678"]
+    texts += ["".join(rng.choice("aAbBZz09é日\U0001f600 \t\n\x0b\x0c\r\x1c\x00") * rng.choice([1, 1, 1, 9]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    for column in (pa.array(texts), pa.array(texts).slice(3, 200), pa.array(texts, pa.large_string()), pa.array([], pa.string()), pa.array([None, None], pa.string())):
+        got, count = word_hashes(column)
+        words = [(t or "").encode().lower().split() for t in column.to_pylist()]
+        flat = [w for ws in words for w in ws]
+        assert count.tolist() == [len(w) for w in words] and len(flat) == len(got)
+        assert len(set(zip(flat, got.tolist(), strict=True))) == len(set(flat)) == len(set(got.tolist()))
