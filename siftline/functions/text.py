@@ -116,8 +116,10 @@ def tool_prefix(name: Column) -> Column:
 
 
 def base64url(text: Column) -> Column:
-    padded = F.rpad(F.translate(text, "-_", "+/"), (F.ceil(F.length(text) / 4) * 4).cast("int"), "=")
-    return F.unbase64(padded)
+    """Bytes of base64 text in the letters of URLs, without padding.  Line breaks, which
+    Spark's base64 puts after 76 letters, are no part of it."""
+    bare = F.translate(text, "-_\r\n", "+/")
+    return let(bare, lambda t: F.unbase64(F.rpad(t, (F.ceil(F.length(t) / 4) * 4).cast("int"), "=")))
 
 
 def total_pages(total: Column, page_size: Column) -> Column:
