@@ -43,6 +43,7 @@ class Search:
 @dataclass
 class Upload:
     max_size_mb: int = 50
+    allow_blank: bool = False  # files without words complete, with no chunks, and don't fail
 
 
 @dataclass

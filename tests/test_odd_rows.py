@@ -25,3 +25,13 @@ def agrees(spark, tmp_path):
 def test_long_urls(agrees):
     urls = [f"https://a.example.net/{'y' * k}" for k in range(0, 120, 7)]
     assert agrees("small_functions", "pages", "page_id long, url string", list(enumerate(urls)))
+
+
+#: Documents some of which have no words, or no letters.
+BLANK = [(n, t, "en", "web", len(t)) for n, t in enumerate(["one two", "", " \n ", "three four " * 300, "É.", "five", "", "six."])]
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("name", ["ingest_stream"])
+def test_blank_documents(agrees, name):
+    assert agrees(name, "documents", DOCUMENTS, BLANK)
