@@ -34,6 +34,15 @@ def _clamped(value: Column) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)))
 
 
+def folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of the rows of two matrices, summed from the first component to the last as
+    ``dot`` does, so that equal rows have equal products wherever they lie."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += a[:, d] * b[:, d]
+    return out
+
+
 def cosine_to(a: Column, query: list[float]) -> Column:
     """Cosine similarity to a fixed vector whose norm is known beforehand."""
     q = np.asarray(query, dtype=np.float64)

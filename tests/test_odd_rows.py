@@ -1,6 +1,9 @@
 """Queries on rows that the small tables lack, against their SQL."""
 
+import math
+
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -40,3 +43,31 @@ def test_blank_documents(agrees, name):
 def test_documents_without_letters(agrees):
     texts = ["É."] * 13 + [""] * 13 + ["1 2", "a É"] * 13
     assert agrees("parse_documents", "documents", DOCUMENTS, [(n, t, "fr", "web", len(t)) for n, t in enumerate(texts)])
+
+
+def brute(rows, asked, k):
+    """The k best of each query by products of sequential sums; ties by id."""
+    out = []
+    for q, v in asked:
+        length = math.sqrt(sum(x * x for x in v))
+        scores = [(-sum(x * y for x, y in zip(v, r, strict=True)) / length / math.sqrt(sum(x * x for x in r)), i) for i, r in rows if r and len(r) == len(v) and any(r)] if length else []
+        out += [(q, i, n + 1) for n, (_, i) in enumerate(sorted((round(s, 9), i) for s, i in scores)[:k])]
+    return sorted(out)
+
+
+def test_many_queries_at_once(spark, tmp_path, monkeypatch):
+    """Exactly the best: among many near copies, copies, and vectors that are no such."""
+    from siftline.operators import vector_index
+
+    for name, n in (("ASKED", 7), ("ROWS", 32), ("BLOCKS", 2)):
+        monkeypatch.setattr(vector_index, name, n, raising=False)
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=16)
+    near = [middle + 0.05 * rng.normal(size=16) for _ in range(250)]
+    rows = [(f"v{i}", np.float32(v).astype(float).tolist()) for i, v in enumerate([*near, *rng.normal(size=(150, 16))])]
+    rows += [(f"c{i}", rows[5][1]) for i in range(40)] + [("null", None), ("short", [1.0] * 8), ("zero", [0.0] * 16)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(3)
+    index = vector_index.VectorIndex(spark, f"{tmp_path}/i").fit(df, cells=4, parts=4, slots=2).add(df)
+    asked = [r for r in rows if r[1] and len(r[1]) == 16][::9] + [("z", [0.0] * 16)]
+    got = index.search_rows(spark.createDataFrame(asked, "query_id string, vector array<float>"), k=10).collect()
+    assert sorted((r.query_id, r.id, r.place) for r in got) == brute(rows, asked, 10)
