@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,6 +44,22 @@ def folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def cosines(a: pa.ListArray, b: pa.ListArray) -> np.ndarray:
+    """``cosine`` of all vectors of one list with all of another, NaN where it is null.  Sums go
+    from the first component to the last."""
+    out = np.full((len(a), len(b)), np.nan)
+    sizes, others = (np.array([-1 if n is None else n for n in x.value_lengths().to_pylist()]) for x in (a, b))
+    for size in set(sizes[sizes > 0].tolist()) & set(others.tolist()):
+        i, j = np.flatnonzero(sizes == size), np.flatnonzero(others == size)
+        x, y = (np.asarray(v.take(pa.array(at)).flatten(), dtype=np.float64).reshape(-1, size) for v, at in ((a, i), (b, j)))
+        dots, part = np.zeros((len(i), len(j))), np.empty((len(i), len(j)))
+        for d in range(size):
+            dots += np.multiply.outer(x[:, d], y[:, d], out=part)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[np.ix_(i, j)] = np.clip(dots / np.sqrt(np.multiply.outer(folded(x, x), folded(y, y))), -1, 1)
+    return out
+
+
 def cosine_to(a: Column, query: list[float]) -> Column:
     """Cosine similarity to a fixed vector whose norm is known beforehand."""
     q = np.asarray(query, dtype=np.float64)

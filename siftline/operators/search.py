@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.vector import cosine_to, cosine_udf
+from siftline.functions.vector import cosine_to, cosine_udf, cosines
 
 if TYPE_CHECKING:
     from siftline.operators.store import Store
@@ -15,6 +17,8 @@ if TYPE_CHECKING:
 DEFAULT_LIMIT = 5
 #: Up to this many best chunks are looked up in the documents at a time.
 LOOK_UP = 10_000
+#: Chunks of a document in one block of cosine_pairs, about, and rows that are multiplied at a time.
+PAIRED, TILE = 1_024, 256
 
 
 def check_dimensions(chunks: DataFrame, dimensions: int) -> None:
@@ -70,6 +74,41 @@ def search_store(store: Store, query: list[float], namespace: str = "", limit: i
     return store.counted(scored, store.events(of)).select(*columns).orderBy(*order).limit(k)
 
 
+def cosine_pairs(chunks: DataFrame, digits: int) -> DataFrame:
+    """a, b (a before b) and rounded score of all pairs of chunks of each document; null as
+    ``cosine`` is.  The chunks of a document are dealt to blocks, and each two blocks meet in
+    a task of their own, so no task holds more than two blocks however long a document is."""
+    rows = chunks.filter(F.col("document_id").isNotNull() & F.col("id").isNotNull()).select("document_id", "id", F.col("embedding").cast("array<double>").alias("embedding"))
+    blocks = rows.groupBy("document_id").agg(F.ceil(F.count(F.lit(1)) / PAIRED).cast("int").alias("blocks"))
+    own, other = F.col("own"), F.col("other")
+    dealt = rows.join(blocks, "document_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("document_id", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), "own", "id", "embedding")
+
+    def run(group: pa.Table) -> pa.Table:
+        names, rank = np.unique(np.array(group["id"].to_pylist(), dtype=str), return_inverse=True)
+        names, rank = pa.array(names.tolist(), pa.string()), rank.reshape(-1).astype(np.int32)
+        by_id = np.argsort(rank, kind="stable")
+        own, first, last = np.asarray(group["own"])[by_id], group["i"][0].as_py(), group["j"][0].as_py()
+        vectors = group["embedding"].combine_chunks()
+        one, two = by_id[own == first], by_id[own == last]
+        out = []
+        for k in range(0, len(one), TILE):
+            left = one[k : k + TILE]
+            for m in range(k if first == last else 0, len(two), TILE):
+                right = two[m : m + TILE]
+                x, y = np.broadcast_arrays(rank[left][:, None], rank[right])
+                pairs = x < y if first == last else np.full(x.shape, True)
+                score = cosines(vectors.take(pa.array(left)), vectors.take(pa.array(right)))[pairs]
+                score = np.copysign(np.floor(np.abs(score) * 10**digits + 0.5) / 10**digits, score) + 0.0
+                a, b = np.minimum(x, y)[pairs], np.maximum(x, y)[pairs]
+                out.append(pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b)), pa.array(score, from_pandas=True)], names=["a", "b", "score"]))
+        kind = pa.schema([("a", pa.string()), ("b", pa.string()), ("score", pa.float64())])
+        return pa.Table.from_batches(out, kind)
+
+    return dealt.groupBy("document_id", "i", "j").applyInArrow(run, "a string, b string, score double")
+
+
 def documents_of(rows: list) -> list[str] | None:
     """The documents of some chunks, if they are so few that their buckets alone are read."""
     ids = {r["document_id"] for r in rows}
@@ -94,8 +133,6 @@ def assign_cells(chunks: DataFrame, centres: list[list[float]]) -> DataFrame:
 
 def search_cells(indexed: DataFrame, documents: DataFrame, query: list[float], centres: list[list[float]], probes: int = 1, namespace: str = "", limit: int = 0) -> DataFrame:
     """Approximate search: only the cells nearest to the query are read."""
-    import numpy as np
-
     c = np.array(centres)
     near = np.argsort(-(c @ np.array(query)) / np.maximum(np.linalg.norm(c, axis=1), 1e-12), kind="stable")[:probes]
     return search(indexed.filter(F.col("cell").isin([int(x) for x in near])), documents, query, namespace, limit)

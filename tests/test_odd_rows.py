@@ -71,3 +71,26 @@ def test_many_queries_at_once(spark, tmp_path, monkeypatch):
     asked = [r for r in rows if r[1] and len(r[1]) == 16][::9] + [("z", [0.0] * 16)]
     got = index.search_rows(spark.createDataFrame(asked, "query_id string, vector array<float>"), k=10).collect()
     assert sorted((r.query_id, r.id, r.place) for r in got) == brute(rows, asked, 10)
+
+
+def test_pairs_of_long_documents(spark, tmp_path, monkeypatch):
+    """All pairs, of which each task makes those of two blocks."""
+    from siftline.operators import search
+    from siftline.plans import queries
+
+    monkeypatch.setattr(search, "PAIRED", 8, raising=False)
+    monkeypatch.setattr(search, "TILE", 3, raising=False)
+    rng = np.random.default_rng(4)
+    rows = {n: np.float32(rng.normal(size=12)).astype(float).tolist() for n in [*range(7, 9_000, 200), *range(8, 1_000, 200)]}
+    rows |= {9_007: None, 9_207: [0.0] * 12, 9_407: [1.0] * 5, 9_607: [1.0, 2.0, 3.0, 4.0, 6.0], 9_807: rows[7]}
+    spark.createDataFrame([(n, v, 1) for n, v in rows.items()], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = queries.cosine_within_document(spark, str(tmp_path))
+    want = {}
+    for n, v in rows.items():
+        for m, w in rows.items():
+            if n % 200 == m % 200 and str(n) < str(m):
+                usable = v and w and len(v) == len(w) and any(v) and any(w)
+                want[str(n), str(m)] = float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)) if usable else None
+    got = {(r.a, r.b): r.score for r in found.collect()}
+    assert got.keys() == want.keys() and all((s is None) == (want[p] is None) and (s is None or abs(s - want[p]) < 1e-6) for p, s in got.items())
+    assert found.count() == len(want) and "Join" not in str(found._jdf.queryExecution().optimizedPlan()).partition("FlatMapGroupsInArrow")[0]
