@@ -19,6 +19,8 @@ DEFAULT_LIMIT = 5
 LOOK_UP = 10_000
 #: Chunks of a document in one block of cosine_pairs, about, and rows that are multiplied at a time.
 PAIRED, TILE = 1_024, 256
+#: Pairs that a task makes, about: its rows are few bytes and don't tell how long it takes.
+PAIRS_OF_TASK = 4_000_000
 
 
 def check_dimensions(chunks: DataFrame, dimensions: int) -> None:
@@ -79,9 +81,11 @@ def cosine_pairs(chunks: DataFrame, digits: int) -> DataFrame:
     ``cosine`` is.  The chunks of a document are dealt to blocks, and each two blocks meet in
     a task of their own, so no task holds more than two blocks however long a document is."""
     rows = chunks.filter(F.col("document_id").isNotNull() & F.col("id").isNotNull()).select("document_id", "id", F.col("embedding").cast("array<double>").alias("embedding"))
-    blocks = rows.groupBy("document_id").agg(F.ceil(F.count(F.lit(1)) / PAIRED).cast("int").alias("blocks"))
+    blocks = rows.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / PAIRED).cast("int"))
+    pairs = blocks.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2).alias("pairs")).first()["pairs"] or 0
+    tasks = max(int(pairs // PAIRS_OF_TASK), chunks.sparkSession.sparkContext.defaultParallelism)
     own, other = F.col("own"), F.col("other")
-    dealt = rows.join(blocks, "document_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = rows.join(blocks.drop("n"), "document_id").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("document_id", F.least(own, other).alias("i"), F.greatest(own, other).alias("j"), "own", "id", "embedding")
 
@@ -106,7 +110,7 @@ def cosine_pairs(chunks: DataFrame, digits: int) -> DataFrame:
         kind = pa.schema([("a", pa.string()), ("b", pa.string()), ("score", pa.float64())])
         return pa.Table.from_batches(out, kind)
 
-    return dealt.groupBy("document_id", "i", "j").applyInArrow(run, "a string, b string, score double")
+    return dealt.repartition(tasks, "document_id", "i", "j").groupBy("document_id", "i", "j").applyInArrow(run, "a string, b string, score double")
 
 
 def documents_of(rows: list) -> list[str] | None:
