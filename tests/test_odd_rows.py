@@ -94,3 +94,21 @@ def test_pairs_of_long_documents(spark, tmp_path, monkeypatch):
     got = {(r.a, r.b): r.score for r in found.collect()}
     assert got.keys() == want.keys() and all((s is None) == (want[p] is None) and (s is None or abs(s - want[p]) < 1e-6) for p, s in got.items())
     assert found.count() == len(want) and "Join" not in str(found._jdf.queryExecution().optimizedPlan()).partition("FlatMapGroupsInArrow")[0]
+
+
+def test_queries_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    """A table of queries is searched without a query or a candidate on the driver."""
+    from siftline.operators.vector_index import VectorIndex
+
+    rows = [(str(i), np.random.default_rng(i).normal(size=8).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>")
+    index = VectorIndex(spark, f"{tmp_path}/i").fit(df, cells=2, parts=2, slots=2).add(df)
+
+    def refuse(*_, **__):
+        raise AssertionError("rows on the driver")
+
+    with monkeypatch.context() as m:
+        for name in ("collect", "toLocalIterator", "toPandas", "toArrow"):
+            m.setattr(type(df), name, refuse)
+        found = index.search_rows(df.selectExpr("id query_id", "embedding vector"), k=3)
+    assert found.count() == 120
